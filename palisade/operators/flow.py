@@ -66,11 +66,11 @@ def evidence_of(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _emit(fired, rule, confidence, reason, meta, group, member_rows, rule_name=None) -> RuleOutput:
-    dets = detections(
+    dets = pin(detections(
         fired, rule, confidence, reason, meta, evidence=F.col("ids"),
         first_us=F.col("first_us"), last_us=F.col("last_us"), rule_name=rule_name,
         keep=tuple(f"_{g}" for g in group),
-    )
+    ))
     link = dets.select("detection_id", *[F.col(f"_{g}").alias(g) for g in group])
     same = [member_rows[g].eqNullSafe(link[g]) for g in group]
     members = member_rows.join(link, same).select("detection_id", "event_id")
@@ -139,12 +139,15 @@ def _rows_in_window(numbered: DataFrame, fired: DataFrame, window_us: int, slice
         "key", (F.col("ts_us") - window_us).alias("ts_us"), F.lit(None).cast("bigint").alias("all_rn"), "rn"
     )
     both = marks.unionByName(asks).withColumn("slice", slice_of(F.col("ts_us")))
-    w = W.partitionBy("key", "slice").orderBy("ts_us", F.col("rn").isNotNull())
+    asked = F.col("rn").isNotNull()
+    group = W.partitionBy("key", "slice")
+    upward = group.orderBy("ts_us", asked).rowsBetween(W.unboundedPreceding, 0)
+    downward = group.orderBy(F.desc("ts_us"), F.desc(asked)).rowsBetween(W.unboundedPreceding, 0)
     first_in = marks.groupBy("key", slice_of(F.col("ts_us")).alias("slice")).agg(
         F.min("all_rn").alias("next_first"))
     expired = (
-        both.withColumn("old", F.max("all_rn").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("young", F.min("all_rn").over(w.rowsBetween(0, W.unboundedFollowing)))
+        both.withColumn("old", F.max("all_rn").over(upward))
+        .withColumn("young", F.min("all_rn").over(downward))
         .where(F.col("rn").isNotNull())
         .join(first_in.withColumn("slice", F.col("slice") - 1), ["key", "slice"], "left")
         .select("key", "rn", F.coalesce(

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions.state import pin
 
@@ -49,7 +50,7 @@ def lagged_micros(numbered: DataFrame, keys: list[str], back: int, chunk_rows: i
     )
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _spaced(candidates: pd.Series, entry: pd.Series, need: pd.Series) -> pd.Series:
     """Keep candidates from `entry` on, each at least `need` positions after the last kept."""
     out = []
@@ -63,7 +64,7 @@ def _spaced(candidates: pd.Series, entry: pd.Series, need: pd.Series) -> pd.Seri
     return pd.Series(out)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _exits(candidates: pd.Series, first: pd.Series, rows: pd.Series, need: pd.Series) -> pd.Series:
     """For each number of blocked leading rows (0..need-1), how many rows of the
     next chunk are blocked once this chunk has fired."""
