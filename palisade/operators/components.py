@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return (
         sides.where(F.col("dst") > F.col("src")).join(least, "src")
         .select(F.col("dst").alias("src"), F.col("root").alias("dst"))
-    ).distinct()
+    )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

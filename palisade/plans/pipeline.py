@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from palisade.config import CorrelateConfig, DetectConfig, FlowConfig, RiskConfig
-from palisade.functions.state import pin
+from palisade.functions.state import checkpointed
 from palisade.operators.correlate import correlate
 from palisade.operators.detect import endpoint_rules, flow_rules, run_rules
 from palisade.operators.endpoint import prepare_events
@@ -27,9 +27,9 @@ def endpoint_incidents(
 ) -> Outcome:
     """Endpoint telemetry -> detections -> enriched incidents."""
     out = run_rules(prepare_events(events), endpoint_rules(iocs, detect))
-    dets = pin(out.detections)
-    incidents = pin(correlate(dets, out.members, events, link))
-    return Outcome(dets, out.members, pin(enrich(incidents, dets, techniques, risk)))
+    dets = checkpointed(out.detections)
+    incidents = checkpointed(correlate(dets, out.members, events, link))
+    return Outcome(dets, out.members, checkpointed(enrich(incidents, dets, techniques, risk)))
 
 
 def flow_incidents(
@@ -40,6 +40,6 @@ def flow_incidents(
     """Network flows -> detections -> enriched incidents."""
     chosen = {k: r for k, r in flow_rules(detect).items() if rules is None or k in rules}
     out = run_rules(flows, chosen)
-    dets, members = pin(out.detections), pin(out.members)
-    incidents = pin(correlate(dets, members, None, link))
-    return Outcome(dets, members, pin(enrich(incidents, dets, techniques, risk)))
+    dets, members = checkpointed(out.detections), checkpointed(out.members)
+    incidents = checkpointed(correlate(dets, members, None, link))
+    return Outcome(dets, members, checkpointed(enrich(incidents, dets, techniques, risk)))

@@ -62,11 +62,26 @@ from palisade.plans import pipeline  # noqa: E402
 SQL_FLOW_RULES = ("FLOW-001", "FLOW-002", "FLOW-004", "FLOW-005", "FLOW-006")
 
 
+def once(fn):
+    """Build a shared upstream result once per session and folder."""
+    kept: dict = {}
+
+    def get(s, d):
+        key = (s.sparkContext.applicationId, d)
+        if key not in kept:
+            kept[key] = fn(s, d)
+        return kept[key]
+    get.forget = kept.clear
+    return get
+
+
+@once
 def endpoint_outcome(s, d) -> pipeline.Outcome:
     return pipeline.endpoint_incidents(
         bridge.telemetry(s, d), catalogs.iocs(s), catalogs.techniques(s), DETECT)
 
 
+@once
 def flow_outcome(s, d) -> pipeline.Outcome:
     return pipeline.flow_incidents(
         bridge.flows(s, d), catalogs.techniques(s), FLOWS, rules=SQL_FLOW_RULES)

@@ -53,7 +53,6 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t = time.time()
     rel = con.execute(sql)
     theirs = rows_of([c[0] for c in rel.description], rel.fetchall())
-    spark.catalog.clearCache()
     diff = []
     if mine[0] != theirs[0]:
         diff.append(f"columns {mine[0]} / {theirs[0]}")
