@@ -120,3 +120,624 @@ query("assemble_flow_incident", oracle.incident_sql("fc_"))(
     lambda s, d: incident_rows(flow_outcome(s, d).incidents))
 query("score_risk", oracle.risk_sql("c_"))(lambda s, d: risk_rows(endpoint_outcome(s, d).incidents))
 query("score_flow_risk", oracle.risk_sql("fc_"))(lambda s, d: risk_rows(flow_outcome(s, d).incidents))
+
+
+from palisade.config import HOUR, MINUTE, UebaConfig  # noqa: E402
+from palisade.functions.core import from_micros, nz  # noqa: E402
+from palisade.functions.state import checkpointed, pin  # noqa: E402
+from palisade.operators import cases, evaluate as ev, intel, investigate as inv  # noqa: E402
+from palisade.operators import rollups as ru, text, ueba  # noqa: E402
+from palisade.sources import flowcsv, ingest  # noqa: E402
+
+osql = oracle.sql
+joined = lambda c: F.array_join(c, ",")
+
+
+def us(c):
+    return micros(c)
+
+
+def on_incidents(fn):
+    return lambda s, d: fn(s, d, endpoint_outcome(s, d))
+
+
+def on_flows(fn):
+    return lambda s, d: fn(s, d, flow_outcome(s, d))
+
+
+# --- entities, links, components
+query("resolve_entities", osql("SELECT did AS detection_id, usr AS user_name, host FROM ent"))(
+    on_incidents(lambda s, d, o: corr.resolve_entities(
+        o.detections, bridge.telemetry(s, d)).withColumnRenamed("user", "user_name")))
+query("network_key", osql("SELECT did AS detection_id, nk_kind AS kind, nk_a AS a, nk_b AS b FROM fdets"))(
+    on_flows(lambda s, d, o: o.detections.select("detection_id", corr.network_key().alias("n")).select(
+        "detection_id", "n.kind", "n.a", "n.b")))
+
+
+def _parts(described, members):
+    edges, facts = corr.link(described, members)
+    parts = corr.membership(described, edges)
+    told = facts.join(parts, "detection_id").groupBy("component").agg(
+        F.max("shared_evidence").alias("shared_evidence"), F.max("shared_bucket").alias("shared_bucket"),
+        F.max("sequenced").alias("sequenced"), joined(F.array_sort(F.collect_set("pair"))).alias("pairs"))
+    return parts, told
+
+
+_TOLD = "SELECT comp AS component, sh_ev AS shared_evidence, sh_bk AS shared_bucket, seqd AS sequenced, array_to_string(hits, ',') AS pairs FROM {}told"
+query("link_entities", osql(_TOLD.format("c_")))(on_incidents(
+    lambda s, d, o: _parts(corr.describe(o.detections, bridge.telemetry(s, d)), o.members)[1]))
+query("link_flows", osql(_TOLD.format("fc_")))(on_flows(
+    lambda s, d, o: _parts(corr.describe(o.detections), o.members)[1]))
+query("connected_components", osql("SELECT did AS detection_id, comp AS component FROM fc_comp"))(on_flows(
+    lambda s, d, o: _parts(corr.describe(o.detections), o.members)[0]))
+query("map_techniques", osql("SELECT iid AS incident_id, technique_id, technique_name, tactic, source_rule_id, confidence FROM c_map"))(
+    on_incidents(lambda s, d, o: risk.map_techniques(
+        risk.incident_members(o.incidents, o.detections), catalogs.techniques(s)).select(
+        "incident_id", "technique_id", "technique_name", "tactic", "source_rule_id", "confidence")))
+query("risk_band", osql("SELECT band AS risk_band, count(*) AS n FROM c_risk GROUP BY band"))(
+    on_incidents(lambda s, d, o: o.incidents.groupBy("risk_band").agg(F.count(F.lit(1)).alias("n"))))
+query("derive_severity", osql("SELECT iid AS incident_id, severity, title FROM fc_inc"))(
+    on_flows(lambda s, d, o: o.incidents.select("incident_id", "severity", "title")))
+
+# --- intel
+_OBS = """SELECT * FROM (
+  SELECT event_id, ts_us, 'ipv4' AS type, sip AS v, 'source_ip' AS source FROM tel
+  UNION ALL SELECT event_id, ts_us, 'ipv4', dip, 'destination_ip' FROM tel
+  UNION ALL SELECT event_id, ts_us, 'domain', lower(domain), 'domain' FROM tel
+  UNION ALL SELECT event_id, ts_us, 'url', replace(url, 'Files.Example.com', 'files.example.com'), 'url' FROM tel
+  UNION ALL SELECT event_id, ts_us, 'file_hash', file_hash, 'file_hash' FROM tel) WHERE v IS NOT NULL"""
+oracle.CTE["obs"] = _OBS
+oracle.CTE["tintel"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({oracle.q(t)}, {oracle.q(v)}, {oracle.q(c)}, {x})" for t, v, c, x, *_ in catalogs.INTEL) + ") t(type, v, verdict, conf)"
+query("extract_observables", osql(
+    "SELECT type, v AS normalized_value, source, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT event_id) AS event_count, "
+    "array_to_string(list_sort(list(DISTINCT event_id))[1:25], ',') AS event_ids FROM obs GROUP BY type, v, source"))(
+    lambda s, d: intel.extract_observables(bridge.telemetry(s, d)).select(
+        "type", "normalized_value", "source", "first_us", "last_us", "event_count",
+        joined("event_ids").alias("event_ids")))
+query("intel_lookup", osql(
+    "SELECT o.type, o.v AS normalized_value, o.source, coalesce(t.verdict, 'unknown') AS classification, coalesce(t.conf, 0.0)::DOUBLE AS confidence "
+    "FROM (SELECT DISTINCT type, v, source FROM obs) o LEFT JOIN tintel t ON t.type = o.type AND t.v = o.v"))(
+    lambda s, d: intel.intel_lookup(intel.extract_observables(bridge.telemetry(s, d)), catalogs.intel(s)).select(
+        "type", "normalized_value", "source", "classification", F.col("intel_confidence").alias("confidence")))
+oracle.CTE["isample"] = "SELECT iid, comp, unnest(ev[1:200]) AS event_id FROM c_inc"
+query("intel_trace", osql("""
+  SELECT f.iid AS incident_id, f.type, f.v AS normalized_value, f.source, f.n AS event_count, coalesce(t.verdict, 'unknown') AS classification, g.dets AS detection_ids
+  FROM (SELECT i.iid, o.type, o.v, o.source, count(DISTINCT o.event_id) AS n FROM isample i JOIN obs o USING (event_id) GROUP BY ALL) f
+  LEFT JOIN (SELECT r.iid, r.type, r.v, r.source, array_to_string(list_sort(list(DISTINCT d.did)), ',') AS dets FROM
+      (SELECT DISTINCT i.iid, i.comp, o.type, o.v, o.source, o.event_id, dense_rank() OVER (PARTITION BY i.iid, o.type, o.v, o.source ORDER BY o.event_id) AS k
+       FROM isample i JOIN obs o USING (event_id)) r
+      JOIN c_comp c ON c.comp = r.comp JOIN ent d ON d.did = c.did AND list_contains(d.ev, r.event_id) WHERE r.k <= 25 GROUP BY ALL) g
+    ON g.iid = f.iid AND g.type = f.type AND g.v = f.v AND g.source = f.source
+  LEFT JOIN tintel t ON t.type = f.type AND t.v = f.v"""))(on_incidents(
+    lambda s, d, o: intel.intel_trace(o.incidents, o.detections, bridge.telemetry(s, d), catalogs.intel(s)).select(
+        "incident_id", "type", "normalized_value", "source", "event_count", "classification",
+        joined("detection_ids").alias("detection_ids"))))
+query("normalize_observable", """SELECT page_id, url AS value, 'url' AS type, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) ||
+    regexp_extract(url, '^https?://[^/?#]+(.*)$', 1) AS normalized_value FROM pages
+  WHERE regexp_matches(url, '^https?://([A-Za-z0-9-]+[.])+[A-Za-z0-9-]+([/?#].*)?$')""")(
+    lambda s, d: intel.normalize_observable(bridge.table(s, d, "pages").select(
+        "page_id", F.col("url").alias("value"), F.lit("url").alias("kind"))).where(
+        "normalized_value IS NOT NULL").select("page_id", "value", "type", "normalized_value"))
+
+# --- investigation
+query("timeline", osql("""SELECT i.iid AS incident_id, row_number() OVER (PARTITION BY i.iid ORDER BY d.first_us, d.did) AS position,
+    d.did AS detection_id, d.rule_id, len(d.ev) AS evidence_count, 0 AS bucket_count,
+    coalesce((SELECT array_to_string(list_sort(list(m.technique_id)), ',') FROM c_map m WHERE m.iid = i.iid AND m.source_rule_id = d.rule_id), '') AS techniques
+  FROM c_inc i JOIN c_comp c ON c.comp = i.comp JOIN ent d ON d.did = c.did"""))(on_incidents(
+    lambda s, d, o: inv.timeline(o.incidents, o.detections, o.members).select(
+        "incident_id", "position", "detection_id", "rule_id", "evidence_count", "bucket_count",
+        joined("mitre_technique_ids").alias("techniques"))))
+_SETS = ("users", "hosts", "source_ips", "destination_ips", "protocols", "processes")
+_set = lambda c, a: f"coalesce(array_to_string(list_sort(list(DISTINCT t.{c}) FILTER (t.{c} IS NOT NULL)), ','), '') AS {a}"
+query("entity_sets", osql("SELECT i.iid AS incident_id, " + ", ".join(_set(c, a) for c, a in zip(
+    ("usr", "host", "sip", "dip", "protocol", "process_name"), _SETS)) + ", " + _set("port", "ports") +
+    ", count(*) AS sampled_events FROM isample i JOIN tel t USING (event_id) GROUP BY i.iid"))(on_incidents(
+    lambda s, d, o: inv.entity_sets(o.incidents, bridge.telemetry(s, d)).select(
+        "incident_id", *[joined(c).alias(c) for c in (*_SETS, "ports")], "sampled_events")))
+query("evidence_sample", osql("SELECT event_id, event_type FROM tel WHERE event_id IN (SELECT event_id FROM isample)"))(
+    on_incidents(lambda s, d, o: inv.evidence_sample(o.incidents, bridge.telemetry(s, d)).select("event_id", "event_type")))
+query("scrub_labels", osql("""SELECT event_id, '{"generator":"bridge","scenario_id":"' || scenario_id || '","scenario_type":"' || scenario_type || '"}' AS raw_event FROM tel"""))(
+    lambda s, d: inv.scrub_labels(bridge.telemetry(s, d)).select("event_id", "raw_event"))
+_FACTOR = " UNION ALL ".join(
+    f"SELECT iid AS incident_id, {i} AS ord, {oracle.q(t)} AS factor, CAST({c} AS INT) AS points FROM c_risk WHERE {c} > 0"
+    for i, (c, (_, t)) in enumerate(zip(("p_sev", "p_div", "p_conf", "p_ev", "p_seq", "p_mitre", "p_ctx"), inv.FACTORS)))
+query("risk_factors", osql(_FACTOR))(on_incidents(lambda s, d, o: inv.risk_factors(o.incidents)))
+query("availability_report", osql("""SELECT r.iid AS incident_id, 0 AS missing, array_to_string(list_filter([
+    CASE WHEN tids IS NULL THEN 'MITRE mappings' END, 'UEBA evidence', CASE WHEN usr IS NULL AND host IS NULL THEN 'user/host attribution' END],
+    lambda x: x IS NOT NULL), '; ') AS unavailable FROM c_risk r"""))(on_incidents(
+    lambda s, d, o: inv.availability_report(o.incidents, o.detections, bridge.telemetry(s, d)).select(
+        "incident_id", F.size("missing_detections").alias("missing"), F.array_join("unavailable", "; ").alias("unavailable"))))
+query("investigation_view", osql("""SELECT iid AS incident_id, CAST(total AS INT) AS risk_score, n AS detection_count, len(ev) AS evidence_total, n AS steps,
+    CASE WHEN len(hits) = 0 AND usr IS NULL AND host IS NULL THEN 'Not available' ELSE 'Linked by ' || concat_ws('; ',
+      CASE WHEN len(hits) > 0 THEN 'recognized sequence ' || array_to_string(hits, ', ') END,
+      CASE WHEN usr IS NOT NULL OR host IS NOT NULL THEN 'shared entity' || coalesce(' user ''' || usr || '''', '') ||
+        CASE WHEN usr IS NOT NULL AND host IS NOT NULL THEN ' and' ELSE '' END || coalesce(' host ''' || host || '''', '') END) || '.' END AS correlation_reason
+  FROM c_risk"""))(on_incidents(lambda s, d, o: inv.investigation_view(
+    o.incidents, o.detections, o.members, bridge.telemetry(s, d)).select(
+    "incident_id", "risk_score", "detection_count", "evidence_total", F.size("timeline").alias("steps"), "correlation_reason")))
+_STORY = " UNION ALL ".join(
+    f"""SELECT i.iid AS incident_id, {n} AS ord, {oracle.q(label)} AS stage, min(t.ts_us) AS first_us, count(*) AS events,
+      array_to_string(list_sort(list(DISTINCT t.event_type)), ',') AS event_types
+    FROM (SELECT iid, unnest(ev) AS event_id FROM c_inc WHERE len(list_intersect(rule_ids, {list(r)})) > 0) i JOIN tel t USING (event_id)
+    WHERE list_contains({list(k)}, t.event_type) GROUP BY i.iid""" for n, (label, r, k) in enumerate(inv.STAGES))
+query("attack_story", osql(_STORY))(on_incidents(
+    lambda s, d, o: inv.attack_story(o.incidents, bridge.telemetry(s, d)).select(
+        "incident_id", "ord", "stage", us("first_seen").alias("first_us"), "events", joined("event_types").alias("event_types"))))
+
+
+def _recommend(o, entities):
+    return inv.recommend(o.incidents, o.detections, entities).select(
+        "incident_id", "ord", "rec_id", "priority", "category", "title", "reason",
+        F.array_join("actions", " | ").alias("actions"), joined("detection_refs").alias("detection_refs"),
+        "detection_count", joined("evidence_refs").alias("evidence_refs"), "evidence_count")
+
+
+_PRI = "CASE WHEN {0} IN ('HIGH','CRITICAL') THEN 'HIGH' WHEN {0} = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END"
+_REF = "array_to_string({0}[1:25], ',') AS detection_refs, len({0}) AS detection_count, array_to_string({1}[1:10], ',') AS evidence_refs, len({1}) AS evidence_count"
+
+
+def _rec_sql(p, sets, network):
+    fixed = lambda n, rid, pri, cat, title, reason, acts, frm, d="dids", e="ev": (
+        f"SELECT iid AS incident_id, {n} AS ord, {rid} AS rec_id, {pri} AS priority, '{cat}' AS category, {title} AS title, "
+        f"{reason} AS reason, {acts} AS actions, {_REF.format(d, e)} FROM {frm}")
+    acts = lambda *a: oracle.q(" | ".join(a))
+    pri = _PRI.format("severity")
+    parts = [fixed(0, "'rec-triage'", pri, "TRIAGE", "'Triage the incident timeline'",
+                   "'Incident ''' || title || ''' groups ' || n || ' detection(s)' || CASE WHEN len(s.src) > 0 THEN ' involving sources ' || array_to_string(s.src[1:3], ', ') "
+                   "WHEN len(s.dst) > 0 THEN ' involving destinations ' || array_to_string(s.dst[1:3], ', ') ELSE '' END || '.'",
+                   acts("Review the ordered detection timeline from earliest to latest.",
+                        "Identify the source and destination entities involved.",
+                        "Confirm whether the observed activity is expected in this environment."),
+                   f"(SELECT i.*, s.* EXCLUDE (iid) FROM {p}inc i LEFT JOIN ({sets}) s ON s.iid = i.iid) s")]
+    if network:
+        case = lambda f: "CASE rule_id " + " ".join(f"WHEN '{k}' THEN {oracle.q(f(v))}" for k, v in inv.GUIDANCE.items()) + " END"
+        parts.append(fixed(1, "'rec-network-' || rule_id", pri, "NETWORK", case(lambda v: v[0]),
+                           "len(ids) || ' ' || rule_id || ' detection(s) observed; review the network behavior before drawing conclusions.'",
+                           case(lambda v: " | ".join(v[1])),
+                           f"(SELECT i.iid, d.rule_id, d.severity, list_sort(list(d.did)) AS ids, list_sort(list_distinct(flatten(list(d.ev)))) AS evs "
+                           f"FROM {p}inc i JOIN {p}comp c ON c.comp = i.comp JOIN fent d ON d.did = c.did GROUP BY ALL)", "ids", "evs"))
+    else:
+        parts.append(fixed(2, "'rec-endpoint'", pri, "ENDPOINT", "'Investigate endpoint context'",
+                           "'Process or endpoint telemetry is associated with this incident.'",
+                           acts("Review the process associated with the event where available.",
+                                "Inspect host telemetry around the detection timestamps.",
+                                "Validate whether the process behavior is expected on the host."),
+                           f"(SELECT i.* FROM {p}inc i JOIN ({sets}) s ON s.iid = i.iid WHERE len(s.procs) > 0 OR list_contains(rule_ids, 'PROC-001') OR list_contains(rule_ids, 'PROC-002'))"))
+        parts.append(fixed(3, "'rec-identity'", pri, "IDENTITY", "'Investigate authentication context'",
+                           "'User or authentication context is associated with this incident.'",
+                           acts("Review the user or identity associated with the detections.",
+                                "Validate whether the authentication activity is expected for the identity.",
+                                "Check for related authentication events outside this incident window."), f"{p}inc"))
+        parts.append(fixed(4, "'rec-mitre-' || technique_id", pri, "MITRE", "'Investigate technique ' || technique_id", "rationale",
+                           "'Review ' || technique_name || ' guidance for defenders. | Validate whether the mapped behavior matches the technique pattern. | "
+                           "Scope which additional hosts or identities show the same pattern.'",
+                           f"(SELECT i.iid, i.severity, m.technique_id, m.technique_name, t.rationale, CAST([] AS VARCHAR[]) AS none, "
+                           f"(SELECT list_sort(list(d.did)) FROM {p}comp c JOIN ent d ON d.did = c.did WHERE c.comp = i.comp AND d.rule_id = m.source_rule_id) AS ids "
+                           f"FROM {p}inc i JOIN {p}map m ON m.iid = i.iid JOIN tech t ON t.rule_id = m.source_rule_id AND t.technique_id = m.technique_id)", "ids", "none"))
+    parts.append(fixed(6, "'rec-containment'", "CASE WHEN severity = 'CRITICAL' THEN 'HIGH' ELSE 'MEDIUM' END", "CONTAINMENT",
+                       "'Consider containment after validation'",
+                       "'Severity is ' || severity || '; containment may be warranted once activity is validated. Advisory only — nothing is executed.'",
+                       acts("Validate that the activity is not expected before acting.",
+                            "Consider containment of the affected asset after validation.",
+                            "Record the containment decision in an incident note."), f"{p}inc WHERE severity IN ('HIGH','CRITICAL')"))
+    return osql(" UNION ALL ".join(parts))
+
+
+_SRC = ("SELECT i.iid, list_sort(list(DISTINCT t.sip)) AS src, list_sort(list(DISTINCT t.dip) FILTER (t.dip IS NOT NULL)) AS dst, "
+        "list_sort(list(DISTINCT t.process_name) FILTER (t.process_name IS NOT NULL)) AS procs FROM isample i JOIN tel t USING (event_id) GROUP BY i.iid")
+query("recommend", _rec_sql("c_", _SRC, False))(on_incidents(
+    lambda s, d, o: _recommend(o, inv.entity_sets(o.incidents, bridge.telemetry(s, d)))))
+_FSRC = ("SELECT i.iid, list_sort(list(DISTINCT t.sip) FILTER (t.sip IS NOT NULL)) AS src, list_sort(list(DISTINCT t.dip) FILTER (t.dip IS NOT NULL)) AS dst "
+         "FROM (SELECT iid, unnest(ev[1:200]) AS event_id FROM fc_inc) i JOIN flw t USING (event_id) GROUP BY i.iid")
+query("recommend_flow", _rec_sql("fc_", _FSRC, True))(on_flows(
+    lambda s, d, o: _recommend(o, inv.entity_sets(o.incidents, bridge.flows(s, d).withColumns({
+        c: F.lit(None).cast("string") for c in ("user", "host", "process_name")})))))
+query("priority_for", osql(f"SELECT did AS detection_id, {_PRI.format('severity')} AS priority FROM fdets"))(
+    on_flows(lambda s, d, o: o.detections.select("detection_id", inv.priority_for("severity").alias("priority"))))
+
+# --- roll-ups and the query surface
+query("rule_catalog", osql("""SELECT rule_id, rule_name, min(severity) AS severities, count(*) AS firings, CAST(max(conf) AS DOUBLE) AS max_confidence,
+    min(first_us) AS first_us, max(last_us) AS last_us, array_to_string(list_sort(list(DISTINCT reason))[1:3], '|') AS reasons FROM fdets GROUP BY rule_id, rule_name"""))(
+    on_flows(lambda s, d, o: ru.rule_catalog(o.detections).select(
+        "rule_id", "rule_name", joined("severities").alias("severities"), "firings", "max_confidence",
+        us("first_seen").alias("first_us"), us("last_seen").alias("last_us"), F.array_join("reasons", "|").alias("reasons"))))
+query("technique_coverage", osql("""SELECT m.technique_id, m.technique_name, m.tactic, array_to_string(list_sort(list(DISTINCT m.source_rule_id)), ',') AS source_rule_ids,
+    count(DISTINCT r.iid) AS incidents, CAST(max(r.total) AS INT) AS max_risk_score, array_to_string(list_sort(list(DISTINCT r.severity)), ',') AS severities,
+    len(list_distinct(flatten(list(r.dids)))) AS detections FROM c_map m JOIN c_risk r ON r.iid = m.iid GROUP BY 1, 2, 3"""))(
+    on_incidents(lambda s, d, o: ru.technique_coverage(o.incidents).withColumns({
+        c: joined(c) for c in ("source_rule_ids", "severities")})))
+query("event_kpis", osql("""SELECT sum((status = 'failed')::INT)::BIGINT AS failed, count(DISTINCT source) AS sources,
+    (SELECT event_type FROM (SELECT event_type, count(*) AS n FROM recent GROUP BY 1) ORDER BY n DESC, event_type DESC LIMIT 1) AS top_type,
+    (SELECT count(*) FROM tel) AS total FROM (SELECT * FROM tel ORDER BY ts_us DESC, event_id LIMIT 100) recent""".replace(
+    "FROM recent", "FROM (SELECT * FROM tel ORDER BY ts_us DESC, event_id LIMIT 100)")))(
+    lambda s, d: ru.event_kpis(bridge.telemetry(s, d)))
+query("severity_mix", osql("SELECT s.severity, count(i.iid) AS n FROM (VALUES ('LOW'),('MEDIUM'),('HIGH'),('CRITICAL')) s(severity) LEFT JOIN c_inc i ON i.severity = s.severity GROUP BY 1"))(
+    on_incidents(lambda s, d, o: ru.severity_mix(o.incidents)))
+query("highest_risk", osql("SELECT iid AS incident_id, CAST(total AS INT) AS risk_score FROM (SELECT * FROM c_risk ORDER BY last_us DESC, iid LIMIT 25) ORDER BY total DESC, last_us DESC, iid LIMIT 5"))(
+    on_incidents(lambda s, d, o: ru.highest_risk(o.incidents).select("incident_id", "risk_score")))
+query("evidence_order", osql("SELECT event_id, ts_us, row_number() OVER (ORDER BY ts_us, event_id) AS position FROM tel ORDER BY ts_us DESC, event_id DESC LIMIT 50"))(
+    lambda s, d: _last_ordered(events(s, d)))
+
+
+def _last_ordered(rows):
+    """The end of the time order with exact positions."""
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    from palisade.operators.ordering import number_rows
+    every = number_rows(rows.select("event_id", "ts_us", "timestamp", F.lit("all").alias("g")), ["g"], 30 * MINUTE)
+    return inv.evidence_order(every.where(F.col("rn") > total - 50)).select(
+        "event_id", "ts_us", F.col("rn").alias("position"))
+
+
+def _paged(pair, *cols):
+    rows, totals = pair
+    return rows.select(*cols).withColumn("total", totals.select("total").scalar()).withColumn(
+        "pages", totals.select("pages").scalar())
+
+
+query("query_events", osql("""SELECT event_id, ts_us, (SELECT count(*) FROM tel WHERE event_type='authentication' AND status='failed' AND ts_us >= 1788404400000000) AS total,
+    (SELECT greatest(ceil(count(*) / 20), 1)::BIGINT FROM tel WHERE event_type='authentication' AND status='failed' AND ts_us >= 1788404400000000) AS pages
+  FROM tel WHERE event_type='authentication' AND status='failed' AND ts_us >= 1788404400000000 ORDER BY ts_us DESC, event_id LIMIT 20 OFFSET 20"""))(
+    lambda s, d: _paged(ru.query_events(
+        bridge.telemetry(s, d), number=2, size=20, event_type="authentication", status="failed",
+        start=F.expr("TIMESTAMP_NTZ'2026-09-03 03:00:00'")), "event_id", us("timestamp").alias("ts_us")))
+query("query_detections", osql("""SELECT did AS detection_id, (SELECT count(*) FROM fdets WHERE severity='MEDIUM' AND conf >= 0.56) AS total,
+    (SELECT greatest(ceil(count(*) / 50), 1)::BIGINT FROM fdets WHERE severity='MEDIUM' AND conf >= 0.56) AS pages
+  FROM fdets WHERE severity='MEDIUM' AND conf >= 0.56 ORDER BY last_us DESC, did LIMIT 50"""))(
+    on_flows(lambda s, d, o: _paged(ru.query_detections(o.detections, severity="MEDIUM", min_confidence=0.56), "detection_id")))
+query("query_incidents", osql("""SELECT iid AS incident_id, (SELECT count(*) FROM c_risk WHERE severity='HIGH' AND total >= 60) AS total,
+    (SELECT greatest(ceil(count(*) / 50), 1)::BIGINT FROM c_risk WHERE severity='HIGH' AND total >= 60) AS pages
+  FROM c_risk WHERE severity='HIGH' AND total >= 60 ORDER BY last_us DESC, iid LIMIT 50"""))(
+    on_incidents(lambda s, d, o: _paged(ru.query_incidents(o.incidents, severity="HIGH", min_risk=60), "incident_id")))
+query("get_by_key", osql("SELECT event_id, event_type FROM tel WHERE event_id = 'evt-00000500'"))(
+    lambda s, d: ru.get_by_key(bridge.telemetry(s, d), "event_id", "evt-00000500").select("event_id", "event_type"))
+
+# --- evaluation against labels
+_ATT = "label NOT IN ('Benign', '', '<empty>')"
+oracle.CTE["cov"] = "SELECT d.did, d.rule_id, e.event_id, f.label FROM (SELECT did, rule_id, unnest(ev) AS event_id FROM fdets) e JOIN flw f USING (event_id) JOIN fdets d USING (did)"
+oracle.CTE["supp"] = f"SELECT count(*) AS uni, count(*) FILTER ({_ATT}) AS sp FROM flw"
+
+
+def labels(s, d):
+    return ev.label_by_event(bridge.flows(s, d), F.col("label"))
+
+
+_PRF = """tp, cov AS covered_events, cov - tp AS fp, sp - tp AS fn, uni - cov - (sp - tp) AS tn, sp AS support_positive, uni - sp AS support_benign,
+  CASE WHEN cov > 0 THEN tp / cov END AS precision, CASE WHEN sp > 0 THEN tp / sp END AS recall,
+  CASE WHEN cov > 0 AND sp > 0 AND tp > 0 THEN 2 * (tp / cov) * (tp / sp) / (tp / cov + tp / sp) END AS f1,
+  (cov - tp) / (cov - tp + uni - cov - (sp - tp)) AS fpr"""
+query("normalize_label", osql("SELECT label, count(*) AS n FROM flw GROUP BY label"))(
+    lambda s, d: bridge.flows(s, d).groupBy(ev.normalize_label("label").alias("label")).agg(F.count(F.lit(1)).alias("n")))
+query("label_by_event", osql("SELECT event_id, label FROM flw"))(labels)
+query("attribute", osql(f"""SELECT did AS detection_id, any_value(rule_id) AS rule_id, array_to_string(list_sort(list(event_id)), ',') AS covered,
+    coalesce(array_to_string(list_sort(list(event_id) FILTER ({_ATT})), ','), '') AS positive,
+    coalesce(array_to_string(list_sort(list(event_id) FILTER (NOT {_ATT})), ','), '') AS benign FROM cov GROUP BY did"""))(
+    on_flows(lambda s, d, o: ev.attribute(o.detections, labels(s, d)).select(
+        "detection_id", "rule_id", *[joined(c).alias(c) for c in ("covered", "positive", "benign")])))
+query("rule_metrics", osql(f"""SELECT rule_id, detections, {_PRF} FROM (SELECT rule_id, count(DISTINCT event_id) AS cov, count(DISTINCT event_id) FILTER ({_ATT}) AS tp,
+    count(DISTINCT did) AS detections FROM cov GROUP BY rule_id), supp"""))(
+    on_flows(lambda s, d, o: ev.rule_metrics(o.detections, labels(s, d))))
+query("overall_summary", osql(f"""SELECT total_detections, {_PRF} FROM (SELECT count(DISTINCT event_id) AS cov, count(DISTINCT event_id) FILTER ({_ATT}) AS tp,
+    count(DISTINCT did) AS total_detections FROM cov), supp"""))(
+    on_flows(lambda s, d, o: ev.overall_summary(o.detections, labels(s, d))))
+query("label_coverage", osql("""SELECT label, events, coalesce(covered, 0) AS covered, coalesce(covered, 0) / events AS coverage FROM
+   (SELECT label, count(*) AS events FROM flw GROUP BY label) LEFT JOIN (SELECT label, count(DISTINCT event_id) AS covered FROM cov GROUP BY label) USING (label)"""))(
+    on_flows(lambda s, d, o: ev.label_coverage(o.detections, labels(s, d))))
+query("collect_labels", osql("SELECT DISTINCT event_id, label FROM cov"))(
+    on_flows(lambda s, d, o: ev.collect_labels(labels(s, d), o.detections.select(
+        F.explode("evidence_event_ids").alias("event_id")))))
+query("label_totals", osql("SELECT CASE WHEN label = '' THEN '<empty>' ELSE label END AS label, count(*) AS events FROM flw GROUP BY 1"))(
+    lambda s, d: ev.label_totals(labels(s, d)))
+query("build_episodes", osql(f"SELECT label, count(*) AS events, min(event_id) AS first_event_id FROM flw WHERE {_ATT} GROUP BY label"))(
+    lambda s, d: ev.build_episodes(labels(s, d)))
+oracle.CTE["bhit"] = f"""SELECT d.did, d.rule_id, b.hits FROM fdets d LEFT JOIN (SELECT m.did, coalesce(list(DISTINCT f.label) FILTER ({_ATT}), []) AS hits
+   FROM fmem m JOIN flw f USING (event_id) GROUP BY m.did) b USING (did)"""
+_BKT = f"""count(*) AS detection_bucket_count, count(hits) AS evaluated_buckets, count(*) - count(hits) AS unavailable_buckets,
+   count(*) FILTER (len(hits) > 0) AS bucket_tp, count(*) FILTER (len(hits) = 0) AS bucket_fp, len(list_distinct(flatten(list(hits)))) AS attack_bucket_hit,
+   (SELECT count(DISTINCT label) FROM flw WHERE {_ATT}) AS attack_bucket_count,
+   count(*) FILTER (len(hits) > 0) / count(hits) AS bucket_precision,
+   len(list_distinct(flatten(list(hits)))) / (SELECT count(DISTINCT label) FROM flw WHERE {_ATT}) AS bucket_recall,
+   'available' AS bucket_metric_status, '' AS bucket_metric_reason"""
+query("bucket_metrics", osql(f"SELECT {_BKT} FROM bhit"))(
+    on_flows(lambda s, d, o: ev.bucket_metrics(o.detections, o.members, labels(s, d))))
+query("rule_bucket_metrics", osql(f"SELECT rule_id, {_BKT} FROM bhit GROUP BY rule_id"))(
+    on_flows(lambda s, d, o: ev.bucket_metrics(o.detections, o.members, labels(s, d), by_rule=True)))
+oracle.CTE["ihit"] = f"""SELECT i.iid, i.n, i.nets, array_to_string(i.rule_ids, '+') AS comp_name, len(i.ev) AS evn, coalesce(h.hits, []) AS hits
+   FROM fc_inc i LEFT JOIN (SELECT c.comp, list(DISTINCT f.label) FILTER ({_ATT}) AS hits FROM fc_comp c JOIN fmem m ON m.did = c.did JOIN flw f USING (event_id)
+   GROUP BY c.comp) h ON h.comp = i.comp"""
+query("incident_metrics", osql(f"""SELECT count(*) AS total_incidents, count(*) FILTER (len(hits) > 0) AS attack_incidents, count(*) FILTER (len(hits) = 0) AS benign_incidents,
+   len(list_distinct(flatten(list(hits)))) AS attack_bucket_hit, avg(n) AS detections_per_incident, median(n)::DOUBLE AS median_detections_per_incident,
+   CAST(max(n) AS INT) AS max_detections_per_incident, count(*) FILTER (evn > 0) AS incidents_with_evidence, count(*) AS incidents_with_buckets,
+   count(*) FILTER (len(nets) > 0) AS incidents_with_network, (SELECT count(DISTINCT label) FROM flw WHERE {_ATT}) AS attack_bucket_count,
+   count(*) FILTER (len(hits) > 0) / count(*) AS incident_precision,
+   len(list_distinct(flatten(list(hits)))) / (SELECT count(DISTINCT label) FROM flw WHERE {_ATT}) AS incident_recall FROM ihit"""))(
+    on_flows(lambda s, d, o: ev.incident_metrics(o.incidents, o.detections, o.members, labels(s, d))))
+query("rule_composition", osql("SELECT comp_name AS composition, count(*) AS incidents FROM ihit GROUP BY 1"))(
+    on_flows(lambda s, d, o: ev.rule_composition(o.incidents, o.detections, o.members, labels(s, d))))
+query("fp_notes", osql(f"""SELECT f.did AS detection_id, f.rule_id, f.fp AS fingerprint, count(DISTINCT c.event_id) FILTER (NOT {_ATT}) AS benign_events
+   FROM (SELECT * FROM fdets ORDER BY fp LIMIT 20) f JOIN cov c USING (did) GROUP BY ALL"""))(
+    on_flows(lambda s, d, o: ev.fp_notes(o.detections, labels(s, d))))
+query("detection_record", osql("SELECT d.did AS detection_id, d.fp AS fingerprint, concat_ws(':', nk_kind, nk_a, nk_b) AS network_entity, m.ids AS bucket_event_ids FROM fdets d JOIN (SELECT did, array_to_string(list_sort(list(event_id)), ',') AS ids FROM fmem GROUP BY did) m USING (did)"))(
+    on_flows(lambda s, d, o: ev.detection_record(o.detections, o.members, corr.network_key()).select(
+        "detection_id", "fingerprint", F.concat_ws(":", "network_entity.kind", "network_entity.a", "network_entity.b").alias("network_entity"),
+        joined("bucket_event_ids").alias("bucket_event_ids"))))
+query("incident_record", osql("SELECT i.iid AS incident_id, array_to_string(list_sort(list(DISTINCT m.event_id)), ',') AS bucket_event_ids FROM fc_inc i JOIN fc_comp c ON c.comp = i.comp JOIN fmem m ON m.did = c.did GROUP BY i.iid"))(
+    on_flows(lambda s, d, o: ev.incident_record(o.incidents, o.members).select("incident_id", joined("bucket_event_ids").alias("bucket_event_ids"))))
+_DRAW = "md5('7|' || event_id)"
+query("reservoir_sample", osql(f"SELECT event_id FROM flw ORDER BY {_DRAW}, event_id LIMIT 500"))(
+    lambda s, d: ev.reservoir_sample(labels(s, d), 500, 7).select("event_id"))
+query("stratified_sample", osql(f"""SELECT event_id, label FROM flw QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_DRAW}, event_id)
+   <= (SELECT greatest(500 // count(DISTINCT label), 1) FROM flw)"""))(
+    lambda s, d: ev.stratified_sample(labels(s, d), 500, 7))
+query("stride_sample", osql("""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS p FROM flw)
+   WHERE p IN (SELECT CAST(floor(i * (SELECT count(*) FROM flw) / 700.0) AS BIGINT) FROM range(700) r(i))"""))(
+    lambda s, d: ev.stride_sample(bridge.flows(s, d).select("event_id", "ts_us"), 700, 5 * MINUTE).select("event_id"))
+
+
+def _relabel(s, d, o):
+    """Detections of the same flows under permuted labels, compared both ways."""
+    mixed = bridge.flows(s, d).withColumn("label", F.reverse(F.col("label")))
+    again = run_rules(mixed, {k: r for k, r in flow_rules(FLOWS).items() if k in ("FLOW-004", "FLOW-006")}).detections
+    first = o.detections.where(F.col("rule_id").isin("FLOW-004", "FLOW-006"))
+    ids = lambda x: x.select("detection_id", "reason")
+    return ids(first).exceptAll(ids(again)).unionByName(ids(again).exceptAll(ids(first))).agg(
+        F.count(F.lit(1)).alias("differences"))
+
+
+query("relabel_invariance", "SELECT 0::BIGINT AS differences")(on_flows(_relabel))
+
+# --- behaviour
+UEBA = UebaConfig()
+_UE = ", ".join(f"round({x}::DOUBLE, 6) AS {n}" for n, x in (
+    ("event_count", "count(*)"), ("auth_event_count", "count(*) FILTER (event_type='authentication')"),
+    ("failed_auth_count", "count(*) FILTER (status='failed')"), ("successful_auth_count", "count(*) FILTER (status='success')"),
+    ("failed_auth_ratio", "coalesce(count(*) FILTER (status='failed') / nullif(count(*) FILTER (event_type='authentication'), 0), 0)"),
+    ("unique_source_ip_count", "count(DISTINCT sip)"), ("new_source_ip_count", "count(DISTINCT sip) FILTER (first_w = w)"),
+    ("unique_destination_count", "count(DISTINCT coalesce(dip, domain))"), ("dns_event_count", "count(*) FILTER (event_type='dns_query')"),
+    ("outbound_bytes_log1p", "ln(1 + coalesce(sum(sent), 0))"), ("process_event_count", "count(*) FILTER (event_type='process_creation')"),
+    ("unusual_hour_event_count", "count(*) FILTER ((ts_us // 3600000000) % 24 NOT BETWEEN 8 AND 19)")))
+oracle.CTE["uobs"] = f"""SELECT usr AS entity_key, w AS window_us, {_UE}, array_to_string(list_sort(list(event_id)), ',') AS event_ids FROM
+  (SELECT *, min(w) OVER (PARTITION BY usr, sip) AS first_w FROM (SELECT *, ts_us // 3600000000 * 3600000000 AS w FROM tel)) GROUP BY usr, w"""
+
+
+def observations(s, d):
+    return ueba.features(events(s, d), UEBA)
+
+
+query("ueba_features", osql("SELECT * FROM uobs"))(
+    lambda s, d: observations(s, d).drop("window_start").withColumn("event_ids", joined("event_ids")))
+query("ueba_new_ip", osql("""SELECT usr AS user_name, w AS window_us, count(*) AS new_ips FROM
+   (SELECT usr, sip, min(ts_us // 3600000000 * 3600000000) AS w FROM tel GROUP BY usr, sip) GROUP BY ALL"""))(
+    lambda s, d: ueba.new_ips(ueba._rows(events(s, d), UEBA)).withColumnRenamed("user", "user_name"))
+query("ueba_baseline", osql("""SELECT entity_key, window_us, hw AS history_windows, he AS history_events,
+   CASE WHEN hw = 0 AND he = 0 THEN 'COLD_START' WHEN hw < 5 OR he < 10 THEN 'INSUFFICIENT_HISTORY' ELSE 'READY' END AS baseline_status FROM
+   (SELECT entity_key, window_us, count(*) OVER v AS hw, coalesce(sum(event_count) OVER v, 0)::BIGINT AS he FROM uobs
+    WINDOW v AS (PARTITION BY entity_key ORDER BY window_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""))(
+    lambda s, d: ueba.baseline(observations(s, d), UEBA))
+def _scenario():
+    return F.get_json_object("raw_event", "$.scenario_type")
+
+
+query("train_eval_split", osql("SELECT event_id FROM tel WHERE ts_us < 1788415200000000 AND scenario_type = 'normal'"))(
+    lambda s, d: ueba.train_split(events(s, d), 1_788_415_200_000_000, _scenario() == "normal").select("event_id"))
+
+
+@once
+def scored(s, d):
+    train = ueba.train_split(events(s, d), 1_788_415_200_000_000, _scenario() == "normal")
+    model = ueba.fit(pin(ueba.features(train, UEBA)), UEBA)
+    return checkpointed(ueba.score(observations(s, d), model, UEBA))
+
+
+query("ueba_fit")(lambda s, d: ueba.fit_forest(observations(s, d), UEBA))
+query("ueba_score")(lambda s, d: scored(s, d).drop("event_ids", "feature_context", "window_start"))
+query("ueba_eval")(lambda s, d: ueba.scenario_report(scored(s, d), bridge.telemetry(s, d), _scenario()))
+query("ueba_attach")(on_incidents(lambda s, d, o: ueba.attach(o.incidents, scored(s, d), UEBA).select(
+    "incident_id", "ueba.available", "ueba.anomaly_score", "ueba.anomaly_flag", "ueba.reason")))
+query("anomaly_list")(on_incidents(lambda s, d, o: ru.anomaly_list(ueba.attach(o.incidents, scored(s, d), UEBA))))
+
+# --- text
+query("secret_scan", "SELECT doc_id, CASE " + " ".join(
+    f"WHEN regexp_matches(text, {oracle.q(p)}, 'i') THEN {oracle.q(p)}" for p in text.SECRETS) +
+    " END AS secret_pattern FROM documents WHERE secret_pattern IS NOT NULL")(
+    lambda s, d: text.secret_scan(bridge.table(s, d, "documents"), "text").select("doc_id", "secret_pattern"))
+_any = lambda ps: " OR ".join(f"regexp_matches(text, {oracle.q(p)}, 'i')" for p in ps)
+query("injection_scan", f"SELECT doc_id, ({_any(text.INJECTIONS)}) AS injection FROM documents")(
+    lambda s, d: text.injection_scan(bridge.table(s, d, "documents"), "text").select("doc_id", "injection"))
+query("intent_scan", f"SELECT conv_id, turn, ({_any(text.STATE_CHANGES)}) AS state_change FROM conversations WHERE role = 'user'")(
+    lambda s, d: text.intent_scan(bridge.table(s, d, "conversations").where("role = 'user'"), "text").select(
+        "conv_id", "turn", "state_change"))
+
+
+def _citations(s, d, o):
+    det, evi = F.get("detection_ids", F.lit(0)), F.get("evidence_event_ids", F.lit(0))
+    answers = o.incidents.select("incident_id", F.col("incident_id").alias("answer_id"), F.concat(
+        F.lit("See [DET:"), det, F.lit("] and [EVID:"), evi, F.lit("], [MITRE:T9999] or [DET:"), det,
+        F.lit("].")).alias("text"))
+    ids = lambda c, k: o.incidents.select("incident_id", F.lit(k).alias("kind"), F.explode(c).alias("id"))
+    valid, dropped = text.citation_check(answers, ids("detection_ids", "DET").unionByName(ids("evidence_event_ids", "EVID")))
+    return valid.join(dropped.select("answer_id", "dropped"), "answer_id").select("answer_id", "type", "id", "pos", "dropped")
+
+
+query("citation_check", osql("""SELECT iid AS answer_id, 'detection' AS type, dids[1] AS id, 0 AS pos, 2 AS dropped FROM c_inc
+   UNION ALL SELECT iid, 'event', ev[1], 1, 2 FROM c_inc"""))(on_incidents(_citations))
+
+# --- cases: requests derived from the conversation turns
+_STATUS = ("INVESTIGATING", "CONTAINED", "RESOLVED", "NEW", "BOGUS")
+
+
+def requests(s, d):
+    n = F.col("conv_id") * 7 + F.col("turn") * 3 + F.length("text")
+    return bridge.table(s, d, "conversations").select(
+        F.concat(F.lit("inc-"), F.col("conv_id").cast("string")).alias("incident_id"), F.col("turn").alias("seq"),
+        F.get(F.array(*map(F.lit, _STATUS)), (n % 5).cast("int")).alias("status"),
+        F.when(n % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("analyst-"), (n % 3).cast("string"))).alias("assignee"),
+        F.col("role").alias("author"), F.when(n % 9 == 0, F.lit("  ")).otherwise(F.col("text")).alias("body"))
+
+
+oracle.CTE["req"] = f"""SELECT 'inc-' || conv_id AS incident_id, turn AS seq, {list(_STATUS)}[(conv_id * 7 + turn * 3 + length(text)) % 5 + 1] AS status,
+   CASE WHEN (conv_id * 7 + turn * 3 + length(text)) % 4 <> 0 THEN 'analyst-' || ((conv_id * 7 + turn * 3 + length(text)) % 3) END AS assignee, role AS author,
+   CASE WHEN (conv_id * 7 + turn * 3 + length(text)) % 9 = 0 THEN '  ' ELSE text END AS body,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations"""
+_OK = """((b = 'NEW' AND r = 'INVESTIGATING') OR (b = 'INVESTIGATING' AND r IN ('CONTAINED','RESOLVED')) OR (b = 'CONTAINED' AND r IN ('INVESTIGATING','RESOLVED')))"""
+oracle.CTE_COLUMNS["walk"] = "incident_id, k, seq, before, requested, accepted, after"
+oracle.CTE["walk"] = f"""SELECT *, CASE WHEN ok THEN r ELSE b END FROM (SELECT incident_id, k, seq, b, r, {_OK} AS ok FROM
+     (SELECT incident_id, k, seq, 'NEW' AS b, status AS r FROM req WHERE k = 1))
+   UNION ALL SELECT *, CASE WHEN ok THEN r ELSE b END FROM (SELECT incident_id, k, seq, b, r, {_OK} AS ok FROM
+     (SELECT q.incident_id, q.k, q.seq, w.after AS b, q.status AS r FROM walk w JOIN req q ON q.incident_id = w.incident_id AND q.k = w.k + 1))"""
+query("case_transitions", osql("SELECT incident_id, seq, requested, before, accepted, after FROM walk"))(
+    lambda s, d: cases.case_transitions(requests(s, d)).drop("reason"))
+oracle.CTE["asg"] = """SELECT incident_id, seq, before, assignee, CASE WHEN assignee IS NULL THEN 'UNASSIGNED' ELSE 'ASSIGNED' END AS action FROM
+   (SELECT incident_id, seq, assignee, lag(assignee) OVER (PARTITION BY incident_id ORDER BY seq) AS before FROM req) WHERE assignee IS DISTINCT FROM before"""
+query("case_assign", osql("SELECT * FROM asg"))(lambda s, d: cases.case_assign(requests(s, d)))
+oracle.CTE["nts"] = """SELECT incident_id, seq, 'note-' || substr(md5(incident_id || '|' || seq), 1, 12) AS note_id, author,
+   CASE WHEN trim(body) = '' THEN 'invalid note body: expected non-empty plain text'
+        WHEN length(trim(body)) > 5000 THEN 'invalid note body: exceeds 5000 characters' END AS refused FROM req"""
+query("case_notes", osql("SELECT * FROM nts"))(lambda s, d: cases.case_notes(requests(s, d)).drop("body"))
+query("case_activity", osql("""SELECT incident_id, seq, 'STATUS_CHANGED' AS action, before AS from_value, after AS to_value FROM walk WHERE accepted
+   UNION ALL SELECT incident_id, seq, action, before, assignee FROM asg UNION ALL SELECT incident_id, seq, 'NOTE_ADDED', NULL, note_id FROM nts WHERE refused IS NULL"""))(
+    lambda s, d: cases.case_activity(cases.case_transitions(requests(s, d)), cases.case_assign(requests(s, d)),
+                                     cases.case_notes(requests(s, d))).drop("activity_id"))
+query("context_bound", osql("""SELECT i.iid AS incident_id, i.n AS timeline_total,
+   array_to_string(list_transform(list_sort(list({'f': d.first_us, 'd': d.did}))[1:100], lambda x: x.d), ',') AS timeline FROM c_inc i JOIN c_comp c ON c.comp = i.comp JOIN ent d ON d.did = c.did GROUP BY i.iid, i.n"""))(
+    on_incidents(lambda s, d, o: inv.context_bound(
+        inv.timeline(o.incidents, o.detections, o.members),
+        cases.case_notes(requests(s, d)).withColumn("created_at", F.col("seq"))).select(
+        "incident_id", "timeline_total", joined("timeline").alias("timeline"))))
+
+# --- submissions, storage and adapters
+
+
+def submissions(s, d):
+    n = F.substring("event_id", 5, 12).cast("int")
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return bridge.telemetry(s, d).withColumn("arrival", n).withColumns({
+        "timestamp": F.concat(stamp, F.when(n % 11 == 0, "").when(n % 13 == 0, "+02:00").otherwise("Z")),
+        "event_type": F.when(n % 3 == 0, F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "))).otherwise(F.col("event_type")),
+        "destination_port": F.when(n % 17 == 0, "70000").otherwise(F.col("destination_port").cast("string")),
+        "source_ip": F.when(n % 19 == 0, "999.1.1.1").otherwise(F.col("source_ip")),
+        "bytes_sent": F.when(n % 23 == 0, -5).otherwise(F.col("bytes_sent")),
+        "status": F.upper("status"),
+        "event_id": F.when(n % 29 == 0, "  ").when(n % 31 == 0, F.concat(
+            F.lit("evt-"), F.lpad((n - 1).cast("string"), 8, "0"))).otherwise(F.col("event_id")),
+    })
+
+
+oracle.CTE["sub"] = """SELECT *, array_to_string(list_filter([CASE WHEN n % 29 = 0 THEN 'missing:event_id' END, CASE WHEN n % 11 = 0 THEN 'naive:timestamp' END,
+   CASE WHEN n % 17 = 0 THEN 'bad:destination_port' END, CASE WHEN n % 19 = 0 THEN 'bad:source_ip' END, CASE WHEN n % 23 = 0 THEN 'negative:bytes_sent' END],
+   lambda x: x IS NOT NULL), ',') AS errors,
+   CASE WHEN n % 31 = 0 THEN 'evt-' || lpad((n - 1)::VARCHAR, 8, '0') ELSE event_id END AS sid FROM (SELECT *, CAST(substr(event_id, 5) AS INT) AS n FROM tel)"""
+query("validate_contract", osql("SELECT n AS arrival, errors FROM sub"))(
+    lambda s, d: ingest.validate_contract(submissions(s, d)).select("arrival", joined("errors").alias("errors")))
+query("normalize_event", osql("SELECT n AS arrival, sid AS event_id, CASE WHEN n % 13 = 0 THEN ts_us - 7200000000 ELSE ts_us END AS ts_us, event_type, status, lower(domain) AS domain, sip AS source_ip, protocol FROM sub WHERE errors = ''"))(
+    lambda s, d: ingest.normalize_event(ingest.validate_contract(submissions(s, d)).where("size(errors) = 0")).select(
+        "arrival", "event_id", us("timestamp").alias("ts_us"), "event_type", "status", "domain", "source_ip", "protocol"))
+query("sink_batch_report", osql("""SELECT status, count(*) AS items FROM (SELECT CASE WHEN errors <> '' THEN 'rejected'
+   WHEN row_number() OVER (PARTITION BY errors <> '', sid ORDER BY n) = 1 THEN 'created' ELSE 'duplicate' END AS status FROM sub) GROUP BY status"""))(
+    lambda s, d: ingest.batch_report(submissions(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("items")))
+query("sink_events_dedup", osql("""SELECT event_id, CASE WHEN n % 3 = 0 THEN 'duplicate' ELSE 'created' END AS status FROM (SELECT *, CAST(substr(event_id, 5) AS INT) AS n FROM tel)"""))(
+    lambda s, d: ingest.split_new(
+        bridge.telemetry(s, d).withColumn("arrival", F.col("timestamp")).drop("status"),
+        bridge.telemetry(s, d).where(F.substring("event_id", 5, 12).cast("int") % 3 == 0)).select("event_id", "status"))
+query("telemetry_audit", osql("""SELECT event_id, CASE WHEN kind = 'view' AND k = 8 THEN 'secret:password' ELSE '' END AS errors FROM tel_k"""))(
+    lambda s, d: ingest.telemetry_audit(bridge.telemetry(s, d)).select("event_id", joined("errors").alias("errors")))
+query("event_identity", "SELECT doc_id, " + oracle.uuid5(flowcsv.NAMESPACE_2018, "'doc|' || doc_id || '|' || source") + " AS id FROM documents")(
+    lambda s, d: bridge.table(s, d, "documents").select("doc_id", flowcsv.uuid5(
+        flowcsv.NAMESPACE_2018, F.concat_ws("|", F.lit("doc"), F.col("doc_id").cast("string"), "source")).alias("id")))
+
+
+def _upsert(s, d, o):
+    at = F.expr("TIMESTAMP_NTZ'2026-09-04 00:00:00'")
+    later = F.expr("TIMESTAMP_NTZ'2026-09-05 00:00:00'")
+    even = F.conv(F.substring("incident_id", 1, 1), 16, 10).cast("int") % 2 == 0
+    base = o.incidents.select("incident_id", "title", "status", "risk_score")
+    stored = ingest.upsert_incidents(None, base.where(even).withColumns({
+        "status": F.lit("RESOLVED"), "assignee": F.lit("kim")}), at).drop("change")
+    return ingest.upsert_incidents(stored, base, later).select(
+        "incident_id", "status", "assignee", us("created_at").alias("created_us"), us("updated_at").alias("updated_us"), "change")
+
+
+query("upsert_incidents", osql("""SELECT iid AS incident_id, 'NEW' AS status, CASE WHEN ev2 THEN 'kim' END AS assignee,
+   CASE WHEN ev2 THEN 1788480000000000 ELSE 1788566400000000 END AS created_us, 1788566400000000 AS updated_us, CASE WHEN ev2 THEN 'updated' ELSE 'created' END AS change
+   FROM (SELECT iid, substr(iid, 1, 1) IN ('0','2','4','6','8','a','c','e') AS ev2 FROM c_inc)"""))(on_incidents(_upsert))
+query("upsert_detections", osql("SELECT rule_id, CASE WHEN rule_id = 'FLOW-006' THEN 'updated' ELSE 'created' END AS change, count(*) AS n FROM fdets GROUP BY ALL"))(
+    on_flows(lambda s, d, o: ingest.upsert_detections(
+        ingest.upsert_detections(None, o.detections.where("rule_id = 'FLOW-006'"), F.expr("TIMESTAMP_NTZ'2026-09-04 00:00:00'")).drop("change"),
+        o.detections, F.expr("TIMESTAMP_NTZ'2026-09-05 00:00:00'")).groupBy("rule_id", "change").agg(F.count(F.lit(1)).alias("n"))))
+query("referential_check", osql("SELECT i.iid AS incident_id, d.did AS detection_id FROM c_inc i JOIN c_comp c ON c.comp = i.comp JOIN ent d ON d.did = c.did WHERE d.rule_id = 'AUTH-002'"))(
+    on_incidents(lambda s, d, o: ingest.referential_check(o.incidents, o.detections.where("rule_id <> 'AUTH-002'"))))
+query("sink_jsonl_digest")(on_flows(lambda s, d, o: ingest.digest(ingest.jsonl(
+    o.detections.select("fingerprint", "detection_id", "rule_id", "severity", "confidence", "reason")))))
+
+
+def _flow_rows(s, d):
+    """The flows as all-text CSV-like rows, some of them malformed."""
+    v = bridge.flows(s, d)
+    n = F.conv(F.substring("event_id", 6, 6), 16, 10).cast("bigint")
+    t = lambda c: nz(F.col(c).cast("string"), "")
+    return v.withColumn("n", n), t
+
+
+def _rows_2018(s, d):
+    v, t = _flow_rows(s, d)
+    return v.select(
+        F.when(F.col("n") % 41 == 0, "not a time").otherwise(F.date_format(from_micros("ts_us"), "dd/MM/yyyy HH:mm:ss")).alias("Timestamp"),
+        F.when(F.col("n") % 43 == 0, "99999").otherwise(t("destination_port")).alias("Dst Port"),
+        F.when(F.col("protocol") == "TCP", "6").otherwise("17").alias("Protocol"), t("source_ip").alias("Src IP"),
+        t("destination_ip").alias("Dst IP"), t("bytes_sent").alias("TotLen Fwd Pkts"),
+        F.when(F.col("n") % 7 == 0, "-1").otherwise(t("bytes_received")).alias("TotLen Bwd Pkts"),
+        t("syn").alias("SYN Flag Cnt"), F.when(F.col("n") % 5 == 0, "Infinity").otherwise(t("byte_rate")).alias("Flow Byts/s"),
+        F.col("label").alias("Label"), F.lit("day.csv").alias("source_file"), F.col("n").alias("source_row"))
+
+
+def _adapted(df):
+    return df.select("event_id", us("timestamp").alias("ts_us"), "destination_port", "protocol", "source_ip", "destination_ip",
+                     "bytes_sent", "bytes_received", "syn", "byte_rate", "label", "reject_code")
+
+
+oracle.CTE["fn"] = "SELECT *, CAST(('0x' || substr(event_id, 6, 6)) AS BIGINT) AS n FROM flw"
+query("adapt_flow_2018", osql("SELECT " + oracle.uuid5(flowcsv.NAMESPACE_2018, "'cse_cic_ids2018|cse-cic-ids2018-v1|day.csv|' || n") + """ AS event_id,
+   CASE WHEN n % 41 <> 0 THEN ts_us // 1000000 * 1000000 END AS ts_us, CASE WHEN n % 43 <> 0 THEN port END AS destination_port, protocol, sip AS source_ip, dip AS destination_ip,
+   sent AS bytes_sent, CASE WHEN n % 7 <> 0 THEN received END AS bytes_received, syn::DOUBLE AS syn, CASE WHEN n % 5 <> 0 THEN byte_rate END AS byte_rate, label,
+   CASE WHEN n % 41 = 0 THEN 'bad_timestamp' WHEN n % 43 = 0 THEN 'bad_port' END AS reject_code FROM fn"""))(
+    lambda s, d: _adapted(flowcsv.adapt_flow_2018(_rows_2018(s, d))))
+
+
+def _rows_2017(s, d):
+    v, t = _flow_rows(s, d)
+    file = F.when(F.col("n") % 3 == 0, "Friday-PortScan.csv").when(F.col("n") % 3 == 1, "Tuesday-Hours.csv").otherwise("Monday.csv")
+    return v.select(
+        F.concat_ws(" ", F.lit("7/7/2017"), F.concat((F.col("n") % 14).cast("string"), F.lit(":"), F.lpad((F.col("n") % 60).cast("string"), 2, "0"))).alias("Timestamp"),
+        t("destination_port").alias("Destination Port"), F.lit("6").alias("Protocol"), t("source_ip").alias("Source IP"), t("destination_ip").alias("Destination IP"),
+        t("bytes_sent").alias("Total Length of Fwd Packets"), t("bytes_received").alias("Total Length of Bwd Packets"),
+        t("syn").alias("SYN Flag Count"), F.format_number("byte_rate", 0).alias("Flow Byts/s"), F.col("label").alias("Label"), file.alias("source_file"), F.col("n").alias("source_row"))
+
+
+query("adapt_flow_2017", osql("SELECT " + oracle.uuid5(flowcsv.NAMESPACE_2017, "'cicids2017|cicids2017-v1|' || f || '|' || n") + """ AS event_id, ts_us, port AS destination_port, 'TCP' AS protocol,
+   sip AS source_ip, dip AS destination_ip, sent AS bytes_sent, received AS bytes_received, syn::DOUBLE AS syn, byte_rate, label,
+   CASE WHEN n % 3 = 2 THEN 'bad_session' WHEN ts_us IS NULL THEN 'bad_timestamp' END AS reject_code FROM (SELECT * EXCLUDE (ts_us), CASE n % 3 WHEN 0 THEN 'Friday-PortScan.csv' WHEN 1 THEN 'Tuesday-Hours.csv' ELSE 'Monday.csv' END AS f,
+   epoch_us(TIMESTAMP '2017-07-07') + (n % 60) * 60000000 + 3600000000 * CASE WHEN n % 3 = 2 THEN NULL WHEN n % 14 = 12 THEN 12 WHEN n % 3 = 0 AND n % 14 BETWEEN 1 AND 11 THEN n % 14 + 12
+     WHEN n % 3 = 1 AND n % 14 BETWEEN 8 AND 11 THEN n % 14 WHEN n % 3 = 1 AND n % 14 BETWEEN 1 AND 5 THEN n % 14 + 12 END AS ts_us FROM fn)"""))(
+    lambda s, d: _adapted(flowcsv.adapt_flow_2017(_rows_2017(s, d))))
+query("dataset_profile", osql("""SELECT count(*) AS rows_read, count(*) FILTER (ok) AS normalized, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok AND sip IS NULL) AS missing_source_ip,
+   count(*) FILTER (ok AND dip IS NULL) AS missing_destination_ip, count(*) FILTER (ok) AS missing_user, count(*) FILTER (ok) AS missing_host, count(DISTINCT n) FILTER (ok) AS distinct_ids
+   FROM (SELECT *, n % 41 <> 0 AND n % 43 <> 0 AS ok FROM fn)"""))(
+    lambda s, d: flowcsv.dataset_profile(flowcsv.adapt_flow_2018(_rows_2018(s, d))).drop("first_seen", "last_seen"))
+query("flow_view", osql("SELECT count(*) AS flows, count(byte_rate) AS rated, sum(syn)::DOUBLE AS syn FROM (SELECT syn, CASE WHEN n % 5 <> 0 THEN byte_rate END AS byte_rate FROM fn WHERE n % 41 <> 0 AND n % 43 <> 0)"))(
+    lambda s, d: flowcsv.flow_view(flowcsv.adapt_flow_2018(_rows_2018(s, d)).where("reject_code IS NULL").select(
+        *[F.col(c) for c in ("event_id", "timestamp", "event_type", "source_ip", "destination_ip", "destination_port", "protocol", "bytes_sent", "bytes_received", "raw_event")])
+    ).agg(F.count(F.lit(1)).alias("flows"), F.count("byte_rate").alias("rated"), F.sum("syn").alias("syn")))
+query("lossless_number", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS v, CASE WHEN floor(l_extendedprice) = l_extendedprice THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) ELSE CAST(l_extendedprice AS VARCHAR) END AS kept FROM lineitem")(
+    lambda s, d: bridge.table(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("v"),
+        flowcsv.lossless_number(F.format_number("l_extendedprice", 2)).alias("kept")))
+query("probe_predicate", osql("SELECT event_id, protocol = 'TCP' AND syn > ack AS probe, syn > ack AND sent + received < 10240 AS short_syn FROM flw"))(
+    lambda s, d: bridge.flows(s, d).select("event_id", flow.probe().alias("probe"), flow.short_syn(10_240).alias("short_syn")))
+query("bounded_sample", osql("""SELECT dip, event_id FROM (SELECT dip, event_id, count(*) OVER (PARTITION BY dip) AS n, row_number() OVER (PARTITION BY dip ORDER BY ts_us, event_id) AS r FROM flw)
+   WHERE n <= 20 OR r <= 10 OR r > n - 10"""))(
+    lambda s, d: flow.ends(_sized(bridge.flows(s, d)), ["destination_ip"], "n").select(F.col("destination_ip").alias("dip"), "event_id"))
+
+
+def _sized(v):
+    n = v.groupBy("destination_ip").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("destination_ip", "k")
+    return v.join(n, v["destination_ip"].eqNullSafe(n["k"])).drop("k")
