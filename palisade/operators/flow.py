@@ -260,15 +260,28 @@ def flow_004(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> RuleOutput:
     )
 
 
+def _split(rows: DataFrame) -> Column:
+    """End of the first third of the time span, as one value."""
+    return rows.agg((
+        F.min("ts_us") + F.round((F.max("ts_us") - F.min("ts_us")) / 3).cast("bigint")
+    ).alias("split")).scalar()
+
+
+def novelty_profile(flows: DataFrame) -> DataFrame:
+    """How many pairs the baseline knows and how many first appear after it."""
+    rows = flows.select("ts_us", "protocol", "destination_port")
+    first = rows.groupBy("protocol", "destination_port").agg(F.min("ts_us").alias("first_us"))
+    split = _split(rows)
+    return first.agg(F.count_if(F.col("first_us") < split).alias("catalog_pairs"),
+                     F.count_if(F.col("first_us") >= split).alias("novel_pairs"))
+
+
 def flow_005(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> RuleOutput:
     """Protocol and port pair absent from the first third of the time span,
     with enough flows in its busiest minute."""
     pair = ["protocol", "destination_port"]
     rows = flows.select("event_id", "ts_us", *pair)
-    span = rows.agg((
-        F.min("ts_us") + F.round((F.max("ts_us") - F.min("ts_us")) / 3).cast("bigint")
-    ).alias("split"))
-    split = span.scalar()
+    split = _split(rows)
     known = rows.where(F.col("ts_us") < split).select(
         *[F.col(c).alias(f"k_{c}") for c in pair]).distinct()
     minutes = (

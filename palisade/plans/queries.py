@@ -170,7 +170,7 @@ query("link_flows", osql(_TOLD.format("fc_")))(on_flows(
     lambda s, d, o: _parts(corr.describe(o.detections), o.members)[1]))
 query("connected_components", osql("SELECT did AS detection_id, comp AS component FROM fc_comp"))(on_flows(
     lambda s, d, o: _parts(corr.describe(o.detections), o.members)[0]))
-query("map_techniques", osql("SELECT iid AS incident_id, technique_id, technique_name, tactic, source_rule_id, confidence FROM c_map"))(
+query("map_techniques", osql("SELECT iid AS incident_id, technique_id, technique_name, tactic, source_rule_id, CAST(confidence AS DOUBLE) AS confidence FROM c_map"))(
     on_incidents(lambda s, d, o: risk.map_techniques(
         risk.incident_members(o.incidents, o.detections), catalogs.techniques(s)).select(
         "incident_id", "technique_id", "technique_name", "tactic", "source_rule_id", "confidence")))
@@ -479,9 +479,9 @@ def _relabel(s, d, o):
     mixed = bridge.flows(s, d).withColumn("label", F.reverse(F.col("label")))
     again = run_rules(mixed, {k: r for k, r in flow_rules(FLOWS).items() if k in ("FLOW-004", "FLOW-006")}).detections
     first = o.detections.where(F.col("rule_id").isin("FLOW-004", "FLOW-006"))
-    ids = lambda x: x.select("detection_id", "reason")
-    return ids(first).exceptAll(ids(again)).unionByName(ids(again).exceptAll(ids(first))).agg(
-        F.count(F.lit(1)).alias("differences"))
+    mark = lambda x, n: x.select("detection_id", "reason", F.lit(n).alias("n"))
+    return mark(first, 1).unionByName(mark(again, -1)).groupBy("detection_id", "reason").agg(
+        F.sum("n").alias("n")).where("n <> 0").agg(F.count(F.lit(1)).alias("differences"))
 
 
 query("relabel_invariance", "SELECT 0::BIGINT AS differences")(on_flows(_relabel))
@@ -741,3 +741,38 @@ query("bounded_sample", osql("""SELECT dip, event_id FROM (SELECT dip, event_id,
 def _sized(v):
     n = v.groupBy("destination_ip").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("destination_ip", "k")
     return v.join(n, v["destination_ip"].eqNullSafe(n["k"])).drop("k")
+
+
+# --- streaming: the tables as file streams, drained to written results
+from palisade.streaming import jobs  # noqa: E402
+
+DELAY_US = 10 * MINUTE
+
+
+def stream(s, d, name):
+    schema = bridge.table(s, d, name).schema
+    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+oracle.CTE["wm"] = f"SELECT max(ts_us) // 1000 * 1000 - {DELAY_US} AS w FROM flw"
+oracle.CTE["twm"] = f"SELECT max(ts_us) // 1000 * 1000 - {DELAY_US} AS w FROM tel"
+query("stream_ingest_dedup", osql("SELECT event_id FROM flw"))(lambda s, d: jobs.drain(
+    jobs.ingest_dedup(bridge.flows_of(stream(s, d, "lineitem")), "10 minutes").select("event_id")))
+query("stream_rate_buckets", osql("""SELECT coalesce(dip, 'GLOBAL') AS key, ts_us // 60000000 * 60000000 AS window_us, count(*) AS flows, sum(packets)::DOUBLE AS packets
+   FROM flw, wm WHERE ts_us // 60000000 * 60000000 + 60000000 <= w GROUP BY 1, 2"""))(lambda s, d: jobs.drain(
+    jobs.rate_buckets(jobs.ingest_dedup(bridge.flows_of(stream(s, d, "lineitem")), "10 minutes"), "60 seconds")))
+query("stream_ueba_features", osql("""SELECT usr AS entity_key, ts_us // 3600000000 * 3600000000 AS window_us, count(*) AS event_count,
+   count(*) FILTER (event_type = 'authentication') AS auth_event_count, count(*) FILTER (status = 'failed') AS failed_auth_count, coalesce(sum(sent), 0)::BIGINT AS outbound_bytes
+   FROM tel, twm WHERE ts_us // 3600000000 * 3600000000 + 3600000000 <= w GROUP BY 1, 2"""))(lambda s, d: jobs.drain(
+    jobs.user_features(bridge.telemetry_of(stream(s, d, "events")), "10 minutes")).drop("unique_source_ip_count"))
+query("stream_brute_force", osql("""SELECT did AS detection_id, array_to_string(ev, ',') AS evidence, CAST(conf AS DOUBLE) AS confidence, last_us
+   FROM dets, twm WHERE rule_id = 'AUTH-001' AND last_us <= w"""))(lambda s, d: jobs.drain(
+    jobs.brute_force(bridge.telemetry_of(stream(s, d, "events")), "10 minutes")).select(
+    "detection_id", joined("evidence_event_ids").alias("evidence"), "confidence", us("last_seen").alias("last_us")))
+query("chunked_detect", osql(f"SELECT {oracle.DET_OUT} FROM fdets WHERE rule_id IN ('FLOW-002', 'FLOW-006')"))(
+    lambda s, d: detection_rows(jobs.chunked_detect(
+        jobs.ingest_dedup(bridge.flows_of(stream(s, d, "lineitem")), "10 minutes"),
+        {k: r for k, r in flow_rules(FLOWS).items() if k in ("FLOW-002", "FLOW-006")}, 40 * MINUTE)))
+query("flow005_two_pass", osql("""SELECT (SELECT count(*) FROM (SELECT DISTINCT protocol, port FROM flw, f5s WHERE ts_us < split)) AS catalog_pairs,
+   (SELECT count(*) FROM (SELECT DISTINCT protocol, port FROM f5r)) AS novel_pairs"""))(
+    lambda s, d: flow.novelty_profile(bridge.flows(s, d)))

@@ -39,8 +39,12 @@ def _case(*branches, default=None):
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(source: DataFrame) -> DataFrame:
     k = F.col("k")
-    rows = table(spark, sf_dir, "events").select(
+    rows = source.select(
         F.concat(F.lit("evt-"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("event_id"),
         (F.lit(DAY0_US) + F.floor((micros("ts") - EVENTS_START_US) / 60)).alias("us"),
         F.col("event_type").alias("kind"),
@@ -109,9 +113,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flow events with their numerics as columns and the label kept aside."""
+    """Flow events with their numerics as columns and the label kept aside.
+
+    Repeated source rows hash to the same id; the first arrival is kept.
+    """
+    return flows_of(table(spark, sf_dir, "lineitem")).dropDuplicates(["event_id"])
+
+
+def flows_of(source: DataFrame) -> DataFrame:
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
-    i = table(spark, sf_dir, "lineitem").select(
+    i = source.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
         cents("l_quantity").alias("qty"), cents("l_extendedprice").alias("price"),
         cents("l_discount").alias("disc"), cents("l_tax").alias("tax"),
@@ -126,7 +137,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = [text(F.col(c)) for c in
              ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "qty", "price", "disc",
               "tax", "l_returnflag", "l_linestatus", "day")]
-    rows = i.select(
+    return i.select(
         F.concat(F.lit("flow-"), F.md5(F.concat_ws("|", *keyed))).alias("event_id"),
         (F.lit(DAY0_US) + F.col("day") * 1_000_000
          + (part * 7919 + line * 104_729 + order * 31) % 1_000_000).alias("ts_us"),
@@ -154,5 +165,3 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(part % 29 == 0, "PortScan").when(part % 31 == 0, "").otherwise("Benign")
         .alias("label"),
     )
-    # Repeated source rows hash to the same id; the first arrival is kept.
-    return rows.dropDuplicates(["event_id"])
