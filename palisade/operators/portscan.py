@@ -39,14 +39,15 @@ def scan_slots(flows: DataFrame, width_us: int, need: int) -> DataFrame:
     beside = lambda f, at: F.when(
         f("slot").over(w) == F.col("slot") + at, f("d").over(w)).otherwise(0)
     live = (
-        ports.groupBy("source_ip", "slot").agg(F.count(F.lit(1)).alias("d"))
+        ports.groupBy("source_ip", "slot").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("size"))
         .withColumn("pair", F.col("d") + F.greatest(beside(F.lag, -1), beside(F.lead, 1)))
         .where(F.col("pair") >= need)
         .withColumn("fresh", F.coalesce(F.lag("slot").over(w) != F.col("slot") - 1, F.lit(True)))
         .withColumn("run", F.sum(F.col("fresh").cast("int")).over(w))
         .withColumn("place", F.row_number().over(
             W.partitionBy("source_ip", "run").orderBy("slot")) - 1)
-        .select("source_ip", "slot", "run", "place")
+        .withColumn("run_rows", F.sum("size").over(W.partitionBy("source_ip", "run")))
+        .select("source_ip", "slot", "run", "place", "run_rows")
     )
     return rows.join(live, ["source_ip", "slot"])
 
@@ -64,6 +65,7 @@ class _Part:
         self.need, self.fraction = need, fraction
         self.low = np.searchsorted(self.us, self.us - span_us, side="right")
         self.pure = self._unreset()
+        self.place = {e: i for i, e in enumerate(self.ids[: self.own])}
 
     def _hit(self, distinct: int, probes: int) -> bool:
         return distinct >= self.need and probes / distinct > self.fraction
@@ -115,8 +117,10 @@ class _Part:
         if entry is None:
             at = int(self.pure[0]) if len(self.pure) else None
         else:
-            start = int(np.flatnonzero(self.ids == entry)[0]) + 1
-            at = known.setdefault(start, self.after(start)) if start not in known else known[start]
+            start = self.place[entry] + 1
+            if start not in known:
+                known[start] = self.after(start)
+            at = known[start]
         while at is not None:
             yield at, max(start, int(self.low[at]))
             start = at + 1
@@ -171,12 +175,16 @@ def _replay(span_us: int, need: int, fraction: float):
     return run
 
 
-def flow_003(flows: DataFrame, cfg: FlowConfig = FlowConfig(), part_slots: int = 10) -> RuleOutput:
+def flow_003(
+    flows: DataFrame, cfg: FlowConfig = FlowConfig(), part_slots: int = 10, whole_rows: int = 100_000
+) -> RuleOutput:
+    """Runs of more than `whole_rows` flows are cut into parts of `part_slots` slots."""
     span = min(cfg.scan_window_minutes * MINUTE, cfg.scan_density_seconds * SECOND)
     args = (span, cfg.scan_min_ports, cfg.scan_probe_fraction)
     slots = scan_slots(flows, span, cfg.scan_min_ports)
-    part = F.floor(F.col("place") / part_slots)
-    edge = F.col("place") % part_slots == part_slots - 1
+    cut = F.col("run_rows") > whole_rows
+    part = F.when(cut, F.floor(F.col("place") / part_slots)).otherwise(F.lit(0)).cast("bigint")
+    edge = cut & (F.col("place") % part_slots == part_slots - 1)
     rows = pin(
         slots.withColumn("home", part)
         .withColumn("part", F.explode(F.when(edge, F.array(part, part + 1)).otherwise(F.array(part))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import DetectConfig, FlowConfig
 from palisade.functions.core import micros
+from palisade.functions.state import checkpointed, pin
 from palisade.operators import endpoint, flow
 from palisade.plans import oracle
 from palisade.sources import bridge, catalogs
@@ -29,6 +30,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def once(fn):
+    """Build a shared upstream result once per session and folder."""
+    kept: dict = {}
+
+    def get(s, d):
+        key = (s.sparkContext.applicationId, d)
+        if key not in kept:
+            kept[key] = fn(s, d)
+        return kept[key]
+    get.forget = kept.clear
+    return get
+
+
+@once
+def stored_flows(spark, d) -> DataFrame:
+    """The canonical flow table, kept like the stored table a rule job would read."""
+    return pin(bridge.flows(spark, d))
+
+
 def events(spark, d) -> DataFrame:
     return endpoint.prepare_events(bridge.telemetry(spark, d))
 
@@ -48,10 +68,10 @@ query("net_001", oracle.rule_sql("net_001"))(
     lambda s, d: detection_rows(endpoint.net_001(events(s, d), catalogs.iocs(s), DETECT)))
 for _r in ("flow_001", "flow_002", "flow_004", "flow_005", "flow_006"):
     query(_r, oracle.rule_sql(_r))(
-        lambda s, d, _f=getattr(flow, _r): detection_rows(_f(bridge.flows(s, d), FLOWS).detections))
+        lambda s, d, _f=getattr(flow, _r): detection_rows(_f(stored_flows(s, d), FLOWS).detections))
 query("flow_003b", oracle.rule_sql("flow_003b"))(
     lambda s, d: detection_rows(flow.flow_003b(
-        bridge.flows(s, d).withColumn("source_ip", F.lit(None).cast("string")), FLOWS).detections))
+        stored_flows(s, d).withColumn("source_ip", F.lit(None).cast("string")), FLOWS).detections))
 
 
 # --- incidents
@@ -62,19 +82,6 @@ from palisade.plans import pipeline  # noqa: E402
 SQL_FLOW_RULES = ("FLOW-001", "FLOW-002", "FLOW-004", "FLOW-005", "FLOW-006")
 
 
-def once(fn):
-    """Build a shared upstream result once per session and folder."""
-    kept: dict = {}
-
-    def get(s, d):
-        key = (s.sparkContext.applicationId, d)
-        if key not in kept:
-            kept[key] = fn(s, d)
-        return kept[key]
-    get.forget = kept.clear
-    return get
-
-
 @once
 def endpoint_outcome(s, d) -> pipeline.Outcome:
     return pipeline.endpoint_incidents(
@@ -84,7 +91,7 @@ def endpoint_outcome(s, d) -> pipeline.Outcome:
 @once
 def flow_outcome(s, d) -> pipeline.Outcome:
     return pipeline.flow_incidents(
-        bridge.flows(s, d), catalogs.techniques(s), FLOWS, rules=SQL_FLOW_RULES)
+        stored_flows(s, d), catalogs.techniques(s), FLOWS, rules=SQL_FLOW_RULES)
 
 
 def incident_rows(df: DataFrame) -> DataFrame:
@@ -108,11 +115,11 @@ def risk_rows(df: DataFrame) -> DataFrame:
                      *[F.col(f"risk_breakdown.{p}").alias(p) for p in risk.PARTS], "risk_explanation")
 
 
-query("flow_003")(lambda s, d: detection_rows(portscan.flow_003(bridge.flows(s, d), FLOWS).detections))
+query("flow_003")(lambda s, d: detection_rows(portscan.flow_003(stored_flows(s, d), FLOWS).detections))
 query("run_rules", oracle.sql(f"SELECT {oracle.DET_OUT} FROM dets"))(
     lambda s, d: detection_rows(run_rules(events(s, d), endpoint_rules(catalogs.iocs(s), DETECT)).detections))
 query("run_flow_rules", oracle.sql(f"SELECT {oracle.DET_OUT} FROM fdets"))(
-    lambda s, d: detection_rows(run_rules(bridge.flows(s, d), {
+    lambda s, d: detection_rows(run_rules(stored_flows(s, d), {
         k: r for k, r in flow_rules(FLOWS).items() if k in SQL_FLOW_RULES}).detections))
 query("assemble_incident", oracle.incident_sql("c_"))(
     lambda s, d: incident_rows(endpoint_outcome(s, d).incidents))
@@ -124,7 +131,6 @@ query("score_flow_risk", oracle.risk_sql("fc_"))(lambda s, d: risk_rows(flow_out
 
 from palisade.config import HOUR, MINUTE, UebaConfig  # noqa: E402
 from palisade.functions.core import from_micros, nz  # noqa: E402
-from palisade.functions.state import checkpointed, pin  # noqa: E402
 from palisade.operators import cases, evaluate as ev, intel, investigate as inv  # noqa: E402
 from palisade.operators import rollups as ru, text, ueba  # noqa: E402
 from palisade.sources import flowcsv, ingest  # noqa: E402
@@ -331,7 +337,7 @@ query("recommend", _rec_sql("c_", _SRC, False))(on_incidents(
 _FSRC = ("SELECT i.iid, list_sort(list(DISTINCT t.sip) FILTER (t.sip IS NOT NULL)) AS src, list_sort(list(DISTINCT t.dip) FILTER (t.dip IS NOT NULL)) AS dst "
          "FROM (SELECT iid, unnest(ev[1:200]) AS event_id FROM fc_inc) i JOIN flw t USING (event_id) GROUP BY i.iid")
 query("recommend_flow", _rec_sql("fc_", _FSRC, True))(on_flows(
-    lambda s, d, o: _recommend(o, inv.entity_sets(o.incidents, bridge.flows(s, d).withColumns({
+    lambda s, d, o: _recommend(o, inv.entity_sets(o.incidents, stored_flows(s, d).withColumns({
         c: F.lit(None).cast("string") for c in ("user", "host", "process_name")})))))
 query("priority_for", osql(f"SELECT did AS detection_id, {_PRI.format('severity')} AS priority FROM fdets"))(
     on_flows(lambda s, d, o: o.detections.select("detection_id", inv.priority_for("severity").alias("priority"))))
@@ -399,7 +405,7 @@ oracle.CTE["supp"] = f"SELECT count(*) AS uni, count(*) FILTER ({_ATT}) AS sp FR
 
 
 def labels(s, d):
-    return ev.label_by_event(bridge.flows(s, d), F.col("label"))
+    return ev.label_by_event(stored_flows(s, d), F.col("label"))
 
 
 _PRF = """tp, cov AS covered_events, cov - tp AS fp, sp - tp AS fn, uni - cov - (sp - tp) AS tn, sp AS support_positive, uni - sp AS support_benign,
@@ -407,7 +413,7 @@ _PRF = """tp, cov AS covered_events, cov - tp AS fp, sp - tp AS fn, uni - cov -
   CASE WHEN cov > 0 AND sp > 0 AND tp > 0 THEN 2 * (tp / cov) * (tp / sp) / (tp / cov + tp / sp) END AS f1,
   (cov - tp) / (cov - tp + uni - cov - (sp - tp)) AS fpr"""
 query("normalize_label", osql("SELECT label, count(*) AS n FROM flw GROUP BY label"))(
-    lambda s, d: bridge.flows(s, d).groupBy(ev.normalize_label("label").alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: stored_flows(s, d).groupBy(ev.normalize_label("label").alias("label")).agg(F.count(F.lit(1)).alias("n")))
 query("label_by_event", osql("SELECT event_id, label FROM flw"))(labels)
 query("attribute", osql(f"""SELECT did AS detection_id, any_value(rule_id) AS rule_id, array_to_string(list_sort(list(event_id)), ',') AS covered,
     coalesce(array_to_string(list_sort(list(event_id) FILTER ({_ATT})), ','), '') AS positive,
@@ -471,12 +477,12 @@ query("stratified_sample", osql(f"""SELECT event_id, label FROM flw QUALIFY row_
     lambda s, d: ev.stratified_sample(labels(s, d), 500, 7))
 query("stride_sample", osql("""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS p FROM flw)
    WHERE p IN (SELECT CAST(floor(i * (SELECT count(*) FROM flw) / 700.0) AS BIGINT) FROM range(700) r(i))"""))(
-    lambda s, d: ev.stride_sample(bridge.flows(s, d).select("event_id", "ts_us"), 700, 5 * MINUTE).select("event_id"))
+    lambda s, d: ev.stride_sample(stored_flows(s, d).select("event_id", "ts_us"), 700, 5 * MINUTE).select("event_id"))
 
 
 def _relabel(s, d, o):
     """Detections of the same flows under permuted labels, compared both ways."""
-    mixed = bridge.flows(s, d).withColumn("label", F.reverse(F.col("label")))
+    mixed = stored_flows(s, d).withColumn("label", F.reverse(F.col("label")))
     again = run_rules(mixed, {k: r for k, r in flow_rules(FLOWS).items() if k in ("FLOW-004", "FLOW-006")}).detections
     first = o.detections.where(F.col("rule_id").isin("FLOW-004", "FLOW-006"))
     mark = lambda x, n: x.select("detection_id", "reason", F.lit(n).alias("n"))
@@ -672,7 +678,7 @@ query("sink_jsonl_digest")(on_flows(lambda s, d, o: ingest.digest(ingest.jsonl(
 
 def _flow_rows(s, d):
     """The flows as all-text CSV-like rows, some of them malformed."""
-    v = bridge.flows(s, d)
+    v = stored_flows(s, d)
     n = F.conv(F.substring("event_id", 6, 6), 16, 10).cast("bigint")
     t = lambda c: nz(F.col(c).cast("string"), "")
     return v.withColumn("n", n), t
@@ -732,10 +738,10 @@ query("lossless_number", "SELECT l_orderkey, l_linenumber, l_partkey, l_extended
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("v"),
         flowcsv.lossless_number(F.format_number("l_extendedprice", 2)).alias("kept")))
 query("probe_predicate", osql("SELECT event_id, protocol = 'TCP' AND syn > ack AS probe, syn > ack AND sent + received < 10240 AS short_syn FROM flw"))(
-    lambda s, d: bridge.flows(s, d).select("event_id", flow.probe().alias("probe"), flow.short_syn(10_240).alias("short_syn")))
+    lambda s, d: stored_flows(s, d).select("event_id", flow.probe().alias("probe"), flow.short_syn(10_240).alias("short_syn")))
 query("bounded_sample", osql("""SELECT dip, event_id FROM (SELECT dip, event_id, count(*) OVER (PARTITION BY dip) AS n, row_number() OVER (PARTITION BY dip ORDER BY ts_us, event_id) AS r FROM flw)
    WHERE n <= 20 OR r <= 10 OR r > n - 10"""))(
-    lambda s, d: flow.ends(_sized(bridge.flows(s, d)), ["destination_ip"], "n").select(F.col("destination_ip").alias("dip"), "event_id"))
+    lambda s, d: flow.ends(_sized(stored_flows(s, d)), ["destination_ip"], "n").select(F.col("destination_ip").alias("dip"), "event_id"))
 
 
 def _sized(v):
@@ -775,4 +781,4 @@ query("chunked_detect", osql(f"SELECT {oracle.DET_OUT} FROM fdets WHERE rule_id
         {k: r for k, r in flow_rules(FLOWS).items() if k in ("FLOW-002", "FLOW-006")}, 40 * MINUTE)))
 query("flow005_two_pass", osql("""SELECT (SELECT count(*) FROM (SELECT DISTINCT protocol, port FROM flw, f5s WHERE ts_us < split)) AS catalog_pairs,
    (SELECT count(*) FROM (SELECT DISTINCT protocol, port FROM f5r)) AS novel_pairs"""))(
-    lambda s, d: flow.novelty_profile(bridge.flows(s, d)))
+    lambda s, d: flow.novelty_profile(stored_flows(s, d)))

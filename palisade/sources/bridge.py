@@ -115,9 +115,9 @@ def telemetry_of(source: DataFrame) -> DataFrame:
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow events with their numerics as columns and the label kept aside.
 
-    Repeated source rows hash to the same id; the first arrival is kept.
+    Repeated source rows are equal in every column and are kept once.
     """
-    return flows_of(table(spark, sf_dir, "lineitem")).dropDuplicates(["event_id"])
+    return flows_of(table(spark, sf_dir, "lineitem")).distinct()
 
 
 def flows_of(source: DataFrame) -> DataFrame:
