@@ -470,7 +470,11 @@ def incident_sql(p: str) -> str:
 
 
 def risk_sql(p: str) -> str:
-    return sql(f"""SELECT iid AS incident_id, CAST(total AS INT) AS risk_score, band AS risk_band, p_sev AS severity_points,
+    return sql(risk_body(p))
+
+
+def risk_body(p: str) -> str:
+    return (f"""SELECT iid AS incident_id, CAST(total AS INT) AS risk_score, band AS risk_band, p_sev AS severity_points,
       p_div AS diversity_points, p_conf AS confidence_points, p_ev AS evidence_points, p_seq AS sequence_points,
       p_mitre AS mitre_points, p_ctx AS contextual_points,
       'Risk ' || total || ' (' || band || ') is elevated because the incident contains base severity ' || severity || ' (' || p_sev || '), '

@@ -782,3 +782,29 @@ query("chunked_detect", osql(f"SELECT {oracle.DET_OUT} FROM fdets WHERE rule_id
 query("flow005_two_pass", osql("""SELECT (SELECT count(*) FROM (SELECT DISTINCT protocol, port FROM flw, f5s WHERE ts_us < split)) AS catalog_pairs,
    (SELECT count(*) FROM (SELECT DISTINCT protocol, port FROM f5r)) AS novel_pairs"""))(
     lambda s, d: flow.novelty_profile(stored_flows(s, d)))
+
+# --- single columns of the composed results, and scans of the stored tables
+query("score_group", osql("SELECT iid AS incident_id, conf AS confidence FROM fc_inc"))(
+    on_flows(lambda s, d, o: o.incidents.select("incident_id", "confidence")))
+query("build_title_reason", osql("SELECT iid AS incident_id, title, reason FROM fc_inc"))(
+    on_flows(lambda s, d, o: o.incidents.select("incident_id", "title", "reason")))
+query("explain_risk", osql("SELECT incident_id, risk_explanation FROM (" + oracle.risk_body("fc_") + ")"))(
+    on_flows(lambda s, d, o: o.incidents.select("incident_id", "risk_explanation")))
+query("enrich", osql("""SELECT r.iid AS incident_id, CAST(r.total AS INT) AS risk_score, r.band AS risk_band,
+   coalesce((SELECT array_to_string(list_sort(list(m.technique_id || ':' || m.source_rule_id)), ',') FROM c_map m WHERE m.iid = r.iid), '') AS techniques FROM c_risk r"""))(
+    on_incidents(lambda s, d, o: o.incidents.select("incident_id", "risk_score", "risk_band", joined(F.transform(
+        "mitre_techniques", lambda m: F.concat(m["technique_id"], F.lit(":"), m["source_rule_id"]))).alias("techniques"))))
+query("prepare_events", osql("SELECT event_id, ts_us FROM tel"))(lambda s, d: events(s, d).select("event_id", "ts_us"))
+query("session_clock", osql("""SELECT n, CASE WHEN n % 14 = 12 THEN 12 WHEN n % 14 BETWEEN 1 AND 11 THEN n % 14 + 12 END AS hour
+   FROM fn WHERE n % 3 = 0"""))(
+    lambda s, d: _rows_2017(s, d).where(F.col("source_row") % 3 == 0).select(
+        F.col("source_row").alias("n"), F.hour(flowcsv.time_2017(
+            F.col("Timestamp"), flowcsv.session_of(F.col("source_file")))).cast("bigint").alias("hour")))
+query("prf", osql(f"SELECT rule_id, {_PRF} FROM (SELECT rule_id, count(DISTINCT event_id) AS cov, count(DISTINCT event_id) FILTER ({_ATT}) AS tp FROM cov GROUP BY rule_id), supp"))(
+    on_flows(lambda s, d, o: ev.rule_metrics(o.detections, labels(s, d)).drop("detections")))
+query("scan_tables", osql("SELECT source, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us FROM tel GROUP BY source"))(
+    lambda s, d: events(s, d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")))
+query("scan_catalogs", osql("SELECT i.indicator, count(*) AS hits FROM tel t JOIN ioc i ON t.dip = i.indicator OR lower(t.domain) = i.indicator GROUP BY 1"))(
+    lambda s, d: endpoint.net_001(events(s, d), catalogs.iocs(s)).groupBy(
+        F.col("metadata.matched_ioc.indicator").alias("indicator")).agg(F.count(F.lit(1)).alias("hits")))

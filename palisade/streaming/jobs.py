@@ -136,13 +136,15 @@ def chunk_step(rules: dict[str, Rule], folder: str, overlap_us: int) -> Callable
         spark = batch.sparkSession
         # The stream turns adaptive planning off; the rules inside are batch queries.
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        batch = batch.drop("event_time").persist()
+        # Landing the batch first keeps the plans of the rules short.
+        landed = f"{folder}/in/{batch_id}"
+        batch.drop("event_time").write.mode("overwrite").parquet(landed)
+        batch = spark.read.parquet(landed)
         newest = batch.agg(F.max("ts_us").alias("t")).first()["t"]
         before = f"{folder}/carry/{batch_id - 1}"
         held = spark.read.parquet(before) if batch_id > 0 else batch.limit(0)
         if newest is None:
             held.write.mode("overwrite").parquet(f"{folder}/carry/{batch_id}")
-            batch.unpersist()
             return
         horizon = held.agg(F.max("ts_us").alias("t")).first()["t"]
         late = batch.where(F.col("ts_us") <= (horizon or 0) - overlap_us)
@@ -153,7 +155,6 @@ def chunk_step(rules: dict[str, Rule], folder: str, overlap_us: int) -> Callable
         out.members.write.mode("overwrite").parquet(f"{folder}/members/batch={batch_id}")
         batch.unionByName(held).where(F.col("ts_us") > newest - overlap_us).dropDuplicates(
             ["event_id"]).write.mode("overwrite").parquet(f"{folder}/carry/{batch_id}")
-        batch.unpersist()
 
     return step
 
