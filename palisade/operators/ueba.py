@@ -28,7 +28,7 @@ def new_ips(rows: DataFrame) -> DataFrame:
 
 
 def features(events: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
-    """(user, window) -> 12 features, event ids and count. Input has `ts_us`."""
+    """(user, window) -> 12 features. Input has `ts_us`."""
     rows = _rows(events, cfg)
     auth = F.col("event_type") == "authentication"
     status, hour = F.lower(nz("status", "")), F.hour(from_micros("ts_us"))
@@ -39,14 +39,13 @@ def features(events: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
         F.count(F.lit(1)).alias("event_count"), F.count_if(auth).alias("auth_event_count"),
         F.count_if(auth & status.isin(*FAILED)).alias("failed_auth_count"),
         F.count_if(auth & status.isin(*SUCCEEDED)).alias("successful_auth_count"),
-        F.size(F.collect_set(F.when(~blank("source_ip"), F.col("source_ip"))))
+        F.count_distinct(F.when(~blank("source_ip"), F.col("source_ip")))
         .alias("unique_source_ip_count"),
-        F.size(F.collect_set(target)).alias("unique_destination_count"),
+        F.count_distinct(target).alias("unique_destination_count"),
         F.count_if(F.col("event_type") == "dns_query").alias("dns_event_count"),
         F.log1p(F.greatest(F.sum(nz("bytes_sent")), F.lit(0))).alias("outbound_bytes_log1p"),
         F.count_if(F.col("event_type") == "process_creation").alias("process_event_count"),
         F.count_if(off_hours).alias("unusual_hour_event_count"),
-        F.array_sort(F.collect_list("event_id")).alias("event_ids"),
     )
     counts = counts.withColumn("failed_auth_ratio", F.when(
         F.col("auth_event_count") > 0,
@@ -55,7 +54,13 @@ def features(events: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
         "new_source_ip_count", nz("new_ips"))
     return joined.select(
         F.col("user").alias("entity_key"), "window_us", from_micros("window_us").alias("window_start"),
-        *[F.round(F.col(c).cast("double"), 6).alias(c) for c in UEBA_FEATURES], "event_ids")
+        *[F.round(F.col(c).cast("double"), 6).alias(c) for c in UEBA_FEATURES])
+
+
+def observation_members(events: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
+    """(entity_key, window_us, event_id): the events behind each observation, as rows
+    because one user's hour can hold any number of them."""
+    return _rows(events, cfg).select(F.col("user").alias("entity_key"), "window_us", "event_id")
 
 
 def baseline(obs: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
@@ -199,11 +204,10 @@ def score(obs: DataFrame, model, cfg: UebaConfig = UebaConfig()) -> DataFrame:
         (F.col("raw") >= bounds["threshold"]).alias("anomaly_flag"),
         F.lit(cfg.model_version).alias("model_version"),
         F.lit(cfg.feature_version).alias("feature_version"), "baseline_status", "history_windows",
-        context.alias("feature_context"), F.col("event_count").cast("bigint").alias("event_count"),
-        "event_ids")
+        context.alias("feature_context"), F.col("event_count").cast("bigint").alias("event_count"))
 
 
-def attach(incidents: DataFrame, scored: DataFrame | None, cfg: UebaConfig = UebaConfig()) -> DataFrame:
+def attach(incidents: DataFrame, scored: DataFrame | None, members: DataFrame | None = None) -> DataFrame:
     """Incidents with behavioural evidence: windows of the incident's single user that
     start by its last event and contain some of its evidence."""
     from palisade.functions.core import micros
@@ -218,11 +222,10 @@ def attach(incidents: DataFrame, scored: DataFrame | None, cfg: UebaConfig = Ueb
     cited = incidents.select(
         "incident_id", user.alias("entity_key"), micros("last_seen").alias("last_us"),
         F.explode("evidence_event_ids").alias("event_id")).where(~blank("entity_key"))
-    held = scored.select("entity_key", "window_us", F.explode("event_ids").alias("event_id"))
-    met = cited.join(held, ["entity_key", "event_id"]).where(
+    met = cited.join(members, ["entity_key", "event_id"]).where(
         F.col("window_us") <= F.col("last_us")).groupBy("incident_id", "entity_key", "window_us").agg(
         F.array_sort(F.collect_list("event_id")).alias("event_overlap"))
-    facts = scored.drop("event_ids", "event_count", "window_start")
+    facts = scored.drop("event_count", "window_start")
     found = met.join(facts, ["entity_key", "window_us"]).groupBy("incident_id").agg(
         F.max("anomaly_score").alias("score"), F.max("anomaly_flag").alias("flag"),
         F.count(F.lit(1)).alias("windows"), F.count_if("anomaly_flag").alias("flagged"),
@@ -254,9 +257,11 @@ def attach(incidents: DataFrame, scored: DataFrame | None, cfg: UebaConfig = Ueb
         "score", "flag", "windows", "flagged", "peak_us", "observations")
 
 
-def scenario_report(scored: DataFrame, events: DataFrame, scenario: Column) -> DataFrame:
+def scenario_report(
+    scored: DataFrame, members: DataFrame, events: DataFrame, scenario: Column
+) -> DataFrame:
     """Mean score, windows and flags per dominant scenario of the window."""
-    kinds = scored.select("entity_key", "window_us", F.explode("event_ids").alias("event_id")).join(
+    kinds = members.join(
         events.select("event_id", scenario.alias("scenario")), "event_id")
     n = kinds.groupBy("entity_key", "window_us", "scenario").agg(F.count(F.lit(1)).alias("n"))
     top = n.groupBy("entity_key", "window_us").agg(

@@ -502,7 +502,7 @@ _UE = ", ".join(f"round({x}::DOUBLE, 6) AS {n}" for n, x in (
     ("unique_destination_count", "count(DISTINCT coalesce(dip, domain))"), ("dns_event_count", "count(*) FILTER (event_type='dns_query')"),
     ("outbound_bytes_log1p", "ln(1 + coalesce(sum(sent), 0))"), ("process_event_count", "count(*) FILTER (event_type='process_creation')"),
     ("unusual_hour_event_count", "count(*) FILTER ((ts_us // 3600000000) % 24 NOT BETWEEN 8 AND 19)")))
-oracle.CTE["uobs"] = f"""SELECT usr AS entity_key, w AS window_us, {_UE}, array_to_string(list_sort(list(event_id)), ',') AS event_ids FROM
+oracle.CTE["uobs"] = f"""SELECT usr AS entity_key, w AS window_us, {_UE} FROM
   (SELECT *, min(w) OVER (PARTITION BY usr, sip) AS first_w FROM (SELECT *, ts_us // 3600000000 * 3600000000 AS w FROM tel)) GROUP BY usr, w"""
 
 
@@ -511,7 +511,9 @@ def observations(s, d):
 
 
 query("ueba_features", osql("SELECT * FROM uobs"))(
-    lambda s, d: observations(s, d).drop("window_start").withColumn("event_ids", joined("event_ids")))
+    lambda s, d: observations(s, d).drop("window_start"))
+query("ueba_members", osql("SELECT usr AS entity_key, ts_us // 3600000000 * 3600000000 AS window_us, event_id FROM tel"))(
+    lambda s, d: ueba.observation_members(events(s, d), UEBA))
 query("ueba_new_ip", osql("""SELECT usr AS user_name, w AS window_us, count(*) AS new_ips FROM
    (SELECT usr, sip, min(ts_us // 3600000000 * 3600000000) AS w FROM tel GROUP BY usr, sip) GROUP BY ALL"""))(
     lambda s, d: ueba.new_ips(ueba._rows(events(s, d), UEBA)).withColumnRenamed("user", "user_name"))
@@ -536,11 +538,13 @@ def scored(s, d):
 
 
 query("ueba_fit")(lambda s, d: ueba.fit_forest(observations(s, d), UEBA))
-query("ueba_score")(lambda s, d: scored(s, d).drop("event_ids", "feature_context", "window_start"))
-query("ueba_eval")(lambda s, d: ueba.scenario_report(scored(s, d), bridge.telemetry(s, d), _scenario()))
-query("ueba_attach")(on_incidents(lambda s, d, o: ueba.attach(o.incidents, scored(s, d), UEBA).select(
+query("ueba_score")(lambda s, d: scored(s, d).drop("feature_context", "window_start"))
+query("ueba_eval")(lambda s, d: ueba.scenario_report(scored(s, d), ueba.observation_members(events(s, d), UEBA), bridge.telemetry(s, d), _scenario()))
+query("ueba_attach")(on_incidents(lambda s, d, o: ueba.attach(
+    o.incidents, scored(s, d), ueba.observation_members(events(s, d), UEBA)).select(
     "incident_id", "ueba.available", "ueba.anomaly_score", "ueba.anomaly_flag", "ueba.reason")))
-query("anomaly_list")(on_incidents(lambda s, d, o: ru.anomaly_list(ueba.attach(o.incidents, scored(s, d), UEBA))))
+query("anomaly_list")(on_incidents(lambda s, d, o: ru.anomaly_list(ueba.attach(
+    o.incidents, scored(s, d), ueba.observation_members(events(s, d), UEBA)))))
 
 # --- text
 query("secret_scan", "SELECT doc_id, CASE " + " ".join(
