@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, exact, langid, preference
+from palisade.llm import bpe, exact, langid, minhash, preference, suffix
 from palisade.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, d):
+    return suffix.remove_repeats(table(spark, d, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op3_minhash")
+def op3_minhash(spark, d):
+    return minhash.near_groups(table(spark, d, "documents"))
+
+
 @query("op5_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
