@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, exact, langid, minhash, packing, preference, suffix
+from palisade.llm import ann, bpe, exact, langid, minhash, packing, preference, suffix
 from palisade.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1_suffix_dedup(spark, d):
     return suffix.remove_repeats(table(spark, d, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+@query("op2_ann")
+def op2_ann(spark, d):
+    return ann.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op3_minhash")
 def op3_minhash(spark, d):
     return minhash.near_groups(table(spark, d, "documents"))
