@@ -55,4 +55,4 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

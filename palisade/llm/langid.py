@@ -116,8 +116,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     return source.mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.2) -> DataFrame:
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.02) -> DataFrame:
     """Documents in a recognised language: not 'und', and a cosine of `least` or more."""
     known = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     known = known.select(F.col("doc_id").alias("_known"))
-    return docs.join(known, docs.doc_id.eqNullSafe(F.col("_known")), "left_semi")
+    return docs.join(known, docs["doc_id"].eqNullSafe(known["_known"]), "left_semi")

@@ -254,4 +254,4 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 def drop_near(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: of each class the one with the least id."""
     gone = near_groups(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

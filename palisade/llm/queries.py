@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import ann, bpe, exact, langid, minhash, packing, preference, suffix
+from palisade.llm import ann, bpe, exact, langid, minhash, packing, preference, quality, suffix, toxicity
 from palisade.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,22 @@ def op8_langid(spark, d):
     model = langid.fit_profiles(docs.where(~held))
     found = langid.identify(docs, model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def _scored(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query("op9_quality")
+def op9_quality(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = quality.fit_quality(docs, labels.where(fold_of("doc_id", 5) != 0))
+    return _scored(quality.score_quality(docs, model), 0.3)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit_toxicity(docs, labels.where(fold_of("doc_id", 5) != 0))
+    return _scored(toxicity.score_toxicity(docs, model), 0.5)

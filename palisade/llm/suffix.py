@@ -238,6 +238,18 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return spans
 
 
+def without(body: bytes, spans) -> tuple[int, int, int, bytes]:
+    """Length of `body`, bytes and runs that `spans` (or None) cover, and what they leave."""
+    if spans is None:
+        return len(body), 0, 0, body
+    edges = np.zeros(len(body) + 1, np.int64)
+    np.add.at(edges, [s["start"] for s in spans], 1)
+    np.add.at(edges, [s["end"] for s in spans], -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1))
+    return len(body), int(gone.sum()), runs, np.frombuffer(body, np.uint8)[~gone].tobytes()
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
                    batches: int = 4) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each whole text without the bytes that a string of
@@ -253,22 +265,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches_:
-            out = []
-            for body, own in zip(batch["body"], batch["spans"], strict=True):
-                body = bytes(body)
-                if own is None:
-                    out.append((len(body), 0, 0, body))
-                    continue
-                edges = np.zeros(len(body) + 1, np.int64)
-                np.add.at(edges, [s["start"] for s in own], 1)
-                np.add.at(edges, [s["end"] for s in own], -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1))
-                out.append((len(body), int(gone.sum()), runs, np.frombuffer(body, np.uint8)[~gone].tobytes()))
-            made = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
+            made = pd.DataFrame([without(bytes(body), own) for body, own in zip(batch["body"], batch["spans"], strict=True)],
+                                columns=["n_bytes", "n_removed", "n_spans", "kept"])
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.join(spans, "row", "left").select("doc_id", "body", "spans").mapInPandas(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their columns; `text` without repeated passages, `n_chars` to match.
+
+    A character of which a cut leaves only some bytes goes. All rows stay, if need be with ''.
+    """
+    spans = repeated_spans(docs)
+
+    @F.pandas_udf("string")
+    def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if own is None or t is None else without(t.encode("utf-8", "surrogatepass"), own)[3].decode("utf-8", "ignore")
+                          for t, own in zip(text, spans, strict=True)], dtype=object)
+
+    found = docs.join(spans, row_key("doc_id", "text") == spans["row"], "left")
+    new = found.select(*[docs[c] for c in docs.columns if c not in ("text", "n_chars")], shortened(docs["text"], spans["spans"]).alias("text"))
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
