@@ -289,6 +289,34 @@ CTE["d_flow_003b"] = _det(
     "ids", "first_us", "last_us",
     """FROM (SELECT f.minute, f.n::BIGINT AS n, f.bits, list_sort(list(m.event_id)) AS ids, min(ts_us) AS first_us, max(ts_us) AS last_us
       FROM f3 f JOIN f3m m USING (minute) WHERE m.r <= 20 GROUP BY ALL)""", name="Port Entropy Anomaly")
+# Port scans: candidates see enough ports when nothing fired before; `after` is the last firing inside a window.
+_SPAN3 = 60_000_000
+CTE["s3r"] = """SELECT sip, event_id, ts_us, port, coalesce(protocol = 'TCP', false) AND coalesce(syn, 0) > coalesce(ack, 0) AS probe,
+  row_number() OVER (PARTITION BY sip ORDER BY ts_us, event_id) AS rn FROM flw WHERE sip <> ''"""
+CTE["s3c"] = f"""SELECT a.sip, a.rn, a.ts_us FROM s3r a JOIN s3r b ON b.sip = a.sip AND b.rn <= a.rn
+  AND b.ts_us > a.ts_us - {_SPAN3} GROUP BY ALL HAVING count(DISTINCT b.port) >= {FS['scan_min_ports']}"""
+CTE["s3e"] = f"""SELECT sip, rn, ts_us, 0::BIGINT AS after FROM s3c UNION ALL
+  SELECT i.sip, i.rn, i.ts_us, r.rn FROM s3c i JOIN s3c r ON r.sip = i.sip AND r.rn < i.rn AND r.ts_us > i.ts_us - {_SPAN3}"""
+CTE["s3h"] = f"""SELECT sip, rn, ts_us, after FROM (
+    SELECT e.sip, e.rn, e.ts_us, e.after, b.port, arg_min(b.probe, b.rn) AS probe FROM s3e e JOIN s3r b
+      ON b.sip = e.sip AND b.rn <= e.rn AND b.rn > e.after AND b.ts_us > e.ts_us - {_SPAN3} AND b.port IS NOT NULL GROUP BY ALL)
+  GROUP BY ALL HAVING count(*) >= {FS['scan_min_ports']} AND count_if(probe) / count(*) > 0.5"""
+CTE["s3n"] = f"""SELECT r.sip, r.rn, min(h.rn) AS nxt FROM s3c r JOIN s3h h ON h.sip = r.sip AND h.rn > r.rn
+  AND (h.after = r.rn OR (h.after = 0 AND h.ts_us - {_SPAN3} >= r.ts_us)) GROUP BY ALL"""
+CTE_COLUMNS["s3f"] = "sip, rn, after"
+CTE["s3f"] = """SELECT sip, min(rn), 0::BIGINT FROM s3h WHERE after = 0 GROUP BY sip UNION ALL
+  SELECT n.sip, n.nxt, n.rn FROM s3f f JOIN s3n n ON n.sip = f.sip AND n.rn = f.rn"""
+CTE["s3m"] = f"""SELECT f.sip, f.rn, b.port, arg_min(b.event_id, b.rn) AS event_id, min(b.ts_us) AS ts_us,
+    row_number() OVER (PARTITION BY f.sip, f.rn ORDER BY b.port) AS r
+  FROM s3f f JOIN s3r i ON i.sip = f.sip AND i.rn = f.rn JOIN s3r b ON b.sip = f.sip AND b.rn <= f.rn AND b.rn > f.after
+    AND b.ts_us > i.ts_us - {_SPAN3} AND b.port IS NOT NULL GROUP BY f.sip, f.rn, b.port"""
+CTE["d_flow_003"] = _det(
+    "FLOW-003", "least(0.55 + 0.02 * n, 0.85)",
+    "'Port-scan-like behavior detected: ' || n || ' distinct destination ports contacted from ' || sip || ' within 5 minutes.'",
+    "ids", "first_us", "last_us",
+    """FROM (SELECT sip, rn, count(*) AS n, list_sort(list(event_id) FILTER (r <= 20)) AS ids,
+        min(ts_us) FILTER (r <= 20) AS first_us, max(ts_us) FILTER (r <= 20) AS last_us FROM s3m GROUP BY ALL)""",
+    nk=("'scanner'", "sip", "NULL"))
 CTE["f4"] = f"""
 SELECT *, signal / (CASE WHEN base <= 0 THEN 1000000.0 ELSE base END) AS ratio FROM (
   SELECT key, idx, n, signal, len(prior) AS hist, list_aggregate(prior, 'median') AS base FROM (
@@ -333,7 +361,7 @@ CTE["d_flow_006"] = _det(
         max(m.ts_us) AS last_us FROM f6 f JOIN f6m m USING (key, idx) WHERE m.r <= 20 GROUP BY ALL)""", nk=_HOSTKEY)
 
 ENDPOINT_RULES = ("auth_001", "auth_002", "auth_003", "proc_001", "proc_002", "net_001", "net_002", "data_001")
-FLOW_RULES = ("flow_001", "flow_002", "flow_004", "flow_005", "flow_006")
+FLOW_RULES = ("flow_001", "flow_002", "flow_003", "flow_004", "flow_005", "flow_006")
 
 
 def _identified(source: str) -> str:
@@ -373,6 +401,8 @@ SELECT {uuid5(DETECTION_NAMESPACE, 'fp')} AS did, event_id FROM (
     (SELECT key, idx, list_sort(list(event_id)) AS ids FROM f1m WHERE n <= 20 OR r <= 10 OR r > n - 10 GROUP BY ALL) d USING (key, idx)
   UNION ALL SELECT 'FLOW-002:' || array_to_string(d.ids, ','), m.event_id FROM f2m m JOIN
     (SELECT skey, rn, list_sort(list(event_id)) AS ids FROM f2m GROUP BY ALL) d USING (skey, rn)
+  UNION ALL SELECT 'FLOW-003:' || array_to_string(d.ids, ','), m.event_id FROM s3m m JOIN
+    (SELECT sip, rn, list_sort(list(event_id) FILTER (r <= 20)) AS ids FROM s3m GROUP BY ALL) d USING (sip, rn)
   UNION ALL SELECT 'FLOW-004:' || array_to_string(d.ids, ','), m.event_id FROM f4m m JOIN
     (SELECT key, idx, list_sort(list(event_id)) AS ids FROM f4m WHERE r <= 3 GROUP BY ALL) d USING (key, idx)
   UNION ALL SELECT 'FLOW-005:' || array_to_string(d.ids, ','), m.event_id FROM f5r m JOIN

@@ -79,9 +79,6 @@ from palisade.operators import correlate as corr, portscan, risk  # noqa: E402
 from palisade.operators.detect import endpoint_rules, flow_rules, run_rules  # noqa: E402
 from palisade.plans import pipeline  # noqa: E402
 
-SQL_FLOW_RULES = ("FLOW-001", "FLOW-002", "FLOW-004", "FLOW-005", "FLOW-006")
-
-
 @once
 def endpoint_outcome(s, d) -> pipeline.Outcome:
     return pipeline.endpoint_incidents(
@@ -90,8 +87,7 @@ def endpoint_outcome(s, d) -> pipeline.Outcome:
 
 @once
 def flow_outcome(s, d) -> pipeline.Outcome:
-    return pipeline.flow_incidents(
-        stored_flows(s, d), catalogs.techniques(s), FLOWS, rules=SQL_FLOW_RULES)
+    return pipeline.flow_incidents(stored_flows(s, d), catalogs.techniques(s), FLOWS)
 
 
 def incident_rows(df: DataFrame) -> DataFrame:
@@ -115,12 +111,11 @@ def risk_rows(df: DataFrame) -> DataFrame:
                      *[F.col(f"risk_breakdown.{p}").alias(p) for p in risk.PARTS], "risk_explanation")
 
 
-query("flow_003")(lambda s, d: detection_rows(portscan.flow_003(stored_flows(s, d), FLOWS).detections))
+query("flow_003", oracle.rule_sql("flow_003"))(lambda s, d: detection_rows(portscan.flow_003(stored_flows(s, d), FLOWS).detections))
 query("run_rules", oracle.sql(f"SELECT {oracle.DET_OUT} FROM dets"))(
     lambda s, d: detection_rows(run_rules(events(s, d), endpoint_rules(catalogs.iocs(s), DETECT)).detections))
 query("run_flow_rules", oracle.sql(f"SELECT {oracle.DET_OUT} FROM fdets"))(
-    lambda s, d: detection_rows(run_rules(stored_flows(s, d), {
-        k: r for k, r in flow_rules(FLOWS).items() if k in SQL_FLOW_RULES}).detections))
+    lambda s, d: detection_rows(run_rules(stored_flows(s, d), flow_rules(FLOWS)).detections))
 query("assemble_incident", oracle.incident_sql("c_"))(
     lambda s, d: incident_rows(endpoint_outcome(s, d).incidents))
 query("assemble_flow_incident", oracle.incident_sql("fc_"))(
