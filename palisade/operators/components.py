@@ -37,7 +37,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(
-    vertices: DataFrame, edges: DataFrame, max_rounds: int = 60
+    vertices: DataFrame, edges: DataFrame
 ) -> DataFrame:
     """(id, component) for every vertex; a component is named by its least id.
 
@@ -50,16 +50,12 @@ def connected_components(
     ).where(F.col("src") != F.col("dst")).distinct()
     e = checkpointed(e)
     before = _state(e)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         e = checkpointed(_small_star(_large_star(e)))
         after = _state(e)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("src").alias("id"), F.col("dst").alias("root"))
     return vertices.select("id").join(roots, "id", "left").select(
         "id", F.coalesce("root", "id").alias("component"))

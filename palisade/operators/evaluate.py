@@ -196,9 +196,9 @@ def rule_composition(incidents, dets, members, labels) -> DataFrame:
         F.count(F.lit(1)).alias("incidents"))
 
 
-def fp_notes(dets: DataFrame, labels: DataFrame, limit: int = 20) -> DataFrame:
-    """First detections by fingerprint with the number of benign events they cite."""
-    first = dets.orderBy("fingerprint").limit(limit)
+def fp_notes(dets: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Detections, or the first `limit` by fingerprint, with the number of benign events they cite."""
+    first = dets if limit is None else dets.orderBy("fingerprint").limit(limit)
     benign = covered_events(first, labels).where(~is_attack()).groupBy("detection_id").agg(
         F.count_distinct("event_id").alias("benign_events"))
     return first.select("detection_id", "rule_id", "fingerprint").join(

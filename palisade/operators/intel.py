@@ -20,7 +20,6 @@ HEX_DIGEST = r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 HTTP_URL = r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:@\[\]]+)(?::(\d*))?([/?#].*)?$"
 SOURCES = (("source_ip", "ip"), ("destination_ip", "ip"), ("domain", "domain"), ("url", "url"),
            ("file_hash", "file_hash"))
-MAX_REFS = 25
 
 
 @F.pandas_udf(T.StringType())
@@ -95,20 +94,29 @@ def observed(events: DataFrame, idna: bool = True) -> DataFrame:
     return normalize_observable(rows, idna=idna).where(F.col("normalized_value").isNotNull())
 
 
-def extract_observables(events: DataFrame, idna: bool = True) -> DataFrame:
-    """Distinct observables with span, event count and up to 25 event ids."""
+def observable_events(events: DataFrame, idna: bool = True) -> DataFrame:
+    """(type, normalized_value, source, event_id): every event of every observable, as rows."""
+    return observed(events, idna).select("type", "normalized_value", "source", "event_id").distinct()
+
+
+def extract_observables(events: DataFrame, idna: bool = True, refs: int | None = None) -> DataFrame:
+    """Distinct observables with span and event count; `observable_events` has their events.
+
+    With `refs`, the first that many event ids are added as `event_ids`.
+    """
     once = observed(events, idna).groupBy("type", "normalized_value", "source", "event_id").agg(
         F.min(F.struct("ts_us", F.trim("value").alias("value"))).alias("lo"), F.max("ts_us").alias("hi"))
     key = ["type", "normalized_value", "source"]
     totals = once.groupBy(*key).agg(
         F.min(F.struct("lo.ts_us", "event_id", "lo.value")).alias("first"), F.max("hi").alias("last_us"),
         F.count(F.lit(1)).alias("event_count"))
+    found = totals.select(*key, F.col("first.value").alias("value"), F.col("first.ts_us").alias("first_us"),
+                          "last_us", "event_count")
+    if refs is None:
+        return found
     from palisade.operators.flow import top
-    refs = top(once, key, [F.col("event_id")], MAX_REFS).groupBy(*key).agg(
-        F.array_sort(F.collect_list("event_id")).alias("event_ids"))
-    return totals.join(refs, key).select(
-        *key, F.col("first.value").alias("value"), F.col("first.ts_us").alias("first_us"), "last_us",
-        "event_count", "event_ids")
+    return found.join(top(once, key, [F.col("event_id")], refs).groupBy(*key).agg(
+        F.array_sort(F.collect_list("event_id")).alias("event_ids")), key)
 
 
 def intel_lookup(observables: DataFrame, catalog: DataFrame, provider: str = "local-test") -> DataFrame:
@@ -124,21 +132,18 @@ def intel_lookup(observables: DataFrame, catalog: DataFrame, provider: str = "lo
 
 
 def intel_trace(incidents: DataFrame, dets: DataFrame, events: DataFrame, catalog: DataFrame,
-                sample: int = 200, idna: bool = True) -> DataFrame:
-    """Per incident, the observables of its sampled events, their verdict, and the
-    member detections citing the same events."""
-    from palisade.operators.investigate import evidence_sample
+                sample: int | None = None, idna: bool = True) -> DataFrame:
+    """Per incident, the observables of its evidence events (the first `sample`, if given), their
+    verdict, and all member detections citing the same events."""
+    from palisade.operators.investigate import evidence_sample, first_of
     rows = observed(evidence_sample(incidents, events, sample), idna).select(
         "event_id", "type", "normalized_value", "source").distinct()
-    held = incidents.select("incident_id", F.explode(F.slice("evidence_event_ids", 1, sample)).alias("event_id"))
+    held = incidents.select("incident_id", F.explode(first_of("evidence_event_ids", sample)).alias("event_id"))
     key = ["incident_id", "type", "normalized_value", "source"]
     found = held.join(rows, "event_id")
     cited = incidents.select("incident_id", F.explode("detection_ids").alias("detection_id")).join(
         dets.select("detection_id", F.explode("evidence_event_ids").alias("event_id")), "detection_id")
     counts = found.groupBy(*key).agg(F.count_distinct("event_id").alias("event_count"))
-    # Only the first 25 event ids of an observable carry a link to detections.
-    from palisade.operators.flow import top
-    refs = top(found.distinct(), key, [F.col("event_id")], MAX_REFS)
-    links = refs.join(cited, ["incident_id", "event_id"]).groupBy(*key).agg(
+    links = found.distinct().join(cited, ["incident_id", "event_id"]).groupBy(*key).agg(
         F.array_sort(F.collect_set("detection_id")).alias("detection_ids"))
     return intel_lookup(counts.join(links, key, "left"), catalog)

@@ -16,7 +16,10 @@ from palisade.operators.endpoint import FAILED, SUCCEEDED
 
 def _rows(events: DataFrame, cfg: UebaConfig) -> DataFrame:
     width = cfg.window_hours * HOUR
-    return events.where(~blank("event_id") & ~blank("user")).dropDuplicates(["event_id"]).withColumn(
+    # of rows that repeat an id the earliest counts; blank users go only then
+    first = W.partitionBy("event_id").orderBy("ts_us", F.xxhash64("user", "source_ip", "event_type"))
+    once = events.where(~blank("event_id")).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    return once.where(~blank("user")).withColumn(
         "window_us", F.floor(F.col("ts_us") / F.lit(width)) * width)
 
 

@@ -77,8 +77,12 @@ def normalize_event(valid: DataFrame) -> DataFrame:
 
 
 def split_new(events: DataFrame, stored: DataFrame | None, arrival: str = "arrival") -> DataFrame:
-    """Add `status`: created for the first arrival of an unseen event id, else duplicate."""
-    w = W.partitionBy("event_id").orderBy(arrival)
+    """Add `status`: created for the first arrival of an unseen event id, else duplicate.
+
+    Equal arrivals of an id are told apart by a hash of their other columns.
+    """
+    rest = [F.col(c) for c, kind in events.dtypes if c not in ("event_id", arrival) and not kind.startswith("map")]
+    w = W.partitionBy("event_id").orderBy(arrival, F.xxhash64(*rest))
     rows = events.withColumn("_first", F.row_number().over(w) == 1)
     if stored is not None:
         seen = stored.select("event_id").distinct().withColumn("_seen", F.lit(True))
@@ -101,10 +105,9 @@ def batch_report(submitted: DataFrame, stored: DataFrame | None = None) -> DataF
 def append_events(events: DataFrame, path: str) -> None:
     """Append first arrivals of unseen ids to the stored table."""
     spark = events.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        stored = None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    stored = spark.read.parquet(path) if there else None
     split_new(events, stored).where("status = 'created'").drop("status", "arrival").write.mode(
         "append").parquet(path)
 
@@ -142,7 +145,9 @@ def upsert(stored: DataFrame | None, batch: DataFrame, key: str, at: Column,
            keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Stored rows after an idempotent write: batch columns replace, `keep` columns and
     unknown ids survive. Adds created_at, updated_at and `change` (created, updated, kept)."""
-    batch = batch.dropDuplicates([key])
+    # of rows that repeat a key in one batch, the one with the least hash
+    mark = F.xxhash64(*[F.col(c) for c, kind in batch.dtypes if "map<" not in kind])
+    batch = batch.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(mark))).where("_k = 1").drop("_k")
     if stored is None:
         return batch.withColumns({"created_at": at, "updated_at": at, "change": F.lit("created")})
     held = [c for c in stored.columns if c not in (key, "change")]
@@ -211,4 +216,4 @@ def write_jsonl(records: DataFrame, path: str, order: str = "fingerprint") -> Da
 
 def write_metrics(frames: dict[str, DataFrame], folder: str) -> None:
     for name, df in frames.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+        df.write.mode("overwrite").json(f"{folder}/{name}")
