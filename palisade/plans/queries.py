@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import DetectConfig, FlowConfig
 from palisade.functions.core import micros
-from palisade.functions.state import checkpointed, pin
+from palisade.functions.state import checkpointed, ensure_checkpoint_dir, pin
 from palisade.operators import endpoint, flow
 from palisade.plans import oracle
 from palisade.sources import bridge, catalogs
@@ -849,3 +850,68 @@ query("scan_tables", osql("SELECT source, count(*) AS n, min(ts_us) AS first_us,
 query("scan_catalogs", osql("SELECT i.indicator, count(*) AS hits FROM tel t JOIN ioc i ON t.dip = i.indicator OR lower(t.domain) = i.indicator GROUP BY 1"))(
     lambda s, d: endpoint.net_001(events(s, d), catalogs.iocs(s)).groupBy(
         F.col("metadata.matched_ioc.indicator").alias("indicator")).agg(F.count(F.lit(1)).alias("hits")))
+
+
+# --- readers and writers: the tables written to the shared folder and read back
+def _folder(s) -> str:
+    ensure_checkpoint_dir(s)
+    return f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4().hex}"
+
+
+def _flow_files(s, d) -> str:
+    """Flow rows as CSV under two headers: one lacks the addresses and repeats a column."""
+    folder = _folder(s)
+    v = stored_flows(s, d).select(*[F.col(c).cast("string").alias(c) for c in (
+        "event_id", "protocol", "source_ip", "destination_ip", "destination_port", "bytes_sent")])
+    full = v.where("protocol = 'TCP'").select(
+        F.col("event_id").alias("Id"), F.col("source_ip").alias("Src IP"), F.col("destination_ip").alias(" Dst IP"),
+        F.col("destination_port").alias("Dst Port"), F.col("bytes_sent").alias("TotLen Fwd Pkts"))
+    full.write.option("header", True).csv(f"{folder}/a")
+    short = v.where("NOT coalesce(protocol = 'TCP', false)").select(F.concat_ws(
+        ",", "destination_port", F.lit("stale"), "event_id", "bytes_sent").alias("value"))
+    # a header line of its own that repeats a name, before the rows of each file
+    lines = short.repartition(4, "value").sortWithinPartitions("value").mapInPandas(_with_header, "value string")
+    lines.write.text(f"{folder}/b", compression=None)
+    return folder
+
+
+def _with_header(batches):
+    import pandas as pd
+    yield pd.DataFrame({"value": ["Dst Port,TotLen Fwd Pkts,Id,TotLen Fwd Pkts"]})
+    yield from batches
+
+
+query("scan_flow_csv", osql("""SELECT event_id, coalesce(port::VARCHAR, '') AS port, coalesce(sent::VARCHAR, '') AS sent,
+   CASE WHEN protocol = 'TCP' THEN coalesce(sip, '') ELSE '' END AS source_ip, CASE WHEN protocol = 'TCP' THEN coalesce(dip, '') ELSE '' END AS destination_ip FROM flw"""))(
+    lambda s, d: flowcsv.read_flow_csv(s, _flow_files(s, d) + "/*").select(
+        F.col("Id").alias("event_id"), F.col("Dst Port").alias("port"), F.col("TotLen Fwd Pkts").alias("sent"),
+        F.col("Src IP").alias("source_ip"), F.col("Dst IP").alias("destination_ip")))
+query("scan_source_row", osql("SELECT count(*) AS n, true AS numbered FROM flw"))(
+    lambda s, d: flowcsv.read_flow_csv(s, _flow_files(s, d) + "/*").groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("source_row").alias("k"), F.min("source_row").alias("lo"),
+        F.max("source_row").alias("hi")).agg(F.sum("n").alias("n"), F.bool_and(
+            (F.col("k") == F.col("n")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n"))).alias("numbered")))
+
+
+def _told(s, d, how) -> str:
+    folder = _folder(s)
+    rows = bridge.telemetry(s, d)
+    getattr(rows.write.options(header=True, escape='"') if how == "csv" else rows.write, how)(folder)
+    return folder
+
+
+_TEL = "SELECT event_id, event_type, host, usr AS user_name, port AS destination_port, sent AS bytes_sent, scenario_id FROM tel"
+_tel = lambda df: df.select("event_id", "event_type", "host", F.col("user").alias("user_name"), "destination_port", "bytes_sent",
+                            F.get_json_object("raw_event", "$.scenario_id").alias("scenario_id"))
+query("scan_jsonl_events", osql(_TEL))(lambda s, d: _tel(flowcsv.read_jsonl(s, _told(s, d, "json"))))
+query("scan_event_csv", osql(_TEL))(lambda s, d: _tel(flowcsv.read_event_csv(s, _told(s, d, "csv"))))
+
+
+def _metrics(s, d, o):
+    folder = _folder(s)
+    found = ev.rule_metrics(o.detections, labels(s, d))
+    ingest.write_metrics({"rules": found}, folder)
+    return s.read.schema(found.schema).json(f"{folder}/rules")
+
+
+query("sink_metrics", ORACLES["rule_metrics"])(on_flows(_metrics))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions.core import nz, uuid5
-from palisade.functions.state import pin
 from palisade.operators.evaluate import normalize_label
 from palisade.operators.intel import with_address
 from palisade.schema import EVENT_DDL, FLOW_NUMERICS
@@ -29,27 +30,54 @@ NAMESPACE_2017 = "db2ad4b68e0d553394b62ecc528b741c"
 SOURCE_2017, VERSION_2017, DATASET_2017 = "cicids2017", "cicids2017-v1", "CICIDS2017"
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The files behind a path or pattern, as Spark lists them."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of a file, trimmed; read from its first line, parsed as CSV."""
+    line = spark.read.text(file).first()
+    return tuple(c.strip() for c in next(csv.reader([line["value"].lstrip("\ufeff")]), [])) if line else ()
+
+
 def read_flow_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """All-text rows with trimmed headers and no NULLs, plus file and 1-based row number.
 
-    Row numbers come from per-block counts and in-block positions, so a file is
-    never gathered in one task. Records must not span lines.
+    Files are read by their own header: those with equal headers together, the groups united by
+    name, a column that a file lacks being ''. Of columns with one name the last counts. Row numbers
+    come from per-block counts and in-block positions, so a file is never gathered in one task; the
+    counts are a second scan, no input is stored. Records must not span lines.
     """
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    names = [c.strip().lstrip("﻿").strip() for c in raw.columns]
-    rows = raw.select(*[nz(F.col(f"`{c}`").cast("string"), "").alias(n) for c, n in zip(raw.columns, names)],
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _listed(spark, path):
+        groups.setdefault(_header(spark, file), []).append(file)
+    parts = [_read_group(spark, names, files) for names, files in groups.items() if names]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    out = out.fillna("", [c for c in out.columns if c != "source_row"])
+    return out if limit is None else out.where(F.col("source_row") <= limit)
+
+
+def _read_group(spark: SparkSession, names: tuple[str, ...], files: list[str]) -> DataFrame:
+    """Rows of files that share a header."""
+    slots = ", ".join(f"_{i} string" for i in range(len(names)))
+    raw = spark.read.schema(slots).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv(files)
+    last = {n: i for i, n in enumerate(names)}
+    rows = raw.select(*[nz(F.col(f"_{i}"), "").alias(n) for n, i in last.items()],
                       F.col("_metadata.file_path").alias("_path"),
                       F.col("_metadata.file_block_start").alias("_block"),
                       F.monotonically_increasing_id().alias("_id"))
-    rows = pin(rows)
-    inside = W.partitionBy("_path", "_block").orderBy("_id")
-    counts = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_id")).groupBy("_path", "_block").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("_path", "_block", nz(F.sum("_n").over(before)).alias("_before"))
-    out = rows.withColumn("_pos", F.row_number().over(inside)).join(starts, ["_path", "_block"]).select(
-        *names, F.element_at(F.split("_path", "/"), -1).alias("source_file"),
-        (F.col("_before") + F.col("_pos")).alias("source_row"))
-    return out if limit is None else out.where(F.col("source_row") <= limit)
+    starts = firsts.withColumn("_before", nz(F.sum("_n").over(before)))
+    # ids rise by one within a block, which one task reads in order
+    return rows.join(starts.select("_path", "_block", "_first", "_before"), ["_path", "_block"]).select(
+        *last, F.element_at(F.split("_path", "/"), -1).alias("source_file"),
+        (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("source_row"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

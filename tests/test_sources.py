@@ -108,3 +108,22 @@ def test_forest_ranks_outliers_first(spark):
     assert top.entity_key == "odd" and top.anomaly_score == 1.0 and top.anomaly_flag
     low = out.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
     assert low[0] == 0.0 and low[1] == 1.0
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿Src IP, Dst Port ,Label\n10.0.0.1,80,Benign\n10.0.0.2,81,\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Dst Port,Len,Label,Len\n90,stale,Bot,7\n")
+    rows = flowcsv.read_flow_csv(spark, str(tmp_path / "*.csv")).orderBy("source_file", "source_row").collect()
+    got = [(r["source_file"], r["source_row"], r["Src IP"], r["Dst Port"], r["Label"], r["Len"]) for r in rows]
+    assert got == [("a.csv", 1, "10.0.0.1", "80", "Benign", ""), ("a.csv", 2, "10.0.0.2", "81", "", ""),
+                   ("b.csv", 1, "", "90", "Bot", "7")]
+
+
+def test_append_events_lets_storage_errors_rise(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", 1), ("e1", 1), ("e2", 2)], "event_id string, arrival int")
+    ingest.append_events(rows, str(tmp_path / "t"))
+    ingest.append_events(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    (tmp_path / "broken").write_text("no table")
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.append_events(rows, str(tmp_path / "broken"))
