@@ -81,7 +81,7 @@ def split_new(events: DataFrame, stored: DataFrame | None, arrival: str = "arriv
 
     Equal arrivals of an id are told apart by a hash of their other columns.
     """
-    rest = [F.col(c) for c, kind in events.dtypes if c not in ("event_id", arrival) and not kind.startswith("map")]
+    rest = [F.col(c) for c, kind in events.dtypes if c != arrival and "map<" not in kind]
     w = W.partitionBy("event_id").orderBy(arrival, F.xxhash64(*rest))
     rows = events.withColumn("_first", F.row_number().over(w) == 1)
     if stored is not None:
