@@ -106,7 +106,7 @@ def auth_003(events: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame
     auth = events.where((F.col("event_type") == "authentication") & ~blank("user")).select(
         "user", "source_ip", "event_id", "ts_us"
     )
-    numbered = number_rows(auth, ["user"], cfg.slice_minutes * MINUTE)
+    numbered = number_rows(auth, ["user"])
     first_use = (
         numbered.where(~blank("source_ip")).groupBy("user", "source_ip")
         .agg(F.min(F.struct("rn", "event_id", "ts_us")).alias("f"))
@@ -199,11 +199,12 @@ def net_001(events: DataFrame, iocs: DataFrame, cfg: DetectConfig = DetectConfig
 
     by_ip = lookup("ip", F.col("indicator"), "ip_key", "ip_hit")
     by_domain = lookup("domain", F.lower("indicator"), "domain_key", "domain_hit")
-    fired = (
-        wanted.join(by_ip, "ip_key", "left").join(by_domain, "domain_key", "left")
-        .withColumn("ioc", F.coalesce(F.least("ip_hit", "domain_hit"), "ip_hit", "domain_hit"))
-        .where(F.col("ioc").isNotNull())
-    )
+    # only rows that have a value are dealt by it; the few hits meet again by event
+    hits = [
+        wanted.where(F.col(key) != "").join(known, key).select("event_id", "ts_us", F.col(hit).alias("ioc"))
+        for key, known, hit in (("ip_key", by_ip, "ip_hit"), ("domain_key", by_domain, "domain_hit"))
+    ]
+    fired = hits[0].unionByName(hits[1]).groupBy("event_id", "ts_us").agg(F.min("ioc").alias("ioc"))
     ioc = F.col("ioc")
     reason = F.concat(
         F.lit("Connection to controlled indicator "), ioc["indicator"], F.lit(" ("),
@@ -223,7 +224,7 @@ def net_002(events: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame:
         F.when(blank("user"), "unknown").otherwise(F.col("user")).alias("user"),
         "event_id", "ts_us",
     )
-    numbered = number_rows(dns, keys, cfg.slice_minutes * MINUTE)
+    numbered = number_rows(dns, keys)
     fired = fire_with_reset(
         numbered, keys, need, cfg.dns_window_minutes * MINUTE, closed=True,
         chunk_rows=cfg.chunk_rows,

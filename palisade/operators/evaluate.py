@@ -245,10 +245,10 @@ def stratified_sample(rows: DataFrame, count: int, seed: int, label="label", key
     return ranked.where(F.col("_r") <= count).where(F.col("_r") <= quota).drop("_r", "_h")
 
 
-def stride_sample(rows: DataFrame, cap: int, slice_us: int) -> DataFrame:
+def stride_sample(rows: DataFrame, cap: int) -> DataFrame:
     """Evenly spaced rows in (ts_us, event_id) order, at most `cap`."""
     from palisade.operators.ordering import number_rows
-    every = number_rows(rows.withColumn("_all", F.lit(1)), ["_all"], slice_us).drop("_all")
+    every = number_rows(rows.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
     total = every.agg(F.max("rn").alias("n")).scalar()
     keep = F.least(total, F.lit(cap))
     # Row p (0-based) is taken when some i has floor(i * total / keep) = p.

@@ -174,8 +174,8 @@ def flow_002(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> RuleOutput:
         "event_id", "ts_us", F.concat_ws("|", _target(), port).alias("key"),
         short_syn(cfg.brute_max_bytes).alias("short"),
     )
-    every = number_rows(keyed, ["key"], slice_us, "all_rn")
-    short = number_rows(every.where("short"), ["key"], slice_us)
+    every = number_rows(keyed, ["key"], "all_rn")
+    short = number_rows(every.where("short"), ["key"])
     at = fire_with_reset(short, ["key"], need, window, closed=False, chunk_rows=cfg.chunk_rows)
     fired = pin(short.join(at, ["key", "rn"]).select("key", "rn", "ts_us", "all_rn"))
     counts = _rows_in_window(every, fired, window, slice_us)

@@ -1,8 +1,9 @@
 """Ordered, stateful steps over keys that may hold a large share of all rows.
 
-Nothing here sends a whole key to one task. Rows are numbered per (key, time
-slice) and shifted by the slice totals; the reset-after-firing step works on
-(key, row-number chunk) groups of bounded size whose effects are then chained.
+Nothing here sends a whole key to one task. Rows are numbered within ranges of
+(key, time, id) and shifted by the counts of earlier ranges; the reset-after-firing
+step works on (key, row-number chunk) groups of bounded size whose effects are
+then chained.
 """
 
 from __future__ import annotations
@@ -13,23 +14,28 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.functions.state import pin
+from palisade.functions.state import checkpointed, pin
 
 
-def number_rows(rows: DataFrame, keys: list[str], slice_us: int, name: str = "rn") -> DataFrame:
-    """Add the 1-based position of each row within its key by (ts_us, event_id)."""
-    sliced = rows.withColumn("_slice", F.floor(F.col("ts_us") / F.lit(slice_us)))
-    per_slice = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    inside = W.partitionBy(*keys, "_slice").orderBy("ts_us", "event_id")
+def number_rows(rows: DataFrame, keys: list[str], name: str = "rn") -> DataFrame:
+    """Add the 1-based position of each row within its key by (ts_us, event_id).
+
+    Rows are dealt by ranges of (keys, ts_us, event_id), so neither a key nor an instant is one task;
+    a row's position is its place in its range after the key's rows in earlier ranges. Ranges are
+    written to the checkpoint folder, as counts and places must see the same ones.
+    """
+    order = [*keys, "ts_us", "event_id"]
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    per_range = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_range.select(
+        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_range").orderBy("ts_us", "event_id")
     return pin(
-        sliced.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, [*keys, "_slice"])
+        dealt.withColumn("_pos", F.row_number().over(inside))
+        .join(offsets, [*keys, "_range"])
         .withColumn(name, F.col("_before") + F.col("_pos"))
-        .drop("_slice", "_pos", "_before")
+        .drop("_range", "_pos", "_before")
     )
 
 

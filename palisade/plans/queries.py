@@ -368,7 +368,7 @@ query("evidence_order", osql("SELECT event_id, ts_us, row_number() OVER (ORDER B
 def _ordered(rows):
     """The time order with exact positions."""
     from palisade.operators.ordering import number_rows
-    every = number_rows(rows.select("event_id", "ts_us", "timestamp", F.lit("all").alias("g")), ["g"], 30 * MINUTE)
+    every = number_rows(rows.select("event_id", "ts_us", "timestamp", F.lit("all").alias("g")), ["g"])
     return inv.evidence_order(every).select(
         "event_id", "ts_us", F.col("rn").alias("position"))
 
@@ -475,7 +475,7 @@ query("stratified_sample", osql(f"""SELECT event_id, label FROM flw QUALIFY row_
     lambda s, d: ev.stratified_sample(labels(s, d), 500, 7))
 query("stride_sample", osql("""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts_us, event_id) - 1 AS p FROM flw)
    WHERE p IN (SELECT CAST(floor(i * (SELECT count(*) FROM flw) / 700.0) AS BIGINT) FROM range(700) r(i))"""))(
-    lambda s, d: ev.stride_sample(stored_flows(s, d).select("event_id", "ts_us"), 700, 5 * MINUTE).select("event_id"))
+    lambda s, d: ev.stride_sample(stored_flows(s, d).select("event_id", "ts_us"), 700).select("event_id"))
 
 
 def _relabel(s, d, o):

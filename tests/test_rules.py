@@ -222,3 +222,18 @@ def test_order_of_input_does_not_matter(spark):
     rng.shuffle(rows)
     two = endpoint.auth_001(make_events(spark, rows).repartition(7)).select("detection_id", "reason")
     assert one.count() > 3 and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_numbering_splits_one_key_and_one_instant(spark):
+    from palisade.operators.ordering import number_rows
+    n = 20_000
+    rows = spark.range(n).select(F.lit("k").alias("key"), F.lit(5).cast("long").alias("ts_us"),
+                                 F.lpad(F.col("id").cast("string"), 8, "0").alias("event_id"))
+    out = number_rows(rows, ["key"])
+    assert out.where(F.col("event_id").cast("long") + 1 != F.col("rn")).count() == 0 and out.count() == n
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = rows.repartitionByRange("key", "ts_us", "event_id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) > 2 and max(r["count"] for r in ranges) < 0.6 * n
