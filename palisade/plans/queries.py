@@ -708,7 +708,12 @@ query("upsert_detections", osql("SELECT rule_id, CASE WHEN rule_id = 'FLOW-006'
         o.detections, F.expr("TIMESTAMP_NTZ'2026-09-05 00:00:00'")).groupBy("rule_id", "change").agg(F.count(F.lit(1)).alias("n"))))
 query("referential_check", osql("SELECT i.iid AS incident_id, d.did AS detection_id FROM c_inc i JOIN c_comp c ON c.comp = i.comp JOIN ent d ON d.did = c.did WHERE d.rule_id = 'AUTH-002'"))(
     on_incidents(lambda s, d, o: ingest.referential_check(o.incidents, o.detections.where("rule_id <> 'AUTH-002'"))))
-query("sink_jsonl_digest")(on_flows(lambda s, d, o: ingest.digest(ingest.jsonl(
+_LINE = """'{"confidence":' || CAST(conf AS DOUBLE) || ',"detection_id":"' || did || '","fingerprint":"' || fp || '","reason":"' || reason ||
+   '","rule_id":"' || rule_id || '","severity":"' || severity || '"}'"""
+query("sink_jsonl_digest", osql(f"""SELECT sha256(string_agg(d, '' ORDER BY q)) AS sha256, sum(n)::BIGINT AS lines FROM (
+   SELECT substr(p, 1, 3) AS q, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM (
+   SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM (
+   SELECT sha256(fp || '|' || {_LINE}) AS h FROM fdets) GROUP BY 1) GROUP BY 1)"""))(on_flows(lambda s, d, o: ingest.digest(ingest.jsonl(
     o.detections.select("fingerprint", "detection_id", "rule_id", "severity", "confidence", "reason")))))
 
 

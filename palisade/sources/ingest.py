@@ -197,14 +197,18 @@ def jsonl(records: DataFrame, order: str = "fingerprint") -> DataFrame:
 
 
 def digest(lines: DataFrame) -> DataFrame:
-    """One content digest: the SHA-256 of per-bucket digests, each over the ordered
-    line hashes of its bucket of `order`, so no task holds all lines."""
-    rows = lines.select(F.sha2(F.concat_ws("|", "order", "line"), 256).alias("h")).withColumn(
-        "b", F.substring("h", 1, 3))
-    per = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return per.agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("sha256"),
-        F.sum(F.lit(1)).alias("buckets"))
+    """One content digest and the number of lines, by a tree of SHA-256.
+
+    Line hashes are ordered and hashed together within their first six hex digits, these digests
+    within the first three, and those at the top; so a node has 4,096 children at most, and a leaf
+    the 16-millionth part of all lines.
+    """
+    rows = lines.select(F.sha2(F.concat_ws("|", "order", "line"), 256).alias("h"))
+    together = lambda key, what: F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(what).alias("v")))), lambda x: x["v"]), ""), 256)
+    low = rows.groupBy(F.substring("h", 1, 6).alias("p")).agg(together("h", "h").alias("d"), F.count(F.lit(1)).alias("n"))
+    mid = low.groupBy(F.substring("p", 1, 3).alias("q")).agg(together("p", "d").alias("d"), F.sum("n").alias("n"))
+    return mid.agg(together("q", "d").alias("sha256"), F.sum("n").alias("lines"))
 
 
 def write_jsonl(records: DataFrame, path: str, order: str = "fingerprint") -> DataFrame:
