@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -76,6 +79,20 @@ class KneserNey(NamedTuple):
     context: np.ndarray
     types: np.ndarray
 
+    def packed(self) -> bytes:
+        """The counts that are not 0, compressed: what a broadcast carries."""
+        parts = [(np.flatnonzero(a).astype(np.int32), a.ravel()[np.flatnonzero(a)]) for a in self]
+        return zlib.compress(pickle.dumps(parts), 3)
+
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def unpacked(data: bytes) -> KneserNey:
+        arrays = []
+        for at, values in pickle.loads(zlib.decompress(data)):
+            arrays.append(np.zeros((ORDER, BUCKETS, 3), np.float32))
+            arrays[-1].reshape(-1)[at] = values
+        return KneserNey(*arrays)
+
     def log_ratio(self, depth: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """log P(byte | bytes before, toxic) - log P(byte | bytes before, ordinary)."""
         p = np.full((2, len(packed)), 1 / 256)
@@ -188,11 +205,12 @@ class ToxicityModel(NamedTuple):
 
 
 def _evident(docs: DataFrame, model: KneserNey, doc_id: str, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = KneserNey.unpacked(shared.value)
         for batch in batches:
-            x = evidence(shared.value, [t or "" for t in batch["text"]])
+            x = evidence(model, [t or "" for t in batch["text"]])
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "x": list(x)})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -210,12 +228,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     own = keep(one_label(labels, doc_id, label))
     if own.select("label").distinct().count() < 2:
         return None
-    aside = fold_of(F.concat(F.lit("t"), F.col("doc_id").cast("string")), 4) == 0
-    language = count_models(docs, own.where(~aside), doc_id, text)
-    rest = own.where(aside)
-    rest = keep(rest.where(lucky("doc_id", 0.97 * SAMPLE / max(1, rest.count()))))
-    chosen = docs.join(rest.select(F.col("doc_id").alias("_id")), F.col(doc_id) == F.col("_id"), "left_semi")
-    rows = _evident(chosen, language, doc_id, text).join(rest, "doc_id").select("x", "label").toPandas()
+    # both sides of a join are filtered by their ids, so that only texts that may be needed are shuffled
+    aside = lambda c: fold_of(F.concat(F.lit("t"), F.col(c).cast("string")), 4) == 0
+    language = count_models(docs.where(~aside(doc_id)), own.where(~aside("doc_id")), doc_id, text)
+    rest = own.where(aside("doc_id"))
+    share = 0.97 * SAMPLE / max(1, rest.count())
+    rest = keep(rest.where(lucky("doc_id", share)).withColumnRenamed("doc_id", "_id"))
+    chosen = docs.where(aside(doc_id) & lucky(doc_id, share)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    chosen = chosen.join(rest, "_id", "left_semi")
+    rows = _evident(chosen, language, "_id", "text").join(rest, F.col("doc_id") == F.col("_id")).select("x", "label").toPandas()
     if rows["label"].nunique() < 2:
         return ToxicityModel(language, np.array([1.0, 0, 0, 0, 0, 0, 0, -1.0]))
     x, y = np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float)
@@ -229,10 +250,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, doc_id: str = "
     Texts without words, and all texts without a model, have score 0. Repeated rows give repeated
     results; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    packed = docs.sparkSession.sparkContext.broadcast(model and (model.language.packed(), model.weights))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = packed.value and ToxicityModel(KneserNey.unpacked(packed.value[0]), packed.value[1])
         for batch in batches:
             x = evidence(model.language, [t or "" for t in batch["text"]]) if model else np.zeros((len(batch), 7))
             score = model.score(x) if model else np.zeros(len(x))
