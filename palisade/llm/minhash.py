@@ -16,10 +16,12 @@ from palisade.llm.common import join_groups, keep
 from palisade.llm.hashing import U, chunks, mix, shingles
 from palisade.operators.components import connected_components
 
-#: Signature length and rows a band: 24 bands of 4 miss a pair of similarity 0.8 about three times in a million.
-COORDINATES, BAND = 96, 4
+#: Signature length and rows a band: 32 bands of 5 miss a pair of similarity 0.8 about three times in a million.
+COORDINATES, BAND = 160, 5
 #: Rank height of the lowest cells; each further cell doubles what lies below it.
 LOWEST = 2.0 ** -7
+#: Members of a bucket that one unit of comparison holds.
+BLOCK = 512
 
 
 @lru_cache(maxsize=64)
@@ -104,26 +106,29 @@ def _weights(counts: np.ndarray, counted: bool) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, width: int, counted: bool) -> DataFrame:
-    """(doc_id, set_key, bands): a digest of the shingle set and the band keys; null where there are no words."""
+    """(doc_id, set_key, bands, mark): a digest of the shingle set, the band keys, a byte of each coordinate;
+    null where there are no words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.lower() if t else "" for t in batch["text"]]
-            digests, bands = [], []
+            digests, bands, marks = [], [], []
             for part in chunks(texts):
                 own = texts[part]
                 text, element, count = shingles(own, width)
                 w = _weights(count, counted)
-                keys = band_keys(signatures(text, element, w, len(own)))
+                signature = signatures(text, element, w, len(own))
+                keys, short = band_keys(signature), signature.astype(np.uint8)
                 ends = np.searchsorted(text, np.arange(len(own) + 1))
                 for k in range(len(own)):
                     a, b = ends[k], ends[k + 1]
                     digests.append(xxhash.xxh3_128_digest(
                         element[a:b].tobytes() + w[a:b].tobytes()) if b > a else None)
                     bands.append(keys[k] if b > a else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "set_key": digests, "bands": bands})
+                    marks.append(short[k].tobytes() if b > a else None)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "set_key": digests, "bands": bands, "mark": marks})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, set_key binary, bands array<bigint>")
+    return docs.mapInPandas(run, f"doc_id {kind}, set_key binary, bands array<bigint>, mark binary")
 
 
 def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
@@ -171,6 +176,121 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("doc", "center", "xe", "ye", "xw", "yw").mapInPandas(run, f"doc {kind}, center {kind}")
 
 
+class Linker:
+    """Classes of documents that grow as pairs from shared buckets are compared exactly."""
+
+    def __init__(self, documents: DataFrame, marks: DataFrame, sets: DataFrame, least: float):
+        self.documents, self.marks, self.sets, self.least = documents, marks, sets, least
+        self.classes = documents.select("doc", F.col("doc").alias("class"))
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Link the (doc, center) pairs that are similar enough and merge their classes."""
+        found = keep(_verify(pairs, self.sets, self.least))
+        if found.isEmpty():
+            return
+        # a star of each class stands for the links so far
+        stars = self.classes.where(F.col("doc") != F.col("class")).select("doc", F.col("class").alias("center"))
+        links = found.unionByName(stars)
+        merged = connected_components(
+            self.documents.select(F.col("doc").alias("id")),
+            links.select(F.col("doc").alias("src"), F.col("center").alias("dst")))
+        self.classes = keep(merged.select(F.col("id").alias("doc"), F.col("component").alias("class")))
+
+    def stars(self, members: DataFrame) -> None:
+        """Compare each bucket's members with its least; the bands of a group mostly agree on that one."""
+        centers = keep(members.groupBy("bucket").agg(F.min("doc").alias("center"), F.count("*").alias("n")))
+        pairs = join_groups(members.select("bucket", "doc"), centers, ["bucket"], "n").where("doc <> center")
+        self.compare(_hopeful(pairs.select("doc", "center").distinct(), self.marks, _bar(self.least)))
+
+    def across(self, members: DataFrame, best: bool) -> None:
+        """Compare all pairs of a bucket's members that are of different classes and may be similar enough.
+
+        Where a bucket holds several classes, the members outside its largest meet all others in
+        blocks of BLOCK by BLOCK, so that a crowded bucket is many units of work. A unit looks at
+        signatures only and hands on the pairs that agree on a share within four standard deviations
+        of `least`, each in the first band they share; what it leaves out has a chance of three in a
+        hundred thousand to be similar enough after all. With `best` it hands on the most agreeing
+        member for each that asks, whatever the band: most classes merge by these few pairs.
+        """
+        placed = members.select("bucket", "band", "doc").join(self.classes, "doc")
+        sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+        live = sizes.groupBy("bucket").agg(
+            F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"),
+            F.max(F.struct("n", "class"))["class"].alias("largest")).where("classes > 1")
+        rows = join_groups(placed, keep(live), ["bucket"], "n").where("n is not null").join(self.marks, "doc")
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        rows = rows.withColumns({"vs": blocks("n"), "qs": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")})
+        everyone = rows.select("*", F.lit(0).alias("kind"), F.pmod(F.xxhash64("doc"), F.col("vs")).cast("int").alias("vb"),
+                               F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"))
+        asking = rows.where(F.col("class") != F.col("largest")).select(
+            "*", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"),
+            F.pmod(F.xxhash64("doc"), F.col("qs")).cast("int").alias("qb"))
+        columns = ["bucket", "vb", "qb", "kind", "band", "doc", "class", "largest", "mark"]
+        kind = members.schema["doc"].dataType.simpleString()
+        dealt = everyone.select(*columns).unionByName(asking.select(*columns)).repartition("bucket", "vb", "qb")
+        pairs = dealt.sortWithinPartitions("bucket", "vb", "qb", "kind", "doc").mapInPandas(
+            _unit_pairs(_bar(self.least), best), f"doc {kind}, center {kind}")
+        self.compare(pairs.distinct() if best else pairs)
+
+
+def _bar(least: float) -> float:
+    """Agreeing coordinates that a pair of similarity `least` has but for four standard deviations."""
+    return COORDINATES * (least - 4 * math.sqrt(least * (1 - least) / COORDINATES))
+
+
+def _hopeful(pairs: DataFrame, marks: DataFrame, bar: float) -> DataFrame:
+    """Pairs whose signatures agree on `bar` coordinates or more."""
+    own, other = (marks.select(F.col("doc").alias(a), F.col("mark").alias(b)) for a, b in (("doc", "x"), ("center", "y")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("x", "y"))
+                yield b.loc[(x == y).sum(axis=1) >= bar, ["doc", "center"]]
+
+    kind = pairs.schema["doc"].dataType.simpleString()
+    return pairs.join(own, "doc").join(other, "center").select("doc", "center", "x", "y").mapInPandas(
+        run, f"doc {kind}, center {kind}")
+
+
+def _unit_pairs(bar: float, best: bool):
+    """Hopeful pairs of the units in a partition ordered by unit, members before those that ask."""
+    def matrix(rows: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(rows["mark"]), np.uint8).reshape(len(rows), COORDINATES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, members, marks = None, None, None
+        for batch in batches:
+            keys = batch[["bucket", "vb", "qb", "kind"]].to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
+            found = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                at, part = tuple(keys[a, :3]), batch.iloc[a:b]
+                if keys[a, 3] == 0:
+                    members = part if at != unit else pd.concat([members, part])
+                    unit, marks = at, None
+                    continue
+                marks = matrix(members) if marks is None else marks
+                own, band = matrix(part), int(part["band"].iloc[0])
+                doc, kind = members["doc"].to_numpy(), members["class"].to_numpy()
+                largest = part["largest"].iloc[0]
+                for k, (name, mine) in enumerate(zip(part["doc"], part["class"], strict=True)):
+                    same = marks == own[k]
+                    # of two members that both ask, the one with the smaller class does
+                    agree = same.sum(axis=1)
+                    ok = (agree >= bar) & (kind != mine) & ((kind == largest) | (kind > mine))
+                    if best:
+                        if ok.any():
+                            found.append((doc[np.where(ok, agree, -1).argmax()], name))
+                        continue
+                    for i in np.flatnonzero(ok):
+                        if int(same[i].reshape(-1, BAND).all(axis=1).argmax()) == band:
+                            found.append((doc[i], name))
+            yield pd.DataFrame(found, columns=["doc", "center"])
+
+    return run
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8,
                 counted: bool = False) -> DataFrame:
     """(doc_id, class_id, class_size): groups linked by a similarity of `least` or more.
@@ -180,67 +300,37 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     on whole sets. A class is a connected part of the links and named by its least id.
 
     1. Equal sets collapse to their least id before anything is joined, by partial aggregation.
-    2. Representatives that share a band key share a bucket. In rounds, some members of each bucket
-       become centres and are compared exactly with the bucket's members of other classes; classes
-       then merge. A bucket is done when it holds one class, or all members outside its largest
-       class have been centres; so no pair of a bucket that could join two classes is left out,
-       no bucket is capped, and a round makes a few pairs a member, not all pairs of a bucket.
+    2. Representatives that share a band key share a bucket. Each is compared with its bucket's
+       least; classes form.
+    3. In buckets that still hold several classes, all pairs across classes are compared, first by
+       signature in blocks, then exactly; each member's best pairs come before the rest.
+
+    A pair is missed only if no bucket holds it (three times in a million at a similarity of 0.8)
+    or its signatures differ far more than its sets do (three in a hundred thousand at 0.8); both
+    vanish quickly above. No bucket is capped and no member left out.
 
     A text without words (null, empty, blank) is alone in its class; so is a null id, with a null
     class. Rows that repeat an id count as copies. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = keep(_sign(rows, width, counted))
-    distinct = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    distinct = keep(distinct)
+    distinct = keep(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
+        F.first("mark").alias("mark")))
 
     # a bucket of one representative can link nothing
-    places = distinct.select(F.col("rep").alias("doc"), F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = keep(places.join(shared, "bucket", "left_semi"))
-    used = members.select("doc").distinct()
-    sets = keep(_sets(rows.join(used, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"]),
-                      width, counted))
-
-    links, centers_done = None, None
-    classes = used.select("doc", F.col("doc").alias("class"))
-    turn = 0
-    while True:
-        placed = keep(members.join(classes, "doc"))
-        sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-        buckets = sizes.groupBy("bucket").agg(
-            F.count("*").alias("classes"), F.sum("n").alias("n"), F.max(F.struct("n", "class"))["class"].alias("largest"))
-        live = keep(buckets.where("classes > 1"))
-        # some members outside the largest class, by a hash that differs each round; the rest another time
-        open_ = join_groups(placed, live, ["bucket"], "n").where("classes > 1 and class <> largest")
-        if centers_done is not None:
-            open_ = open_.join(centers_done, "doc", "left_anti")
-        open_ = keep(open_.select("bucket", "doc"))
-        left = open_.groupBy("bucket").agg(F.count("*").alias("left"))
-        wanted = min(16, 2 ** turn)
-        luck = (F.xxhash64("doc", F.lit(turn)) / F.lit(2.0 ** 64) + 0.5) * F.col("left")
-        fresh = join_groups(open_, left, ["bucket"], "left").where(luck < wanted)
-        if turn == 0:
-            # one centre a bucket: its least member, so that the bands of a group agree on it
-            fresh = open_.groupBy("bucket").agg(F.min("doc").alias("doc"))
-        fresh = keep(fresh.select("doc").distinct())
-        if left.isEmpty():
-            break
-        if not fresh.isEmpty():
-            at = placed.join(fresh, "doc").select("bucket", F.col("doc").alias("center"), F.col("class").alias("theirs"))
-            pairs = placed.join(at, "bucket").where("class <> theirs and doc <> center").select("doc", "center").distinct()
-            found = keep(_verify(pairs, sets, least))
-            links = found if links is None else links.unionByName(found)
-            centers_done = fresh if centers_done is None else centers_done.unionByName(fresh)
-            if not found.isEmpty():
-                merged = connected_components(
-                    used.select(F.col("doc").alias("id")),
-                    links.select(F.col("doc").alias("src"), F.col("center").alias("dst")))
-                classes = keep(merged.select(F.col("id").alias("doc"), F.col("component").alias("class")))
-        turn += 1
-
-    named = distinct.join(classes, F.col("rep") == F.col("doc"), "left").select(
+    places = distinct.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "bucket"))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = keep(join_groups(places, keep(shared), ["bucket"], "size").where("size is not null").drop("size"))
+    used = keep(members.select("doc").distinct())
+    marks = keep(distinct.select(F.col("rep").alias("doc"), "mark").join(used, "doc", "left_semi"))
+    sets = keep(_sets(rows.join(used, rows["doc_id"] == used["doc"], "left_semi").dropDuplicates(["doc_id"]), width, counted))
+    linker = Linker(used, marks, sets, least)
+    linker.stars(members)
+    linker.across(members, best=True)
+    linker.across(members, best=False)
+
+    named = distinct.join(linker.classes, distinct["rep"] == linker.classes["doc"], "left").select(
         "set_key", "copies", F.coalesce("class", "rep").alias("class_id"))
     totals = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     named = join_groups(named, keep(totals), ["class_id"], "class_size").select("set_key", "copies", "class_id", "class_size")
