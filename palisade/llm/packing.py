@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,15 @@ COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "
 
 
 class Encoder:
-    """Ids of texts as 16-bit integers. The tokenizer splits at white space, so words are encoded once."""
+    """Ids of texts as 16-bit integers.
+
+    The tokenizer never joins what white space parts, nor a letter and a stop after it, and
+    lower-cases; so words are looked up without case and stops, and each is encoded once while the
+    memory lasts. Words to encode are joined, and parted again at the ids that end a word. Texts
+    beyond Latin-1 are parted at white space only, and all but plain words encoded one by one.
+    """
+
+    _stop = re.compile(r"(?<=[a-zà-öø-ÿ])([.,;:])(?=[ \n])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -33,18 +42,53 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spell(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        groups = [words[k:k + 500] for k in range(0, len(words), 500)]
+        for group, ids in zip(groups, self._encode_all([" ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                for w, x, y in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    out[w] = raw[2 * x:2 * y]
+            else:
+                out.update((w, i.tobytes()) for w, i in zip(group, self._encode_all(group), strict=True))
+        return out
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha()]
+        odd = [w for w in words if not w.isalpha()]
+        found = self._spell(plain)
+        found.update((w, i.tobytes()) for w, i in zip(odd, self._encode_all(odd), strict=True))
+        return found
+
+    def _words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            # as the tokenizer would: lower case, and a stop between a letter and a blank is a piece
+            text = self._stop.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*words).difference(self.known))
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        found = {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(fresh, coded, strict=True)}
+        words = [self._words(t) for t in texts]
+        every = set().union(*words)
+        found = self._fresh(every.difference(self.known))
         if len(self.known) + len(found) <= REMEMBERED:
             self.known.update(found)
-            return [b"".join(map(self.known.__getitem__, w)) for w in words]
-        both = {w: self.known.get(w) for w in set().union(*words)} | found
-        return [b"".join(map(both.__getitem__, w)) for w in words]
+            found = self.known
+        else:
+            found = {w: self.known[w] for w in every.intersection(self.known)} | found
+        return [b"".join(map(found.__getitem__, w)) for w in words]
 
 
 @lru_cache(maxsize=1)
