@@ -101,7 +101,7 @@ class SuffixFamily:
         starts = starts.where("n > 1")
         self.scans.append(self.scratch.write(
             entries.join(starts.select("head", "seed"), ["head", "seed"], "left_semi")
-            .select(*SUFFIX, (F.col("places") > 1).alias("repeated")), f"scan{self.made}"))
+            .select(*SUFFIX, "places"), f"scan{self.made}"))
         size = 1
         while self.levels and self.levels[-1][0] == size:
             _, older, rows = self.levels.pop()
@@ -112,11 +112,12 @@ class SuffixFamily:
         self.levels.append((size, name, new))
 
     def matches(self) -> DataFrame:
-        """Entries whose seed occurs elsewhere: whether their whole run is repeated, and how many forms the seed has."""
+        """Entries whose seed occurs elsewhere: the places of their whole run, and how many forms the seed has."""
         all_scans = self.scans[0]
         for s in self.scans[1:]:
             all_scans = all_scans.unionByName(s)
-        entries = all_scans.groupBy(*SUFFIX).agg(F.max("repeated").alias("repeated"))
+        # places only grow from scan to scan, and the last scan that met an entry counted all of them
+        entries = all_scans.groupBy(*SUFFIX).agg(F.max("places").alias("places"))
         forms = entries.groupBy("head", "seed").agg(F.count("*").alias("forms"))
         return entries.join(forms, ["head", "seed"])
 
@@ -214,8 +215,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     matches = scratch.write(family.matches(), "matches")
 
     # the runs whose whole cover is repeated, and one place of each form of a seed with several
-    groups = anchors.join(matches, SUFFIX)
-    settled = groups.where("repeated").select("row", F.struct(
+    groups = join_groups(anchors, matches, SUFFIX, "places").where("places is not null")
+    settled = groups.where("places > 1").select("row", F.struct(
         F.col("low").alias("start"), (F.col("high") + length).alias("end")).alias("span"))
     forms = groups.where("forms > 1").groupBy(*SUFFIX).agg(F.min(F.struct("row", "place", "low", "high")).alias("at"))
     contexts = scratch.write(_contexts(rows, forms.select("at.*"), length), "contexts")
