@@ -132,7 +132,10 @@ def _sign(docs: DataFrame, width: int, counted: bool) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
-    """(doc_id, elements, weights): the ordered shingle hashes as bytes, and weights where they are counts."""
+    """(doc_id, elements, weights): the ordered 32-bit shingle hashes as bytes, and weights where they are counts.
+
+    Half the bytes of 64-bit ones to shuffle; two of n shingles share one with a chance of n * n / 2**33.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.lower() if t else "" for t in batch["text"]]
@@ -140,8 +143,12 @@ def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
             for part in chunks(texts):
                 text, element, count = shingles(texts[part], width)
                 ends = np.searchsorted(text, np.arange(part.stop - part.start + 1))
+                short = (element >> U(32)).astype(np.uint32)
                 for a, b in zip(ends, ends[1:], strict=False):
-                    rows.append((element[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes() if counted else None))
+                    own = short[a:b]
+                    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if b > a else np.zeros(0, np.int64)
+                    tf = np.add.reduceat(count[a:b], first).astype(np.uint32).tobytes() if counted and b > a else None
+                    rows.append((own[first].tobytes(), tf))
             made = pd.DataFrame(rows, columns=["elements", "weights"])
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield made
@@ -151,7 +158,7 @@ def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
 
 
 def _similarity(xe: bytes, ye: bytes, xw: bytes | None, yw: bytes | None) -> float:
-    x, y = np.frombuffer(xe, np.uint64), np.frombuffer(ye, np.uint64)
+    x, y = np.frombuffer(xe, np.uint32), np.frombuffer(ye, np.uint32)
     if xw is None:
         common = len(np.intersect1d(x, y, assume_unique=True))
         return common / (len(x) + len(y) - common)
