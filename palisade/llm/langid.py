@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,20 @@ def fit_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> tup
     return names, vectors.astype(np.float32)
 
 
+def nearest(text: str | None, model: tuple[list[str], np.ndarray]) -> tuple[str, float]:
+    """The language whose prototype has the largest cosine with a text, and that cosine."""
+    names, prototypes = model
+    grams, counts = trigrams(text) if text and names else ((), ())
+    if not len(grams):
+        return "und", 0.0
+    own = np.zeros(WIDTH, np.float32)
+    for at in range(0, len(grams), 2048):
+        own += counts[at:at + 2048].astype(np.float32) @ ngram_vectors()[grams[at:at + 2048]].astype(np.float32)
+    near = prototypes @ (own / (np.linalg.norm(own) or 1.0))
+    k = int(near.argmax())
+    return names[k], float(min(1.0, max(0.0, near[k])))
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the language whose prototype has the largest cosine, and that cosine.
 
@@ -92,24 +107,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, prototypes = shared.value
-        vectors = ngram_vectors()
         for batch in batches:
-            best, score = [], []
-            for t in batch["text"]:
-                grams, counts = trigrams(t) if t and names else ((), ())
-                if not len(grams):
-                    best.append("und")
-                    score.append(0.0)
-                    continue
-                own = np.zeros(WIDTH, np.float32)
-                for at in range(0, len(grams), 2048):
-                    own += counts[at:at + 2048].astype(np.float32) @ vectors[grams[at:at + 2048]].astype(np.float32)
-                near = prototypes @ (own / (np.linalg.norm(own) or 1.0))
-                k = int(near.argmax())
-                best.append(names[k])
-                score.append(float(min(1.0, max(0.0, near[k]))))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang_pred": best, "score": score})
+            found = [nearest(t, shared.value) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang_pred": [name for name, _ in found],
+                                "score": [score for _, score in found]})
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -117,7 +118,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.02) -> DataFrame:
-    """Documents in a recognised language: not 'und', and a cosine of `least` or more."""
-    known = identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    known = known.select(F.col("doc_id").alias("_known"))
-    return docs.join(known, docs["doc_id"].eqNullSafe(known["_known"]), "left_semi")
+    """Documents in a recognised language: not 'und', and a cosine of `least` or more.
+
+    Each row is judged where it lies, by its own text, so neither null nor repeated ids matter.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [nearest(t, shared.value) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

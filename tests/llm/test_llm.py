@@ -63,6 +63,18 @@ def test_exact(awkward, nothing):
     assert {r.doc_id for r in left.collect()} == {w[0] for w in want if w[3]}
 
 
+def test_exact_judges_rows(spark, nothing):
+    """Null and repeated ids on different texts: only the repeated text goes."""
+    docs = [(None, "A"), (7, "A"), (None, "B"), (3, "C"), (4, "C"), (3, "D"), (3, "E"), (None, None), (5, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, exact.exact_groups(df).collect()), key=repr)
+    want = [(None, 7, 2, False), (7, 7, 2, True), (None, None, 1, True), (3, 4, 2, False), (4, 4, 2, True),
+            (3, 3, 1, True), (3, 3, 1, True), (None, 5, 2, False), (5, 5, 2, True)]
+    assert got == sorted(want, key=repr)
+    left = {tuple(r) for r in exact.drop_exact(df).collect()}
+    assert left == {(7, "A"), (None, "B"), (4, "C"), (3, "D"), (3, "E"), (5, "")}
+
+
 def shingle_counts(text: str | None) -> collections.Counter:
     w = (text or "").lower().encode().split()
     return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
@@ -321,6 +333,14 @@ def test_langid(awkward, nothing, spark, sf):
     assert {r.lang_pred for r in langid.identify(awkward, none).collect()} == {"und"}
 
 
+def test_langid_judges_rows(spark):
+    """An id that is null or repeated says nothing about the other text it is on."""
+    model = langid.fit_profiles(spark.createDataFrame([("the cat sat on the mat", "en")], "text string, lang string"))
+    docs = [(None, "the cat"), (None, "!!!"), (1, "on the mat"), (1, "12 34"), (2, None)]
+    left = langid.keep_known(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+    assert {tuple(r) for r in left} == {(None, "the cat"), (1, "on the mat")}
+
+
 def auc(y: np.ndarray, p: np.ndarray) -> float:
     rank = pd.Series(p).rank().to_numpy()
     good = y == 1
