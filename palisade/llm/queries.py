@@ -51,9 +51,8 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """)
 def op5_exact_dedup(spark, d):
-    docs = table(spark, d, "documents")
-    digests = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return exact.exact_groups(docs).join(digests, "doc_id")
+    found = exact.exact_groups(table(spark, d, "documents"), digest=True)
+    return found.withColumn("kept", F.col("doc_id") == F.col("keep_id"))  # null for a null id, as in SQL
 
 
 @query("op6_byte_bpe")

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -75,6 +76,20 @@ def test_exact_judges_rows(spark, nothing):
     assert left == {(7, "A"), (None, "B"), (4, "C"), (3, "D"), (3, "E"), (5, "")}
 
 
+def test_exact_query_on_odd_ids(spark, tmp_path):
+    """One row a document and the digest of its own text, as in SQL."""
+    docs = [(None, "A"), (7, "A"), (None, "B"), (3, "C"), (4, "C"), (3, "D"), (3, "E"), (8, None)]
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).toPandas().to_parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text FROM '{folder}/documents.parquet'")
+    read = con.execute(ORACLES["op5_exact_dedup"])
+    want = sorted((tuple(r) for r in read.fetchall()), key=repr)
+    spark.createDataFrame(docs, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/s/documents.parquet")
+    got = sorted((tuple(r) for r in QUERIES["op5_exact_dedup"](spark, f"{folder}/s").collect()), key=repr)
+    assert got == want and len(got) == len(docs)
+
+
 def shingle_counts(text: str | None) -> collections.Counter:
     w = (text or "").lower().encode().split()
     return collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
