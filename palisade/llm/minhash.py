@@ -215,8 +215,9 @@ class Linker:
         Where a bucket holds several classes, the members outside its largest meet all others in
         blocks of BLOCK by BLOCK, so that a crowded bucket is many units of work. A unit looks at
         signatures only and hands on the pairs that agree on a share within four standard deviations
-        of `least`, each in the first band they share; what it leaves out has a chance of three in a
-        hundred thousand to be similar enough after all. With `best` it hands on the most agreeing
+        of `least`, each in the first band they share by its whole key, for which rows carry the keys
+        of the bands before theirs; what it leaves out has a chance of three in a hundred thousand to
+        be similar enough after all. With `best` it hands on the most agreeing
         member for each that asks, whatever the band: most classes merge by these few pairs.
         """
         placed = members.select("bucket", "band", "doc").join(self.classes, "doc")
@@ -225,6 +226,8 @@ class Linker:
             F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"),
             F.max(F.struct("n", "class"))["class"].alias("largest")).where("classes > 1")
         rows = join_groups(placed, keep(live), ["bucket"], "n").where("n is not null").join(self.marks, "doc")
+        earlier = F.array().cast("array<bigint>") if best else F.slice("bands", 1, F.col("band"))
+        rows = rows.withColumn("earlier", earlier).drop("bands")
         blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
         rows = rows.withColumns({"vs": blocks("n"), "qs": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")})
         everyone = rows.select("*", F.lit(0).alias("kind"), F.pmod(F.xxhash64("doc"), F.col("vs")).cast("int").alias("vb"),
@@ -232,7 +235,7 @@ class Linker:
         asking = rows.where(F.col("class") != F.col("largest")).select(
             "*", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"),
             F.pmod(F.xxhash64("doc"), F.col("qs")).cast("int").alias("qb"))
-        columns = ["bucket", "vb", "qb", "kind", "band", "doc", "class", "largest", "mark"]
+        columns = ["bucket", "vb", "qb", "kind", "band", "doc", "class", "largest", "mark", "earlier"]
         kind = members.schema["doc"].dataType.simpleString()
         dealt = everyone.select(*columns).unionByName(asking.select(*columns)).repartition("bucket", "vb", "qb")
         pairs = dealt.sortWithinPartitions("bucket", "vb", "qb", "kind", "doc").mapInPandas(
@@ -262,11 +265,11 @@ def _hopeful(pairs: DataFrame, marks: DataFrame, bar: float) -> DataFrame:
 
 def _unit_pairs(bar: float, best: bool):
     """Hopeful pairs of the units in a partition ordered by unit, members before those that ask."""
-    def matrix(rows: pd.DataFrame) -> np.ndarray:
-        return np.frombuffer(b"".join(rows["mark"]), np.uint8).reshape(len(rows), COORDINATES)
+    def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(rows["mark"]), np.uint8).reshape(len(rows), COORDINATES), np.stack(rows["earlier"].to_numpy())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, members, marks = None, None, None
+        unit, members, marks, before = None, None, None, None
         for batch in batches:
             keys = batch[["bucket", "vb", "qb", "kind"]].to_numpy()
             cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
@@ -277,22 +280,22 @@ def _unit_pairs(bar: float, best: bool):
                     members = part if at != unit else pd.concat([members, part])
                     unit, marks = at, None
                     continue
-                marks = matrix(members) if marks is None else marks
-                own, band = matrix(part), int(part["band"].iloc[0])
+                if at != unit:  # nobody to ask
+                    continue
+                if marks is None:
+                    marks, before = matrix(members)
+                own, earlier = matrix(part)
                 doc, kind = members["doc"].to_numpy(), members["class"].to_numpy()
                 largest = part["largest"].iloc[0]
                 for k, (name, mine) in enumerate(zip(part["doc"], part["class"], strict=True)):
-                    same = marks == own[k]
                     # of two members that both ask, the one with the smaller class does
-                    agree = same.sum(axis=1)
+                    agree = (marks == own[k]).sum(axis=1)
                     ok = (agree >= bar) & (kind != mine) & ((kind == largest) | (kind > mine))
                     if best:
                         if ok.any():
                             found.append((doc[np.where(ok, agree, -1).argmax()], name))
                         continue
-                    for i in np.flatnonzero(ok):
-                        if int(same[i].reshape(-1, BAND).all(axis=1).argmax()) == band:
-                            found.append((doc[i], name))
+                    found += [(doc[i], name) for i in np.flatnonzero(ok & ~(before == earlier[k]).any(axis=1))]
             yield pd.DataFrame(found, columns=["doc", "center"])
 
     return run
@@ -330,7 +333,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(join_groups(places, keep(shared), ["bucket"], "size").where("size is not null").drop("size"))
     used = keep(members.select("doc").distinct())
-    marks = keep(distinct.select(F.col("rep").alias("doc"), "mark").join(used, "doc", "left_semi"))
+    marks = keep(distinct.select(F.col("rep").alias("doc"), "mark", "bands").join(used, "doc", "left_semi"))
     sets = keep(_sets(rows.join(used, rows["doc_id"] == used["doc"], "left_semi").dropDuplicates(["doc_id"]), width, counted))
     linker = Linker(used, marks, sets, least)
     linker.stars(members)

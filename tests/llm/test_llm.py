@@ -156,6 +156,18 @@ def test_minhash_crowded_bucket(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == near_classes(docs, False)
 
 
+def test_minhash_first_shared_band(spark):
+    """Bytes of an earlier band agree by accident, its darts do not: the pair is compared in the band it shares."""
+    texts = [(1, " ".join(BASE)), (2, " ".join(NEAR))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, bytearray(minhash.COORDINATES), [10 + k, 20, *range(30, 60)]) for k, _ in texts],
+                                  "doc long, mark binary, bands array<bigint>")
+    members = spark.createDataFrame([(20, 1, 1), (20, 1, 2)], "bucket long, band int, doc long")
+    linker = minhash.Linker(marks.select("doc"), marks, minhash._sets(docs, 5, False), 0.8)
+    linker.across(members, best=False)
+    assert {tuple(r) for r in linker.classes.collect()} == {(1, 1), (2, 1)}
+
+
 def test_minhash_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert {r.doc_id: r.class_id for r in QUERIES["op3_minhash"](spark, sf).collect()} == near_classes(docs, False)
