@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import fold_of, keep
 from palisade.llm.fitting import logistic, lucky, one_label, sigmoid
-from palisade.llm.hashing import U, chunks, mix, prefix_sums, substring_hashes
+from palisade.llm.hashing import U, chunks, prefix_sums, substring_hashes
 
 #: Bytes of the longest n-gram; orders up to SHARED have one count for both classes.
 ORDER, SHARED = 6, 3
-#: Buckets of an order's n-grams; they bound the model and so its broadcast.
-BUCKETS, DISCOUNT = 1 << 18, 0.75
+DISCOUNT = 0.75
 #: Labelled documents on whose likelihoods the final probability is fitted at most.
 SAMPLE = 20_000
 _START, _END = 1, 2
@@ -67,45 +66,60 @@ def _last(packed: np.ndarray, n: int) -> np.ndarray:
     return packed & U((1 << (8 * n)) - 1)
 
 
-def _bucket(value: np.ndarray) -> np.ndarray:
-    return (mix(value) & U(BUCKETS - 1)).astype(np.int64)
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first, axis=0) if len(first) else values[:0]
 
 
-class KneserNey(NamedTuple):
-    """Counts of each order by bucket, columns (ordinary, toxic, shared): n-grams, contexts, and the
-    different bytes that followed a context."""
+def _find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of `values` for what is wanted, zeros where `keys`, which are in order, do not hold it."""
+    if not len(keys):
+        return np.zeros((len(wanted), values.shape[1]))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where((keys[at] == wanted)[:, None], values[at], 0.0)
 
-    gram: np.ndarray
-    context: np.ndarray
-    types: np.ndarray
+
+class KneserNey:
+    """Exact counts of each order's n-grams, of their contexts, and of the different bytes that
+    followed a context; columns (ordinary, toxic), or one for both classes up to SHARED.
+
+    An n-gram is its bytes in one integer, the last in the lowest place, so ordered n-grams are
+    ordered by context.
+    """
+
+    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray]):
+        self.keys, self.counts = keys, counts
+        self.contexts, self.followed = [], []
+        for key, count in zip(keys, counts, strict=True):
+            context, first = np.unique(key >> U(8), return_index=True)
+            self.contexts.append(context)
+            self.followed.append(np.column_stack([_sums(count, first), _sums((count > 0).astype(float), first)]))
 
     def packed(self) -> bytes:
-        """The counts that are not 0, compressed: what a broadcast carries."""
-        parts = [(np.flatnonzero(a).astype(np.int32), a.ravel()[np.flatnonzero(a)]) for a in self]
+        """The n-grams and counts, compressed: what a broadcast carries."""
+        parts = [(np.diff(k, prepend=U(0)), c.astype(np.int64)) for k, c in zip(self.keys, self.counts, strict=True)]
         return zlib.compress(pickle.dumps(parts), 3)
 
     @staticmethod
     @lru_cache(maxsize=1)
     def unpacked(data: bytes) -> KneserNey:
-        arrays = []
-        for at, values in pickle.loads(zlib.decompress(data)):
-            arrays.append(np.zeros((ORDER, BUCKETS, 3), np.float32))
-            arrays[-1].reshape(-1)[at] = values
-        return KneserNey(*arrays)
+        parts = pickle.loads(zlib.decompress(data))
+        return KneserNey([np.cumsum(k, dtype=np.uint64) for k, _ in parts], [c.astype(float) for _, c in parts])
 
     def log_ratio(self, depth: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """log P(byte | bytes before, toxic) - log P(byte | bytes before, ordinary)."""
-        p = np.full((2, len(packed)), 1 / 256)
+        # words share most of their n-grams: each is looked up once
+        packed, index = np.unique(packed | (np.minimum(depth, ORDER).astype(np.uint64) << U(56)), return_inverse=True)
+        depth, packed = (packed >> U(56)).astype(np.int64), _last(packed, 7)
+        p = np.full((len(packed), 2), 1 / 256)
         for n in range(1, ORDER + 1):
-            gram, context = _bucket(_last(packed, n)), _bucket(_last(packed, n) >> U(8))
-            for c in (0, 1):
-                column = 2 if n <= SHARED else c
-                total = self.context[n - 1, context, column]
-                seen = (total > 0) & (depth >= n)
-                total = np.maximum(total, 1)
-                own = np.minimum(np.maximum(self.gram[n - 1, gram, column] - DISCOUNT, 0) / total, 1.0)
-                rest = np.minimum(DISCOUNT * self.types[n - 1, context, column] / total, 1.0)
-                p[c] = np.where(seen, own + rest * p[c], p[c])
+            deep = np.flatnonzero(depth >= n)
+            gram = _last(packed[deep], n)
+            count = _find(self.keys[n - 1], gram, self.counts[n - 1])
+            total, types = np.split(_find(self.contexts[n - 1], gram >> U(8), self.followed[n - 1]), 2, axis=1)
+            known = np.maximum(total, 1)
+            mixed = np.maximum(count - DISCOUNT, 0) / known + DISCOUNT * types / known * p[deep]
+            p[deep] = np.where(total > 0, mixed, p[deep])
+        p = p[index].T
         return np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
 
 
@@ -113,8 +127,8 @@ def count_models(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) ->
     """Counts over all labelled documents by Spark; a word counts once a document.
 
     The longest n-grams have plain counts. A shorter one counts the different bytes that preceded
-    it, or plainly if it starts a word, where nothing can precede. What the driver gets is summed
-    by bucket, 2 x ORDER x BUCKETS rows at most.
+    it, or plainly if it starts a word, where nothing can precede. The driver gets one row a
+    distinct n-gram.
     """
     labels = labels.select(F.col("doc_id").alias("_id"), "label")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(labels, "_id")
@@ -154,24 +168,10 @@ def count_models(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) ->
     for t in tables[1:]:
         every = every.unionByName(t.select("n", "gram", "k0", "k1", "k2"))
 
-    def bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            gram = batch["gram"].to_numpy(np.int64).view(np.uint64)
-            made = {"n": batch["n"], "gram": _bucket(gram), "context": _bucket(gram >> U(8))}
-            yield pd.DataFrame(made | {k: batch[k] for k in ("k0", "k1", "k2")})
-
-    placed = keep(every.mapInPandas(bucketed, "n int, gram int, context int, k0 long, k1 long, k2 long"))
-    sums = [F.sum(k).alias(k) for k in ("k0", "k1", "k2")]
-    by_gram = placed.groupBy("n", "gram").agg(*sums).toPandas()
-    by_context = placed.groupBy("n", "context").agg(*sums, *[F.count_if(F.col(k) > 0).alias(f"t{k[1]}") for k in ("k0", "k1", "k2")]).toPandas()
-
-    def spread(rows: pd.DataFrame, key: str, columns: list[str]) -> np.ndarray:
-        out = np.zeros((ORDER, BUCKETS, 3), np.float32)
-        out[rows["n"].to_numpy() - 1, rows[key].to_numpy()] = rows[columns].to_numpy()
-        return out
-
-    return KneserNey(spread(by_gram, "gram", ["k0", "k1", "k2"]), spread(by_context, "context", ["k0", "k1", "k2"]),
-                     spread(by_context, "context", ["t0", "t1", "t2"]))
+    got = every.toPandas()
+    own = [part.sort_values("gram") for part in (got[got["n"] == n] for n in range(1, ORDER + 1))]
+    return KneserNey([part["gram"].to_numpy(np.int64).view(np.uint64) for part in own],
+                     [part[["k2"] if n <= SHARED else ["k0", "k1"]].to_numpy(float) for n, part in enumerate(own, 1)])
 
 
 def evidence(model: KneserNey, texts: list[str]) -> np.ndarray:

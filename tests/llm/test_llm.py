@@ -374,6 +374,54 @@ def auc(y: np.ndarray, p: np.ndarray) -> float:
     return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
 
 
+def test_toxicity_counts_are_exact(spark):
+    """Beyond 2^18 distinct n-grams of an order the probabilities equal those of counts in a dictionary."""
+    rng = random.Random(7)
+    docs = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(120))) for k in range(500)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in docs], "doc_id long, label int")
+    model = toxicity.count_models(spark.createDataFrame(docs, "doc_id long, text string"), labels, "doc_id", "text")
+    plain = [collections.Counter(), collections.Counter()]
+    for k, text in docs:
+        for w in set(text.split()):
+            b = b"\1" + w.encode() + b"\2"
+            plain[k % 2].update(b[max(0, i - 6):i] for i in range(2, len(b) + 1))
+    assert sum(len(g) == 6 for g in plain[0] | plain[1]) > 1 << 18
+
+    def spread(base):
+        """Counts by n-gram, all orders: the longest plainly, shorter ones by the different bytes before them."""
+        level = {g: n for g, n in base.items() if len(g) == 6}
+        out = dict(level)
+        for n in range(5, 0, -1):
+            lower = collections.Counter(g[-n:] for g in level)
+            lower.update({g: c for g, c in base.items() if len(g) == n})
+            level = dict(lower)
+            out |= level
+        return out
+
+    classes, both = [spread(c) for c in plain], spread(plain[0] + plain[1])
+    total, types = {}, {}
+    for name, counts in ((0, classes[0]), (1, classes[1]), (2, both)):
+        total[name], types[name] = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[name][g[:-1], len(g)] += c
+            types[name][g[:-1], len(g)] += 1
+    said = [w for _, t in docs[:4] for w in t.split()[:20]] + ["unseen", "zzzzzzzz", "abc"]
+    data, offsets, _, _ = toxicity.spelled([" ".join(said)])
+    owner, depth, packed = toxicity.grams(data, offsets)
+    want = []
+    for d, g in zip(depth, packed, strict=True):
+        g = int(g).to_bytes(7, "big")[-min(int(d), 6):]
+        p = [1 / 256, 1 / 256]
+        for n in range(1, len(g) + 1):
+            for c in (0, 1):
+                name = 2 if n <= 3 else c
+                own, t = (both if name == 2 else classes[c]).get(g[-n:], 0), total[name][g[-n:][:-1], n]
+                if t:
+                    p[c] = max(own - 0.75, 0) / t + 0.75 * types[name][g[-n:][:-1], n] / t * p[c]
+        want.append(np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12))
+    assert np.allclose(model.log_ratio(depth, packed), want, atol=1e-6)
+
+
 @pytest.mark.parametrize("name,label,least", [("op9_quality", "quality", 0.95), ("op10_toxicity", "toxic", 0.8)])
 def test_classifiers(spark, name, label, least):
     folder = "/root/testdata/sf0.1"
