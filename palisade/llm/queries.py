@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import ann, bpe, exact, langid, minhash, packing, preference, quality, suffix, toxicity
+from palisade.llm import ann, bpe, collocation, exact, langid, minhash, packing, preference, quality, spelling, suffix, toxicity, warc
 from palisade.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,52 @@ def op10_toxicity(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     model = toxicity.fit_toxicity(docs, labels.where(fold_of("doc_id", 5) != 0))
     return _scored(toxicity.score_toxicity(docs, model), 0.5)
+
+
+@query("op11_warc", """
+WITH own AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+hashed AS (SELECT *, sha1(html) AS hex FROM own)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1), '' ORDER BY i, s DESC)
+        FROM (SELECT i, ('0x' || substr(hex, i * 5 + 1, 5))::BIGINT AS v FROM range(8) t(i)) five, (VALUES (15), (10), (5), (0)) f(s)) AS payload_digest,
+       CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS NULL OR page_id = last THEN NULL ELSE last END AS refers_to
+FROM hashed
+""")
+def op11_warc(spark, d):
+    return warc.archived(table(spark, d, "pages"))
+
+
+@query("op12_collocations", """
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece, lang, list_filter(string_split(replace(t, chr(9), ' '), ' '), lambda x: x <> '') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+grams AS (
+    SELECT lang, k.k AS k, array_to_string(w[i.i:i.i + k.k - 1], ' ') AS phrase, count(*) AS f
+    FROM pieces, range(1, 5) k(k), unnest(range(1, len(w) - k.k + 2)) i(i) GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+inner_parts AS (
+    SELECT g.lang, g.f, array_to_string(string_split(g.phrase, ' ')[a.a:b.b], ' ') AS phrase
+    FROM grams g, range(1, 4) a(a), range(2, 5) b(b)
+    WHERE g.k > 2 AND b.b <= g.k AND b.b - a.a >= 1 AND b.b - a.a + 1 < g.k),
+most AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY ALL),
+kept AS (SELECT g.* FROM grams g LEFT JOIN most m USING (lang, phrase) WHERE g.k > 1 AND NOT coalesce(100 * m.f >= 80 * g.f, false)),
+cuts AS (
+    SELECT g.lang, g.phrase, g.f AS a, c.c AS c, x.f AS l, y.f AS r,
+           ((2000000 * g.f::HUGEINT) // (x.f + y.f))::BIGINT AS score
+    FROM kept g, range(1, 4) c(c)
+    JOIN grams x ON x.lang = g.lang AND c.c < g.k AND x.phrase = array_to_string(string_split(g.phrase, ' ')[1:c.c], ' ')
+    JOIN grams y ON y.lang = g.lang AND y.phrase = array_to_string(string_split(g.phrase, ' ')[c.c + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op12_collocations(spark, d):
+    return collocation.collocations(table(spark, d, "documents"))
+
+
+@query("op13_spelling")
+def op13_spelling(spark, d):
+    return spelling.spelling_variants(table(spark, d, "documents"))
