@@ -124,7 +124,7 @@ class Slices:
         planes = np.zeros((words.shape[1] + 2, len(self.alphabet) + 1, self.wide), bool)
         for p in range(words.shape[1]):
             planes[p, letter[:, p], np.arange(len(words))] = True
-        planes[:, np.searchsorted(self.alphabet, 0)] = False  # no letter beyond the end
+        planes[:, :len(self.alphabet)][:, self.alphabet == 0] = False  # no letter beyond the end
         self.bits = np.packbits(planes, axis=2, bitorder="little").view(np.uint64)
 
     def _set(self, chosen: np.ndarray) -> np.ndarray:

@@ -189,7 +189,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, frame: int = F
 
         def done(b: Bundle) -> pa.RecordBatch:
             body = b.body()
-            name = hashlib.md5(body).hexdigest()
+            name = f"b{hashlib.md5(body).hexdigest()}"  # never read as a number
             return pa.record_batch({"bundle": pa.array([name]), "value": pa.array([body], pa.binary())})
 
         for batch in batches:
@@ -209,8 +209,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, frame: int = F
 
 
 def _bundles(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, bundle string") \
-        .load(folder).select("bundle", "content")
+    found = spark.read.format("binaryFile").load(folder)
+    if "bundle" not in found.columns:  # no pages, no bundles
+        found = found.withColumn("bundle", F.lit(None).cast("string"))
+    return found.select("bundle", "content")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -186,7 +186,7 @@ def test_warc_empty(pages):
 def test_warc_bundles(spark, pages, tmp_path):
     """Small frames and bundles: any Zstandard reader reads them, the index finds each record, payloads come back whole."""
     folder = f"{tmp_path}/archive"
-    warc.write_archives(pages, folder, frame=1000, bundle=2000)
+    warc.write_archives(pages, folder, frame=500, bundle=300)
     files = list((tmp_path / "archive").glob("bundle=*/*.txt"))
     assert len(files) > 3
     index = warc.read_index(spark, folder).toPandas()
