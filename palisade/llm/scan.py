@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of texts looked at together; a longer text is alone.
-CHUNK = 1 << 23
+CHUNK = 3 << 20
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
