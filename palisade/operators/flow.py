@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from palisade.config import MINUTE, SECOND, FlowConfig
 from palisade.functions.core import array_median, blank, nz
 from palisade.functions.detection import detections
+from palisade.functions.quantiles import quantile
+from palisade.functions.skew import join_groups
 from palisade.functions.state import pin
 from palisade.operators.ordering import fire_with_reset, number_rows, rows_before
 
@@ -236,13 +238,18 @@ def flow_004(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> RuleOutput:
     quiet = base <= 0
     needed = F.when(quiet, floor * max(cfg.byte_ratio, 1.0)).otherwise(
         F.greatest(cfg.byte_ratio * base, floor))
-    fired = pin(
-        rows.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.median("rate").alias("signal"),
-             F.max("rate").alias("peak"))
+    # a median is at most the peak, so few buckets are left to take one of
+    likely = pin(
+        rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("rate").alias("peak"))
         .withColumn("prior", F.collect_list("peak").over(recent))
         .where((F.col("n") >= cfg.byte_min_flows) & (F.size("prior") >= cfg.byte_min_history))
         .withColumn("baseline", array_median(F.col("prior"))).drop("prior")
+        .where(F.col("peak") >= needed)
+    )
+    total = likely.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    middle = quantile(join_groups(rows, likely.select(*group, "n"), group, "n", total).select(*group, "rate"), group, "rate", 0.5)
+    fired = pin(
+        likely.join(middle.select(*group, F.col("quantile").alias("signal")), group)
         .where(signal >= needed)
         .withColumn("ratio", signal / F.when(quiet, floor).otherwise(base))
     )

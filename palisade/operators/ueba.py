@@ -3,14 +3,20 @@ attachment to incidents."""
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, fields, replace
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.config import HOUR, UEBA_FEATURES, UebaConfig
 from palisade.functions.core import blank, from_micros, nz
+from palisade.functions.quantiles import order_statistics, quantile
+from palisade.functions.state import pin
 from palisade.operators.endpoint import FAILED, SUCCEEDED
 
 
@@ -84,127 +90,169 @@ def train_split(events: DataFrame, cut_us: int, normal: Column) -> DataFrame:
     return events.where((F.col("ts_us") < cut_us) & normal)
 
 
-def _path_length(n):
-    """Mean unsuccessful search length of a binary tree over n rows."""
-    n = np.asarray(n, dtype=float)
-    h = np.log(np.maximum(n - 1, 1)) + np.euler_gamma
-    return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-
-
-def _grow(x: np.ndarray, rng, limit: int) -> list[tuple]:
-    """Nodes (feature, cut, left, right, path) of one random isolation tree."""
-    nodes: list = []
-    todo = [(np.arange(len(x)), 0, None)]
-    while todo:
-        rows, depth, parent = todo.pop()
-        at = len(nodes)
-        if parent is not None:
-            nodes[parent[0]][parent[1]] = at
-        lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
-        varying = np.flatnonzero(hi > lo)
-        if depth >= limit or len(rows) <= 1 or len(varying) == 0:
-            nodes.append([-1, 0.0, -1, -1, float(depth + _path_length(len(rows)))])
-            continue
-        f = int(rng.choice(varying))
-        cut = float(rng.uniform(lo[f], hi[f]))
-        nodes.append([f, cut, -1, -1, 0.0])
-        side = x[rows, f] <= cut
-        todo.append((rows[side], depth + 1, (at, 2)))
-        todo.append((rows[~side], depth + 1, (at, 3)))
-    return [tuple(n) for n in nodes]
-
-
-def _tree_builder(seed: int, limit: int):
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        tree = int(g["tree"].iloc[0])
-        g = g.sort_values(["entity_key", "window_us"])
-        nodes = _grow(g[list(UEBA_FEATURES)].to_numpy(float), np.random.default_rng([seed, tree]), limit)
-        out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])
-        out.insert(0, "node", range(len(out)))
-        out.insert(0, "tree", tree)
-        return out
-
-    return build
-
-
-FOREST_DDL = ("tree int, node int, feature int, cut double, left int, right int, path double")
+#: Path lengths are whole numbers of this part of a step, so that their sums are exact in any order.
+PATH_UNIT = 1 << 20
+_EULER = 0.5772156649015329
+#: A prime below 2**31: draws are products of two numbers below it.
+_PRIME = 2_147_483_647
 
+FOREST_DDL = "tree int, node bigint, feature int, cut double, n bigint, path bigint"
 
-def fit_forest(obs: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
-    """Forest as a table of nodes. Every tree draws its own hashed sample.
 
-    Scaling the features would only move cut points, not the splits, so raw
-    features are used.
+class Model(NamedTuple):
+    forest: pd.DataFrame  # one row a node
+    bounds: dict  # least and greatest raw score of the training rows, the flagging quantile
+    config: UebaConfig
+
+
+def _hex(text: Column, start: int, digits: int) -> Column:
+    return F.conv(F.substring(text, start, digits), 16, 10).cast("bigint")
+
+
+def _path(depth: int, n: Column) -> Column:
+    """`depth` and the mean unsuccessful search of a binary tree over n rows, in units."""
+    search = F.when(n > 2, 2 * (F.ln(n - 1) + _EULER) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
+    return F.round((search + depth) * PATH_UNIT).cast("bigint")
+
+
+def _mean_search(n: int) -> float:
+    return 2 * (float(np.log(n - 1)) + _EULER) - 2 * (n - 1) / n if n > 2 else 1.0
+
+
+def tree_samples(obs: DataFrame, cfg: UebaConfig) -> DataFrame:
+    """(tree, x, ...): for each tree the `tree_rows` observations with the least draws.
+
+    An observation is hashed once; its draw in each tree is a linear function of two hashes modulo a
+    prime. Draws far beyond the sample are left out before rows are multiplied, so a tree ranks about
+    four times its sample, whatever the input; small inputs are not thinned.
     """
     total = obs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    key = F.struct("entity_key", "window_us")
-    # Rows are thinned by hash before they are ranked; 4x head-room keeps the
-    # chance of a short sample negligible, and small inputs are not thinned.
-    draw = F.pmod(F.xxhash64(key, F.col("tree"), F.lit(cfg.seed)), F.lit(1 << 30)) / float(1 << 30)
-    picked = (
-        obs.select("entity_key", "window_us", *UEBA_FEATURES)
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))))
-        .withColumn("_d", draw).where(F.col("_d") * total <= 4 * cfg.tree_rows)
-    )
-    w = W.partitionBy("tree").orderBy("_d", "entity_key", "window_us")
-    sample = picked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cfg.tree_rows)
+    h = F.md5(F.concat_ws("|", "entity_key", F.col("window_us").cast("string"), F.lit(str(cfg.seed))))
+    rows = obs.select("entity_key", "window_us", F.array(*[F.col(c).cast("double") for c in UEBA_FEATURES]).alias("x"),
+                      (_hex(h, 1, 8) % _PRIME).alias("_a"), (_hex(h, 9, 8) % _PRIME).alias("_b"), total.alias("_n"))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: ((F.col("_a") * (t + 1) + F.col("_b")) % _PRIME)
+                     / float(_PRIME) * F.col("_n") <= 4.0 * cfg.tree_rows)
+    drawn = rows.withColumn("tree", F.explode(trees)).withColumn(
+        "_draw", (F.col("_a") * (F.col("tree") + 1) + F.col("_b")) % _PRIME)
+    w = W.partitionBy("tree").orderBy("_draw", "entity_key", "window_us")
+    return drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cfg.tree_rows).select("tree", "x")
+
+
+def fit_forest(obs: DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
+    """Forest as a table of nodes (tree, node, feature, cut, n, path), grown level by level.
+
+    Node 1 is the root, 2k and 2k + 1 are the children of k. At each level every node's rows give
+    the range of each feature; a hash of (seed, tree, node) picks one of those that vary and a cut in
+    its range. A node of one row, of equal rows or at the last level is a leaf: feature -1 and the
+    path length of what ends there. A tree has at most tree_rows rows and is grown in one task.
+
+    Scaling the features would only move cut points, not the splits, so raw features are used.
+    """
     limit = int(np.ceil(np.log2(cfg.tree_rows)))
-    return sample.drop("_r", "_d").groupBy("tree").applyInPandas(
-        _tree_builder(cfg.seed, limit), FOREST_DDL)
-
-
-def raw_scores(obs: DataFrame, forest: pd.DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
-    """Add `raw`: 1 is isolated at once, 0.5 is average. The forest is at most
-    trees x 511 nodes, a size fixed by the configuration."""
-    trees = []
-    for _, t in forest.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append(tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path")))
-    rows_per_tree = cfg.tree_rows
-    shared = obs.sparkSession.sparkContext.broadcast(trees)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(f: pd.DataFrame) -> pd.Series:
-        x = f.to_numpy(float)
-        depth = np.zeros(len(x))
-        for feature, cut, left, right, path in shared.value:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                inner = np.flatnonzero(feature[at] >= 0)
-                if len(inner) == 0:
-                    break
-                node = at[inner]
-                down = x[inner, feature[node]] <= cut[node]
-                at[inner] = np.where(down, left[node], right[node])
-            depth += path[at]
-        mean = depth / len(shared.value)
-        return pd.Series(2.0 ** (-mean / float(_path_length(rows_per_tree))))
-
-    return obs.withColumn("raw", score(F.struct(*UEBA_FEATURES)))
-
-
-def fit(obs: DataFrame, cfg: UebaConfig = UebaConfig()):
-    """(forest nodes, train bounds). The bounds are one row: least and greatest raw
-    score and the exact upper quantile that flags."""
+    k = range(len(UEBA_FEATURES))
+    rows = tree_samples(obs, cfg).repartition("tree").select(
+        "tree", "x", F.lit(1).cast("bigint").alias("node"), F.lit(False).alias("done"),
+        F.array().cast("array<struct<node:bigint,feature:int,cut:double,n:bigint,path:bigint>>").alias("way"))
+    for depth in range(limit + 1):
+        w = W.partitionBy("tree", "node")
+        rows = rows.select(
+            "*", F.count(F.lit(1)).over(w).alias("n"), F.array(*[F.min(F.col("x")[j]).over(w) for j in k]).alias("lo"),
+            F.array(*[F.max(F.col("x")[j]).over(w) for j in k]).alias("hi"))
+        varying = F.filter(F.sequence(F.lit(0), F.lit(len(k) - 1)), lambda j: F.get("hi", j) > F.get("lo", j))
+        h = F.md5(F.concat_ws("|", F.lit(str(cfg.seed)), F.col("tree").cast("string"), F.col("node").cast("string")))
+        rows = rows.withColumns({"vary": varying, "h": h})
+        leaf = (F.size("vary") == 0) if depth < limit else F.lit(True)
+        rows = rows.withColumn("f", F.when(leaf, -1).otherwise(
+            F.get("vary", (_hex(F.col("h"), 1, 8) % F.greatest(F.size("vary"), F.lit(1))).cast("int"))))
+        low, high = F.get("lo", F.col("f")), F.get("hi", F.col("f"))
+        share = _hex(F.col("h"), 9, 13) / float(1 << 52)
+        rows = rows.withColumn("cut", F.when(F.col("f") >= 0, low + share * (high - low)).otherwise(0.0))
+        step = F.struct("node", F.col("f").alias("feature"), "cut", "n", F.when(F.col("f") < 0, _path(depth, F.col("n"))).otherwise(
+            F.lit(0)).alias("path"))
+        right = (F.get("x", F.col("f")) > F.col("cut")).cast("bigint")
+        rows = rows.select(
+            "tree", "x", F.when(F.col("done") | (F.col("f") < 0), F.col("node")).otherwise(F.col("node") * 2 + right).alias("node"),
+            (F.col("done") | (F.col("f") < 0)).alias("done"),
+            F.when(F.col("done"), F.col("way")).otherwise(F.concat("way", F.array(step))).alias("way"))
+    return rows.select("tree", F.explode("way").alias("s")).select("tree", "s.*").distinct()
+
+
+def depths(obs: DataFrame, forest: pd.DataFrame, cfg: UebaConfig = UebaConfig()) -> DataFrame:
+    """Add `depth`, the sum of a row's path lengths over all trees, in units: least is most isolated.
+
+    The forest has at most trees x 2 ** (levels + 1) nodes, a size fixed by the configuration.
+    """
+    size = 2 << int(np.ceil(np.log2(cfg.tree_rows)))
+    feature = np.full((cfg.trees, size), -1, np.int64)
+    cut, path = np.zeros((cfg.trees, size)), np.zeros((cfg.trees, size), np.int64)
+    at = forest["tree"].to_numpy(), forest["node"].to_numpy()
+    feature[at], cut[at], path[at] = forest["feature"], forest["cut"], forest["path"]
+    shared = obs.sparkSession.sparkContext.broadcast((feature, cut, path))
+
+    @F.pandas_udf(T.LongType())
+    def total(f: pd.DataFrame) -> pd.Series:
+        x, out = f.to_numpy(float), np.zeros(len(f), np.int64)
+        for feature, cut, path in zip(*shared.value, strict=True):
+            node = np.ones(len(x), int)
+            while len(inner := np.flatnonzero(feature[node] >= 0)):
+                own = node[inner]
+                node[inner] = 2 * own + (x[inner, feature[own]] > cut[own])
+            out += path[node]
+        return pd.Series(out)
+
+    return obs.withColumn("depth", total(F.struct(*[F.col(c).cast("double") for c in UEBA_FEATURES])))
+
+
+def _raw(depth: Column, cfg: UebaConfig) -> Column:
+    """1 is isolated at once, 0.5 is average."""
+    return F.pow(F.lit(2.0), -(depth / float(cfg.trees * PATH_UNIT)) / _mean_search(cfg.tree_rows))
+
+
+def fit(obs: DataFrame, cfg: UebaConfig = UebaConfig()) -> Model:
+    """Forest and train bounds: least and greatest raw score, and the exact upper quantile that flags."""
     n = obs.count()
-    use = UebaConfig(**{**cfg.__dict__, "tree_rows": max(2, min(cfg.tree_rows, n))})
+    use = replace(cfg, tree_rows=max(2, min(cfg.tree_rows, n)))
     forest = fit_forest(obs, use).toPandas()
-    bounds = raw_scores(obs, forest, use).agg(
-        F.min("raw").alias("lo"), F.max("raw").alias("hi"),
-        F.percentile("raw", 1.0 - cfg.contamination).alias("threshold")).first()
-    return forest, bounds, use
-
-
-def score(obs: DataFrame, model, cfg: UebaConfig = UebaConfig()) -> DataFrame:
+    # the order of raw scores is that of whole numbers, so the quantile is exact
+    deep = pin(depths(obs, forest, use).select((-F.col("depth")).alias("height")))
+    ends = deep.agg(F.min("height").alias("lo"), F.max("height").alias("hi")).first()
+    found = quantile(deep, [], "height", 1.0 - cfg.contamination).first()
+    deep.unpersist()
+    if found is None:
+        return Model(forest, {"lo": 0.0, "hi": 1.0, "threshold": 0.5, "least_depth": -1}, use)
+    raw = lambda height: 2.0 ** (height / (use.trees * PATH_UNIT) / _mean_search(use.tree_rows))
+    lower, upper, part = raw(found["lower"]), raw(found["upper"] if found["upper"] is not None else found["lower"]), found["fraction"]
+    return Model(forest, {
+        "lo": raw(ends["lo"]), "hi": raw(ends["hi"]), "threshold": lower + part * (upper - lower) if part > 0 else lower,
+        "least_depth": -int(found["upper"] if part > 0 else found["lower"])}, use)
+
+
+def save_model(spark: SparkSession, model: Model, folder: str) -> None:
+    """The forest, its bounds and configuration as two Parquet tables."""
+    spark.createDataFrame(model.forest, FOREST_DDL).write.parquet(f"{folder}/forest")
+    facts = {**model.bounds, **asdict(model.config)}
+    spark.createDataFrame([(k, json.dumps(v)) for k, v in facts.items()], "name string, value string").coalesce(1).write.parquet(
+        f"{folder}/facts")
+
+
+def load_model(spark: SparkSession, folder: str) -> Model:
+    facts = {r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{folder}/facts").collect()}
+    config = UebaConfig(**{f.name: facts[f.name] for f in fields(UebaConfig)})
+    bounds = {k: facts[k] for k in ("lo", "hi", "threshold", "least_depth")}
+    return Model(spark.read.parquet(f"{folder}/forest").toPandas(), bounds, config)
+
+
+def score(obs: DataFrame, model: Model, cfg: UebaConfig = UebaConfig()) -> DataFrame:
     """Anomaly score in [0, 1] by training bounds, flag, history and context."""
-    forest, bounds, use = model
+    bounds, use = model.bounds, model.config
     span = max(bounds["hi"] - bounds["lo"], 1e-9)
-    scaled = F.greatest(F.least((F.col("raw") - bounds["lo"]) / span, F.lit(1.0)), F.lit(0.0))
+    scaled = F.greatest(F.least((_raw(F.col("depth"), use) - bounds["lo"]) / span, F.lit(1.0)), F.lit(0.0))
     context = F.map_filter(
         F.create_map(*[x for c in UEBA_FEATURES for x in (F.lit(c), F.col(c))]), lambda k, v: v != 0)
-    return raw_scores(obs, forest, use).join(
+    return depths(obs, model.forest, use).join(
         baseline(obs, cfg), ["entity_key", "window_us"]).select(
         "entity_key", "window_us", "window_start", F.round(scaled, 4).alias("anomaly_score"),
-        (F.col("raw") >= bounds["threshold"]).alias("anomaly_flag"),
+        (F.col("depth") <= bounds["least_depth"]).alias("anomaly_flag"),
         F.lit(cfg.model_version).alias("model_version"),
         F.lit(cfg.feature_version).alias("feature_version"), "baseline_status", "history_windows",
         context.alias("feature_context"), F.col("event_count").cast("bigint").alias("event_count"))
@@ -263,12 +311,19 @@ def attach(incidents: DataFrame, scored: DataFrame | None, members: DataFrame |
 def scenario_report(
     scored: DataFrame, members: DataFrame, events: DataFrame, scenario: Column
 ) -> DataFrame:
-    """Mean score, windows and flags per dominant scenario of the window."""
+    """Mean score, windows and flags per dominant scenario of the window, and of all windows (scenario NULL)
+    with rate, extremes and the upper median."""
     kinds = members.join(
         events.select("event_id", scenario.alias("scenario")), "event_id")
     n = kinds.groupBy("entity_key", "window_us", "scenario").agg(F.count(F.lit(1)).alias("n"))
     top = n.groupBy("entity_key", "window_us").agg(
         F.max_by("scenario", F.struct("n", "scenario")).alias("scenario"))
-    return scored.join(top, ["entity_key", "window_us"]).groupBy("scenario").agg(
-        F.avg("anomaly_score").alias("mean_score"), F.count(F.lit(1)).alias("windows"),
-        F.count_if("anomaly_flag").alias("flagged"))
+    facts = [F.avg("anomaly_score").alias("mean_score"), F.count(F.lit(1)).alias("windows"),
+             F.count_if("anomaly_flag").alias("flagged"), F.min("anomaly_score").alias("min_score"),
+             F.max("anomaly_score").alias("max_score")]
+    per = scored.join(top, ["entity_key", "window_us"]).groupBy("scenario").agg(*facts).withColumn(
+        "median_score", F.lit(None).cast("double"))
+    middle = order_statistics(scored, [], "anomaly_score", F.floor(F.col("n") / 2)).select("lower")
+    whole = scored.agg(*facts).where("windows > 0").select(
+        F.lit(None).cast("string").alias("scenario"), "*", middle.scalar().alias("median_score"))
+    return per.unionByName(whole).withColumn("flag_rate", F.col("flagged") / F.col("windows"))

@@ -514,3 +514,52 @@ def risk_body(p: str) -> str:
       || CASE WHEN p_seq > 0 THEN ', recognized multi-stage sequence' ELSE '' END
       || coalesce(', ATT&CK hypotheses ' || array_to_string(tids, ', '), '')
       || '. Score prioritizes investigation; it is not a probability of compromise.' AS risk_explanation FROM {p}risk""")
+
+
+# --- behaviour: the forest and its scores
+
+def forest(features: str, cfg, training: str) -> None:
+    """Fragments that grow the isolation forest on `training` rows and score all observations."""
+    names = [f.rsplit(" AS ", 1)[1] for f in features.split(", round(")]
+    levels = (cfg.tree_rows - 1).bit_length()
+    CTE["tobs"] = CTE["uobs"].replace("FROM tel)", f"FROM tel WHERE {training})")
+    hash_of = lambda text, start, digits: f"('0x' || substr(md5({text}), {start}, {digits}))::BIGINT"
+    key = f"entity_key || '|' || window_us || '|{cfg.seed}'"
+    x = ", ".join(names)
+    CTE["usample"] = f"""SELECT tree, x FROM (SELECT t.tree::INT AS tree, [{x}] AS x, row_number() OVER (PARTITION BY t.tree
+      ORDER BY ({hash_of(key, 1, 8)} % 2147483647 * (t.tree + 1) + {hash_of(key, 9, 8)} % 2147483647) % 2147483647, entity_key, window_us) AS r
+      FROM tobs, range({cfg.trees}) t(tree)) WHERE r <= {cfg.tree_rows}"""
+    search = "CASE WHEN {0} > 2 THEN 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / {0} WHEN {0} = 2 THEN 1.0 ELSE 0.0 END"
+    CTE["ulevels"] = f"""SELECT ceil(log2(r))::INT AS levels, {search.format('r')} AS search
+      FROM (SELECT least({cfg.tree_rows}, greatest(2, count(*))) AS r FROM tobs)"""
+    CTE["ugrow0"] = "SELECT tree, 1::BIGINT AS node, x FROM usample"
+    over = "OVER (PARTITION BY tree, node)"
+    low, high = (", ".join(f"{f}(x[{j}]) {over}" for j in range(1, len(names) + 1)) for f in ("min", "max"))
+    seed = f"'{cfg.seed}|' || tree || '|' || node"
+    for d in range(levels + 1):
+        CTE[f"ucut{d}"] = f"""SELECT tree, node, x, n, f, CASE WHEN f >= 0 THEN lo[f + 1] + {hash_of(seed, 9, 13)} / 4503599627370496.0::DOUBLE * (hi[f + 1] - lo[f + 1]) ELSE 0.0 END AS cut
+          FROM (SELECT *, CASE WHEN len(vary) = 0 OR {d} >= levels THEN -1 ELSE vary[{hash_of(seed, 1, 8)} % greatest(len(vary), 1) + 1] END::INT AS f
+            FROM (SELECT *, list_filter(range({len(names)}), lambda j: hi[j + 1] > lo[j + 1]) AS vary
+              FROM (SELECT *, count(*) {over} AS n, [{low}] AS lo, [{high}] AS hi FROM ugrow{d})), ulevels)"""
+        CTE[f"ugrow{d + 1}"] = f"SELECT tree, node * 2 + (x[f + 1] > cut)::BIGINT AS node, x FROM ucut{d} WHERE f >= 0"
+    CTE["unodes"] = " UNION ALL ".join(
+        f"SELECT DISTINCT tree, node, f AS feature, cut, n, CASE WHEN f < 0 THEN round(({search.format('n')} + {d}) * 1048576)::BIGINT ELSE 0 END AS path FROM ucut{d}"
+        for d in range(levels + 1))
+    for name, obs in (("t", "tobs"), ("u", "uobs")):
+        CTE[f"{name}walk0"] = f"""SELECT entity_key, window_us, [{x}] AS x, t.tree::INT AS tree, 1::BIGINT AS node, NULL::BIGINT AS path
+          FROM {obs}, range({cfg.trees}) t(tree)"""
+        for d in range(levels + 1):
+            CTE[f"{name}walk{d + 1}"] = f"""SELECT w.entity_key, w.window_us, w.x, w.tree,
+              CASE WHEN k.feature < 0 THEN k.node ELSE k.node * 2 + (w.x[k.feature + 1] > k.cut)::BIGINT END AS node,
+              CASE WHEN k.feature < 0 THEN k.path END AS path FROM {name}walk{d} w JOIN unodes k ON k.tree = w.tree AND k.node = w.node"""
+        CTE[f"{name}deep"] = f"SELECT entity_key, window_us, sum(path)::BIGINT AS depth FROM {name}walk{levels + 1} GROUP BY ALL"
+    raw = lambda depth: f"power(2.0::DOUBLE, -({depth} / {float(cfg.trees * 1048576)}::DOUBLE) / search)"
+    CTE["uflag"] = f"SELECT list_sort(list(-depth)) AS h, ceil((count(*) - 1) * {1.0 - cfg.contamination}::DOUBLE)::BIGINT + 1 AS place FROM tdeep"
+    CTE["ubounds"] = f"SELECT -h[place] AS least_depth, {raw('(-h[1])')} AS lo, {raw('(-h[len(h)])')} AS hi FROM uflag, ulevels"
+    CTE["ubase"] = """SELECT entity_key, window_us, hw AS history_windows,
+       CASE WHEN hw = 0 AND he = 0 THEN 'COLD_START' WHEN hw < 5 OR he < 10 THEN 'INSUFFICIENT_HISTORY' ELSE 'READY' END AS baseline_status, event_count FROM
+       (SELECT entity_key, window_us, event_count, count(*) OVER v AS hw, coalesce(sum(event_count) OVER v, 0)::BIGINT AS he FROM uobs
+        WINDOW v AS (PARTITION BY entity_key ORDER BY window_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    CTE["uscored"] = f"""SELECT entity_key, window_us, round(greatest(least(({raw('depth')} - lo) / greatest(hi - lo, 1e-9), 1.0), 0.0), 4) AS anomaly_score,
+      depth <= least_depth AS anomaly_flag, '{cfg.model_version}' AS model_version, '{cfg.feature_version}' AS feature_version,
+      baseline_status, history_windows, event_count::BIGINT AS event_count FROM udeep JOIN ubase USING (entity_key, window_us), ubounds, ulevels"""

@@ -529,21 +529,68 @@ query("train_eval_split", osql("SELECT event_id FROM tel WHERE ts_us < 178841520
     lambda s, d: ueba.train_split(events(s, d), 1_788_415_200_000_000, _scenario() == "normal").select("event_id"))
 
 
+TRAIN_END_US = 1_788_415_200_000_000
+
+
 @once
-def scored(s, d):
-    train = ueba.train_split(events(s, d), 1_788_415_200_000_000, _scenario() == "normal")
-    model = ueba.fit(pin(ueba.features(train, UEBA)), UEBA)
-    return checkpointed(ueba.score(observations(s, d), model, UEBA))
+def behaviour_model(s, d) -> ueba.Model:
+    train = ueba.train_split(events(s, d), TRAIN_END_US, _scenario() == "normal")
+    return ueba.fit(pin(ueba.features(train, UEBA)), UEBA)
 
 
-query("ueba_fit")(lambda s, d: ueba.fit_forest(observations(s, d), UEBA))
-query("ueba_score")(lambda s, d: scored(s, d).drop("feature_context", "window_start"))
-query("ueba_eval")(lambda s, d: ueba.scenario_report(scored(s, d).where("window_us >= 1788415200000000"), ueba.observation_members(events(s, d), UEBA), bridge.telemetry(s, d), _scenario()))
-query("ueba_attach")(on_incidents(lambda s, d, o: ueba.attach(
+@once
+def scored(s, d):
+    return checkpointed(ueba.score(observations(s, d), behaviour_model(s, d), UEBA))
+
+
+oracle.forest(_UE, UEBA, f"ts_us < {TRAIN_END_US} AND scenario_type = 'normal'")
+query("ueba_fit", osql("SELECT tree, node, feature, round(cut, 9) AS cut, n, path FROM unodes"))(
+    lambda s, d: s.createDataFrame(behaviour_model(s, d).forest, ueba.FOREST_DDL).withColumn("cut", F.round("cut", 9)))
+query("ueba_score", osql("SELECT * FROM uscored"))(
+    lambda s, d: scored(s, d).drop("feature_context", "window_start"))
+
+
+def _scenario_rows(s, d):
+    late = scored(s, d).where(F.col("window_us") >= TRAIN_END_US)
+    rows = ueba.scenario_report(late, ueba.observation_members(events(s, d), UEBA), bridge.telemetry(s, d), _scenario())
+    return rows.withColumns({c: F.round(c, 6) for c in ("mean_score", "flag_rate")})
+
+
+query("ueba_eval", osql(f"""
+SELECT scenario, round(avg(anomaly_score), 6) AS mean_score, count(*) AS windows, count(*) FILTER (anomaly_flag) AS flagged,
+  min(anomaly_score) AS min_score, max(anomaly_score) AS max_score,
+  CASE WHEN scenario IS NULL THEN list_sort(list(anomaly_score))[count(*) // 2 + 1] END AS median_score,
+  round(count(*) FILTER (anomaly_flag) / count(*), 6) AS flag_rate
+FROM (SELECT anomaly_score, anomaly_flag, NULL AS scenario FROM uscored WHERE window_us >= {TRAIN_END_US}
+  UNION ALL SELECT s.anomaly_score, s.anomaly_flag, k.scenario_type FROM uscored s JOIN (
+    SELECT usr, w, scenario_type FROM (SELECT usr, ts_us // 3600000000 * 3600000000 AS w, scenario_type, count(*) AS c FROM tel GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY usr, w ORDER BY c DESC, scenario_type DESC) = 1) k
+  ON k.usr = s.entity_key AND k.w = s.window_us WHERE s.window_us >= {TRAIN_END_US})
+GROUP BY scenario"""))(_scenario_rows)
+# incidents with their behaviour: windows of the incident's user by its last event that hold some of its evidence
+oracle.CTE["umet"] = """SELECT i.iid, u.* FROM (SELECT DISTINCT c.iid, c.usr, c.last_us, t.ts_us // 3600000000 * 3600000000 AS w
+    FROM (SELECT iid, usr, last_us, unnest(ev) AS event_id FROM c_inc) c JOIN tel t ON t.event_id = c.event_id AND t.usr = c.usr) i
+  JOIN uscored u ON u.entity_key = i.usr AND u.window_us = i.w WHERE i.w <= i.last_us"""
+oracle.CTE["uatt"] = """SELECT c.iid, c.severity, c.usr, c.n, m.score, m.flag, m.windows, m.flagged, m.peak
+  FROM c_inc c LEFT JOIN (SELECT iid, max(anomaly_score) AS score, bool_or(anomaly_flag) AS flag, count(*) AS windows,
+    count(*) FILTER (anomaly_flag) AS flagged, min(window_us) FILTER (anomaly_score = best) AS peak
+    FROM (SELECT *, max(anomaly_score) OVER (PARTITION BY iid) AS best FROM umet) GROUP BY iid) m USING (iid)"""
+query("ueba_attach", osql("""SELECT iid AS incident_id, score IS NOT NULL AS available, score AS anomaly_score, flag AS anomaly_flag,
+  CASE WHEN score IS NOT NULL THEN 'UEBA behavioral anomaly evidence for user ''' || usr || ''': ' || windows ||
+    ' overlapping hourly observation(s), ' || flagged || ' flagged anomalous, peak score ' || format('{:.2f}', score) || ' at ' ||
+    strftime(make_timestamp(peak), '%Y-%m-%dT%H:%M:%S') || '. Behavior is ' ||
+    CASE WHEN flag THEN 'behaviorally anomalous' ELSE 'not anomalous' END ||
+    ' relative to the learned baseline; this is analyst context, not proof of compromise.'
+  WHEN coalesce(usr, '') = '' THEN 'UEBA unavailable: incident has no single attributed user, so no behavioral baseline applies. Deterministic risk is unaffected.'
+  ELSE 'UEBA found no behavioral observations overlapping this incident''s evidence within its time window. Deterministic risk is unaffected.' END AS reason
+  FROM uatt"""))(on_incidents(lambda s, d, o: ueba.attach(
     o.incidents, scored(s, d), ueba.observation_members(events(s, d), UEBA)).select(
     "incident_id", "ueba.available", "ueba.anomaly_score", "ueba.anomaly_flag", "ueba.reason")))
-query("anomaly_list")(on_incidents(lambda s, d, o: ru.anomaly_list(ueba.attach(
-    o.incidents, scored(s, d), ueba.observation_members(events(s, d), UEBA)))))
+query("anomaly_list", osql("""SELECT m.entity_key, m.anomaly_score, m.anomaly_flag, m.baseline_status, m.window_us AS observed_us, m.iid AS incident_id,
+  a.severity, r.band AS risk_band, a.n::INT AS detection_count FROM umet m JOIN uatt a USING (iid) JOIN c_risk r USING (iid)"""))(
+    on_incidents(lambda s, d, o: ru.anomaly_list(ueba.attach(
+        o.incidents, scored(s, d), ueba.observation_members(events(s, d), UEBA))).withColumn(
+        "observed_us", micros("observation_time")).drop("observation_time")))
 
 # --- text
 # Most documents and turns with a remark of their own, so that both outcomes occur.

@@ -6,7 +6,7 @@ from compare import compare
 from palisade.plans.queries import ORACLES, QUERIES
 
 # Slow ones are covered by their own tests or by tests/compare.py on demand.
-SKIP = {"chunked_detect", "ueba_fit"}
+SKIP = {"chunked_detect"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SKIP])
