@@ -31,15 +31,31 @@ def alphabet() -> np.ndarray:
     return out
 
 
+def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random +-1 vectors of the letters, permuted by each place of a trigram."""
+    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, WIDTH))
+    return np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
+
+
 @lru_cache(maxsize=1)
 def ngram_vectors() -> np.ndarray:
-    """A row a trigram: the product of its letters' random +-1 vectors, each permuted by its place."""
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, WIDTH))
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    bound = first[:, None, None, :] * second[None, :, None, :] * letters[None, None, :, :]
+    """A row a trigram: the product of its letters' vectors. For tasks; the driver binds a few at a time."""
+    first, second, third = letter_vectors()
+    bound = first[:, None, None, :] * second[None, :, None, :] * third[None, None, :, :]
     return bound.reshape(SYMBOLS ** ORDER, WIDTH)
 
 
+def bundle(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of trigram vectors, in bounded memory."""
+    first, second, third = letter_vectors()
+    out = np.zeros(WIDTH)
+    for at in range(0, len(grams), 2048):
+        g = grams[at:at + 2048]
+        bound = first[g // SYMBOLS ** 2] * second[g // SYMBOLS % SYMBOLS] * third[g % SYMBOLS]
+        out += weights[at:at + 2048] @ bound.astype(np.float64)
+    return out
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Trigrams of the whole text and their counts; runs of other signs are one blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
@@ -78,7 +94,7 @@ def fit_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> tup
     vectors = np.zeros((len(names), WIDTH))
     for k, name in enumerate(names):
         own = sums[sums["lang"] == name]
-        vectors[k] = own["weight"].to_numpy(float) @ ngram_vectors()[own["gram"].to_numpy()].astype(np.float32)
+        vectors[k] = bundle(own["gram"].to_numpy(np.int64), own["weight"].to_numpy(float))
         vectors[k] /= np.linalg.norm(vectors[k]) or 1.0
     return names, vectors.astype(np.float32)
 

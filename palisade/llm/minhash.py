@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import join_groups, keep
+from palisade.llm.common import join_groups, keep, row_key
 from palisade.llm.hashing import U, chunks, mix, shingles
 from palisade.operators.components import connected_components
 
@@ -20,8 +20,12 @@ from palisade.operators.components import connected_components
 COORDINATES, BAND = 160, 5
 #: Rank height of the lowest cells; each further cell doubles what lies below it.
 LOWEST = 2.0 ** -7
-#: Members of a bucket that one unit of comparison holds.
-BLOCK = 512
+#: Members of a bucket that one unit of comparison holds, of sets of up to ELEMENTS shingles; of larger ones fewer.
+BLOCK, ELEMENTS = 512, 4096
+#: Columns of a member of a unit.
+UNIT_SCHEMA = ("bucket long, vb int, qb int, kind int, band int, doc binary, class binary, largest binary, mark binary, "
+               "earlier array<bigint>")
+UNIT = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
 
 
 @lru_cache(maxsize=64)
@@ -106,12 +110,12 @@ def _weights(counts: np.ndarray, counted: bool) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, width: int, counted: bool) -> DataFrame:
-    """(doc_id, set_key, bands, mark): a digest of the shingle set, the band keys, a byte of each coordinate;
-    null where there are no words."""
+    """(row, doc_id, set_key, bulk, bands, mark): a digest of the shingle set and its size, the band keys, a byte of
+    each coordinate; null where there are no words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.lower() if t else "" for t in batch["text"]]
-            digests, bands, marks = [], [], []
+            digests, bulk, bands, marks = [], [], [], []
             for part in chunks(texts):
                 own = texts[part]
                 text, element, count = shingles(own, width)
@@ -123,16 +127,20 @@ def _sign(docs: DataFrame, width: int, counted: bool) -> DataFrame:
                     a, b = ends[k], ends[k + 1]
                     digests.append(xxhash.xxh3_128_digest(
                         element[a:b].tobytes() + w[a:b].tobytes()) if b > a else None)
+                    bulk.append(b - a)
                     bands.append(keys[k] if b > a else None)
                     marks.append(short[k].tobytes() if b > a else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "set_key": digests, "bands": bands, "mark": marks})
+            yield pd.DataFrame({"row": batch["row"].to_numpy(), "name": batch["name"].to_numpy(), "set_key": digests, "bulk": bulk,
+                                "bands": bands, "mark": marks})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, set_key binary, bands array<bigint>, mark binary")
+    # as text, since pandas would round large ids beside nulls
+    signed = docs.select("row", F.col("doc_id").cast("string").alias("name"), "text").mapInPandas(
+        run, "row binary, name string, set_key binary, bulk long, bands array<bigint>, mark binary")
+    return signed.withColumn("doc_id", F.col("name").cast(docs.schema["doc_id"].dataType)).drop("name")
 
 
 def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
-    """(doc_id, elements, weights): the ordered 32-bit shingle hashes as bytes, and weights where they are counts.
+    """(doc, elements, weights) of (doc, text): the ordered 32-bit shingle hashes as bytes, and weights where they are counts.
 
     Half the bytes of 64-bit ones to shuffle; two of n shingles share one with a chance of n * n / 2**33.
     """
@@ -150,11 +158,10 @@ def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
                     tf = np.add.reduceat(count[a:b], first).astype(np.uint32).tobytes() if counted and b > a else None
                     rows.append((own[first].tobytes(), tf))
             made = pd.DataFrame(rows, columns=["elements", "weights"])
-            made.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            made.insert(0, "doc", batch["doc"].to_numpy())
             yield made
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, elements binary, weights binary")
+    return docs.select("doc", "text").mapInPandas(run, "doc binary, elements binary, weights binary")
 
 
 def _similarity(xe: bytes, ye: bytes, xw: bytes | None, yw: bytes | None) -> float:
@@ -170,8 +177,8 @@ def _similarity(xe: bytes, ye: bytes, xw: bytes | None, yw: bytes | None) -> flo
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (doc, center) whose exact similarity is `least` or more."""
-    own = sets.select(F.col("doc_id").alias("doc"), F.col("elements").alias("xe"), F.col("weights").alias("xw"))
-    other = sets.select(F.col("doc_id").alias("center"), F.col("elements").alias("ye"), F.col("weights").alias("yw"))
+    own = sets.select("doc", F.col("elements").alias("xe"), F.col("weights").alias("xw"))
+    other = sets.select(F.col("doc").alias("center"), F.col("elements").alias("ye"), F.col("weights").alias("yw"))
     both = pairs.join(own, "doc").join(other, "center")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,20 +186,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = [_similarity(*v) >= least for v in zip(b["xe"], b["ye"], b["xw"], b["yw"], strict=True)]
             yield b.loc[ok, ["doc", "center"]]
 
-    kind = pairs.schema["doc"].dataType.simpleString()
-    return both.select("doc", "center", "xe", "ye", "xw", "yw").mapInPandas(run, f"doc {kind}, center {kind}")
+    return both.select("doc", "center", "xe", "ye", "xw", "yw").mapInPandas(run, "doc binary, center binary")
 
 
 class Linker:
-    """Classes of documents that grow as pairs from shared buckets are compared exactly."""
+    """Classes of shingle sets that grow as members of shared buckets are compared exactly.
+
+    A set is named by its digest (`doc`), so ids of documents play no part.
+    """
 
     def __init__(self, documents: DataFrame, marks: DataFrame, sets: DataFrame, least: float):
         self.documents, self.marks, self.sets, self.least = documents, marks, sets, least
         self.classes = documents.select("doc", F.col("doc").alias("class"))
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Link the (doc, center) pairs that are similar enough and merge their classes."""
-        found = keep(_verify(pairs, self.sets, self.least))
+    def link(self, found: DataFrame) -> None:
+        """Merge the classes of (doc, center) pairs that are similar enough."""
+        found = keep(found)
         if found.isEmpty():
             return
         # a star of each class stands for the links so far
@@ -207,40 +216,44 @@ class Linker:
         """Compare each bucket's members with its least; the bands of a group mostly agree on that one."""
         centers = keep(members.groupBy("bucket").agg(F.min("doc").alias("center"), F.count("*").alias("n")))
         pairs = join_groups(members.select("bucket", "doc"), centers, ["bucket"], "n").where("doc <> center")
-        self.compare(_hopeful(pairs.select("doc", "center").distinct(), self.marks, _bar(self.least)))
+        near = _hopeful(pairs.select("doc", "center").distinct(), self.marks, _bar(self.least))
+        self.link(_verify(near, self.sets, self.least))
 
-    def across(self, members: DataFrame, best: bool) -> None:
+    def across(self, members: DataFrame) -> None:
         """Compare all pairs of a bucket's members that are of different classes and may be similar enough.
 
         Where a bucket holds several classes, the members outside its largest meet all others in
-        blocks of BLOCK by BLOCK, so that a crowded bucket is many units of work. A unit looks at
-        signatures only and hands on the pairs that agree on a share within four standard deviations
-        of `least`, each in the first band they share by its whole key, for which rows carry the keys
-        of the bands before theirs; what it leaves out has a chance of three in a hundred thousand to
-        be similar enough after all. With `best` it hands on the most agreeing
-        member for each that asks, whatever the band: most classes merge by these few pairs.
+        blocks of BLOCK by BLOCK, so that a crowded bucket is many units of work. A unit first looks
+        at signatures and keeps the members that agree with another on a share within four standard
+        deviations of `least`, for each pair in the first band it shares by its whole key, for which
+        rows carry the keys of the bands before theirs; what it leaves out has a chance of three in a
+        hundred thousand to be similar enough after all. The members kept then bring their sets,
+        once a unit, are compared there exactly, and only links that join two classes leave the
+        unit: fewer than it has members, however many pairs it looked at.
         """
-        placed = members.select("bucket", "band", "doc").join(self.classes, "doc")
-        sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+        placed = members.select("bucket", "band", "bulk", "doc").join(self.classes, "doc")
+        sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.sum("bulk").alias("bulk"))
         live = sizes.groupBy("bucket").agg(
-            F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"),
+            F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bulk").alias("all_bulk"),
             F.max(F.struct("n", "class"))["class"].alias("largest")).where("classes > 1")
         rows = join_groups(placed, keep(live), ["bucket"], "n").where("n is not null").join(self.marks, "doc")
-        earlier = F.array().cast("array<bigint>") if best else F.slice("bands", 1, F.col("band"))
-        rows = rows.withColumn("earlier", earlier).drop("bands")
-        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-        rows = rows.withColumns({"vs": blocks("n"), "qs": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")})
+        rows = rows.withColumn("earlier", F.slice("bands", 1, F.col("band"))).drop("bands")
+        # as many blocks as members need, and more where sets are large
+        grain = F.greatest(F.lit(1.0), F.col("all_bulk") / F.col("n") / ELEMENTS)
+        blocks = lambda c: F.ceil(c * grain / BLOCK).cast("int")
+        rows = rows.withColumns({"vs": blocks(F.col("n")), "qs": blocks(F.col("n") - F.col("most"))})
         everyone = rows.select("*", F.lit(0).alias("kind"), F.pmod(F.xxhash64("doc"), F.col("vs")).cast("int").alias("vb"),
                                F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"))
         asking = rows.where(F.col("class") != F.col("largest")).select(
             "*", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("vb"),
             F.pmod(F.xxhash64("doc"), F.col("qs")).cast("int").alias("qb"))
-        columns = ["bucket", "vb", "qb", "kind", "band", "doc", "class", "largest", "mark", "earlier"]
-        kind = members.schema["doc"].dataType.simpleString()
-        dealt = everyone.select(*columns).unionByName(asking.select(*columns)).repartition("bucket", "vb", "qb")
-        pairs = dealt.sortWithinPartitions("bucket", "vb", "qb", "kind", "doc").mapInPandas(
-            _unit_pairs(_bar(self.least), best), f"doc {kind}, center {kind}")
-        self.compare(pairs.distinct() if best else pairs)
+        order = ["bucket", "vb", "qb", "kind", "doc"]
+        dealt = everyone.select(*UNIT).unionByName(asking.select(*UNIT)).repartition("bucket", "vb", "qb").sortWithinPartitions(*order)
+        bar = _bar(self.least)
+        hopeful = keep(dealt.mapInPandas(_hopeful_members(bar), UNIT_SCHEMA))
+        brought = hopeful.join(self.sets, "doc").select(*UNIT, "elements", "weights")
+        brought = brought.repartition("bucket", "vb", "qb").sortWithinPartitions(*order)
+        self.link(brought.mapInPandas(_unit_links(bar, self.least), "doc binary, center binary"))
 
 
 def _bar(least: float) -> float:
@@ -258,49 +271,160 @@ def _hopeful(pairs: DataFrame, marks: DataFrame, bar: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b[c]), np.uint8).reshape(len(b), -1) for c in ("x", "y"))
                 yield b.loc[(x == y).sum(axis=1) >= bar, ["doc", "center"]]
 
-    kind = pairs.schema["doc"].dataType.simpleString()
     return pairs.join(own, "doc").join(other, "center").select("doc", "center", "x", "y").mapInPandas(
-        run, f"doc {kind}, center {kind}")
+        run, "doc binary, center binary")
+
+
+class _Side:
+    """Rows of one side of a unit as arrays."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows = rows
+        self.marks = np.frombuffer(b"".join(rows["mark"]), np.uint8).reshape(len(rows), COORDINATES)
+        self.earlier = np.stack(rows["earlier"].to_numpy())
+        self.classes = rows["class"].to_numpy(object)
+
+    def hopeful(self, asking: _Side, k: int, bar: float) -> np.ndarray:
+        """Members that row `k` of the other side may be similar to and first meets here."""
+        mine, largest = asking.classes[k], asking.rows["largest"].iloc[k]
+        ok = (self.marks == asking.marks[k]).sum(axis=1) >= bar
+        at = np.flatnonzero(ok)
+        if not len(at):
+            return at
+        # of two members that both ask, the one with the smaller class does
+        own = self.classes[at]
+        at = at[(own != mine) & ((own == largest) | (own > mine))]
+        return at[~(self.earlier[at] == asking.earlier[k]).any(axis=1)]
+
+
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Side, pd.DataFrame, bool]]:
+    """(members, some that ask, are these the last of the unit?) of the units of a partition ordered by unit."""
+    unit, members, side, waiting = None, None, None, None
+    for batch in batches:
+        keys = batch[["bucket", "vb", "qb", "kind"]].to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True]))) if len(batch) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            at, part = tuple(keys[a, :3]), batch.iloc[a:b]
+            if at != unit and waiting is not None:
+                yield side, waiting, True
+                waiting = None
+            if keys[a, 3] == 0:
+                members = part if at != unit else pd.concat([members, part])
+                unit, side = at, None
+            elif at == unit:  # else nobody to ask
+                if waiting is not None:
+                    yield side, waiting, False
+                side = side or _Side(members)
+                waiting = part
+    if waiting is not None:
+        yield side, waiting, True
+
+
+def _hopeful_members(bar: float):
+    """Rows of a unit that have a hopeful partner in it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met = None
+        for side, part, last in _units(batches):
+            asking = _Side(part)
+            met = np.zeros(len(side.rows), bool) if met is None else met
+            asks = np.zeros(len(part), bool)
+            for k in range(len(part)):
+                found = side.hopeful(asking, k, bar)
+                asks[k] = len(found) > 0
+                met[found] = True
+            if asks.any():
+                yield part[asks][UNIT]
+            if last:
+                if met.any():
+                    yield side.rows[met][UNIT]
+                met = None
+
+    return run
+
+
+class _Sets:
+    """Element sets of some rows, to be compared with one at a time."""
 
+    def __init__(self, rows: pd.DataFrame):
+        self.parts = [np.frombuffer(e, np.uint32) for e in rows["elements"]]
+        self.weights = [None if w is None else np.frombuffer(w, np.uint32).astype(np.int64) for w in rows["weights"]]
+        self.total = np.array([len(e) if w is None else w.sum() for e, w in zip(self.parts, self.weights, strict=True)], np.int64)
 
-def _unit_pairs(bar: float, best: bool):
-    """Hopeful pairs of the units in a partition ordered by unit, members before those that ask."""
-    def matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(rows["mark"]), np.uint8).reshape(len(rows), COORDINATES), np.stack(rows["earlier"].to_numpy())
+    def similarity(self, at: np.ndarray, other: _Sets, k: int) -> np.ndarray:
+        """Similarity of rows `at` with row `k` of other sets."""
+        mine, own = other.parts[k], [self.parts[i] for i in at]
+        sizes = np.array([len(e) for e in own])
+        every = np.concatenate(own)
+        place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        same = mine[place] == every
+        if other.weights[k] is not None:
+            same = np.where(same, np.minimum(other.weights[k][place], np.concatenate([self.weights[i] for i in at])), 0)
+        common = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+        return common / (self.total[at] + other.total[k] - common)
 
+
+def _unit_links(bar: float, least: float):
+    """Exact links of a unit that join two of its classes: a spanning forest of all of them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, members, marks, before = None, None, None, None
-        for batch in batches:
-            keys = batch[["bucket", "vb", "qb", "kind"]].to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
-            found = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                at, part = tuple(keys[a, :3]), batch.iloc[a:b]
-                if keys[a, 3] == 0:
-                    members = part if at != unit else pd.concat([members, part])
-                    unit, marks = at, None
+        parent: dict[bytes, bytes] = {}
+        sets = None
+
+        def root(c: bytes) -> bytes:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        for side, part, last in _units(batches):
+            asking = _Side(part)
+            sets = sets or _Sets(side.rows)
+            own, doc, links = _Sets(part), side.rows["doc"].to_numpy(object), []
+            for k, (name, mine) in enumerate(zip(part["doc"], part["class"], strict=True)):
+                found = side.hopeful(asking, k, bar)
+                found = found[[root(side.classes[i]) != root(mine) for i in found]] if len(found) else found
+                if not len(found):
                     continue
-                if at != unit:  # nobody to ask
-                    continue
-                if marks is None:
-                    marks, before = matrix(members)
-                own, earlier = matrix(part)
-                doc, kind = members["doc"].to_numpy(), members["class"].to_numpy()
-                largest = part["largest"].iloc[0]
-                for k, (name, mine) in enumerate(zip(part["doc"], part["class"], strict=True)):
-                    # of two members that both ask, the one with the smaller class does
-                    agree = (marks == own[k]).sum(axis=1)
-                    ok = (agree >= bar) & (kind != mine) & ((kind == largest) | (kind > mine))
-                    if best:
-                        if ok.any():
-                            found.append((doc[np.where(ok, agree, -1).argmax()], name))
-                        continue
-                    found += [(doc[i], name) for i in np.flatnonzero(ok & ~(before == earlier[k]).any(axis=1))]
-            yield pd.DataFrame(found, columns=["doc", "center"])
+                for i in found[sets.similarity(found, own, k) >= least]:
+                    x, y = root(side.classes[i]), root(mine)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        links.append((doc[i], name))
+            yield pd.DataFrame(links, columns=["doc", "center"])
+            if last:
+                parent, sets = {}, None
 
     return run
 
 
+def _classes(docs: DataFrame, doc_id: str, text: str, width: int, least: float, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, sets): rows (row, doc_id, set_key), and for each set (set_key, copies, class) with the class's
+    size, its least id `class_id` and the row `stays` that stands for it."""
+    rows = docs.select(row_key(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = keep(_sign(rows, width, counted))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    distinct = keep(signed.where("set_key is not null").groupBy("set_key").agg(
+        F.min(first).alias("first"), F.count("*").alias("copies"), F.first("bulk").alias("bulk"), F.first("bands").alias("bands"),
+        F.first("mark").alias("mark")))
+
+    # a bucket of one set can link nothing
+    places = distinct.select(F.col("set_key").alias("doc"), "bulk", F.posexplode("bands").alias("band", "bucket"))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = keep(join_groups(places, keep(shared), ["bucket"], "size").where("size is not null").drop("size"))
+    used = keep(members.select("doc").distinct().join(distinct.withColumnRenamed("set_key", "doc"), "doc").select(
+        "doc", "mark", "bands", F.col("first.row").alias("row")))
+    texts = rows.select("row", "text").join(used.select("row", "doc"), "row").dropDuplicates(["row"])
+    linker = Linker(used.select("doc"), used.select("doc", "mark", "bands"), keep(_sets(texts, width, counted)), least)
+    linker.stars(members)
+    linker.across(members)
+
+    named = distinct.select("set_key", "copies", "first").join(
+        linker.classes.withColumnRenamed("doc", "set_key"), "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
+    totals = named.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best"))
+    totals = totals.select("class", "class_size", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("stays"))
+    named = join_groups(named.drop("first"), keep(totals), ["class"], "class_size")
+    return signed.select("row", "doc_id", "set_key"), keep(named.select("set_key", "copies", "class_size", "class_id", "stays"))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8,
                 counted: bool = False) -> DataFrame:
     """(doc_id, class_id, class_size): groups linked by a similarity of `least` or more.
@@ -309,49 +433,35 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     if `counted`, with their counts; the similarity is their (weighted) Jaccard similarity, decided
     on whole sets. A class is a connected part of the links and named by its least id.
 
-    1. Equal sets collapse to their least id before anything is joined, by partial aggregation.
-    2. Representatives that share a band key share a bucket. Each is compared with its bucket's
-       least; classes form.
+    1. Equal sets collapse before anything is joined, by partial aggregation.
+    2. Sets that share a band key share a bucket. Each is compared with its bucket's least; classes
+       form.
     3. In buckets that still hold several classes, all pairs across classes are compared, first by
-       signature in blocks, then exactly; each member's best pairs come before the rest.
+       signature, then exactly, in blocks that hand on spanning links only.
 
     A pair is missed only if no bucket holds it (three times in a million at a similarity of 0.8)
     or its signatures differ far more than its sets do (three in a hundred thousand at 0.8); both
     vanish quickly above. No bucket is capped and no member left out.
 
-    A text without words (null, empty, blank) is alone in its class; so is a null id, with a null
-    class. Rows that repeat an id count as copies. Other columns are ignored.
+    Classes are of texts: neither null nor repeated ids link or part them. A null id is larger than
+    any; a class of null ids only has a null name. A text without words (null, empty, blank) is alone
+    in its class. Rows that repeat a text count as copies. Other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = keep(_sign(rows, width, counted))
-    distinct = keep(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
-        F.first("mark").alias("mark")))
-
-    # a bucket of one representative can link nothing
-    places = distinct.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = keep(join_groups(places, keep(shared), ["bucket"], "size").where("size is not null").drop("size"))
-    used = keep(members.select("doc").distinct())
-    marks = keep(distinct.select(F.col("rep").alias("doc"), "mark", "bands").join(used, "doc", "left_semi"))
-    sets = keep(_sets(rows.join(used, rows["doc_id"] == used["doc"], "left_semi").dropDuplicates(["doc_id"]), width, counted))
-    linker = Linker(used, marks, sets, least)
-    linker.stars(members)
-    linker.across(members, best=True)
-    linker.across(members, best=False)
-
-    named = distinct.join(linker.classes, distinct["rep"] == linker.classes["doc"], "left").select(
-        "set_key", "copies", F.coalesce("class", "rep").alias("class_id"))
-    totals = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    named = join_groups(named, keep(totals), ["class_id"], "class_size").select("set_key", "copies", "class_id", "class_size")
-    worded = signed.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
-    alone = signed.where("set_key is null or doc_id is null").select(
+    signed, named = _classes(docs, doc_id, text, width, least, counted)
+    worded = signed.where("set_key is not null")
+    alone = signed.where("set_key is null").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return join_groups(worded, keep(named), ["set_key"], "copies").select(
-        "doc_id", "class_id", "class_size").unionByName(alone)
+    return join_groups(worded, named, ["set_key"], "copies").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: of each class the one with the least id."""
-    gone = near_groups(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The documents that stay, with all their columns: of each class the one with the least id, nulls last.
+
+    Each row is judged by its own text: a repeated or null id takes no other text along. Rows equal
+    in id and text stay or go together; texts without words stay.
+    """
+    signed, named = _classes(docs, "doc_id", "text", 5, 0.8, False)
+    worded = signed.where("set_key is not null")
+    gone = join_groups(worded, named, ["set_key"], "copies").where(
+        F.col("row") != F.col("stays")).select(F.col("row").alias("_gone"))
+    return docs.join(gone, row_key("doc_id", "text") == gone["_gone"], "left_anti")

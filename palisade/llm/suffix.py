@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import Scratch, join_groups, keep
+from palisade.llm.common import Scratch, join_groups, keep, row_key
 from palisade.llm.hashing import U, mix, powers, prefix_sums
 
 #: Length that counts as repeated, length of the indexed start of a suffix, windows refined as one.
@@ -188,11 +188,6 @@ def _twice(rows: DataFrame, key: str, name: str) -> DataFrame:
     return join_groups(rows, counts, [key], n).withColumn(name, F.col(n).isNotNull()).drop(n)
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """Names a row by its id and text; rows equal in both are alike in all results."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(text))))
-
-
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
                    seed: int = SEED, batches: int = 4) -> DataFrame:
     """(row, spans): [start, end) byte ranges, not merged, that windows found elsewhere cover.

@@ -159,13 +159,46 @@ def test_minhash_crowded_bucket(spark, monkeypatch):
 def test_minhash_first_shared_band(spark):
     """Bytes of an earlier band agree by accident, its darts do not: the pair is compared in the band it shares."""
     texts = [(1, " ".join(BASE)), (2, " ".join(NEAR))]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    marks = spark.createDataFrame([(k, bytearray(minhash.COORDINATES), [10 + k, 20, *range(30, 60)]) for k, _ in texts],
-                                  "doc long, mark binary, bands array<bigint>")
-    members = spark.createDataFrame([(20, 1, 1), (20, 1, 2)], "bucket long, band int, doc long")
+    docs = spark.createDataFrame([(bytes([k]), t) for k, t in texts], "doc binary, text string")
+    marks = spark.createDataFrame([(bytes([k]), bytearray(minhash.COORDINATES), [10 + k, 20, *range(30, 60)]) for k, _ in texts],
+                                  "doc binary, mark binary, bands array<bigint>")
+    members = spark.createDataFrame([(20, 1, 200, b"\1"), (20, 1, 200, b"\2")], "bucket long, band int, bulk long, doc binary")
     linker = minhash.Linker(marks.select("doc"), marks, minhash._sets(docs, 5, False), 0.8)
-    linker.across(members, best=False)
-    assert {tuple(r) for r in linker.classes.collect()} == {(1, 1), (2, 1)}
+    linker.across(members)
+    assert {(bytes(r[0]), bytes(r[1])) for r in linker.classes.collect()} == {(b"\1", b"\1"), (b"\2", b"\1")}
+
+
+def test_minhash_judges_texts(spark):
+    """Repeated and null ids: near texts are linked whatever their ids, others are not, and one of each class stays."""
+    other = " ".join(words(9, 150))
+    docs = [(7, " ".join(BASE)), (9, " ".join(NEAR)), (9, other), (None, " ".join(NEAR)), (None, other + " end"), (None, None), (3, ""),
+            (2 ** 60 + 1, " ".join(words(11, 80))), (None, " ".join(words(10, 90)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in minhash.near_groups(df).collect())
+    big = 2 ** 60 + 1
+    assert got == sorted([(7, 7, 3), (9, 7, 3), (0, 7, 3), (9, 9, 2), (0, 9, 2), (0, 0, 1), (3, 3, 1), (big, big, 1), (0, 0, 1)])
+    left = {(r.doc_id, r.text) for r in minhash.drop_near(df).collect()}
+    assert left == {docs[0], docs[2], docs[5], docs[6], docs[7], docs[8]}
+
+
+def test_minhash_links_span(spark, monkeypatch):
+    """However many pairs a unit compares, fewer links leave it than it has members."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    seen = []
+    link = minhash.Linker.link
+
+    def counted(self, found):
+        found = minhash.keep(found)
+        seen.append(found.count())
+        link(self, found)
+
+    monkeypatch.setattr(minhash.Linker, "link", counted)
+    shared = words(5, 60)
+    docs = [(k, " ".join([*shared, *words(700 + k, 8)])) for k in range(60)]
+    docs += [(100 + k, " ".join([*words(6, 40), *words(800 + k, 14)])) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_groups(df).collect()} == near_classes(docs, False)
+    assert seen[-1] <= 32 * len(docs)
 
 
 def test_minhash_query(spark, sf):
