@@ -29,7 +29,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = _BREAK
 
-STRIPE = "lang string, prefix string, part int, next array<string>, n array<bigint>"
+#: A stripe: `language<tab>prefix<tab>part`, and each next word with `<tab>count` if said more than once, with a blank after it.
+STRIPE = "head string, body string"
 
 
 class Words:
@@ -142,6 +143,37 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _pasted(data: np.ndarray, start: np.ndarray, length: np.ndarray, more: np.ndarray, more_start: np.ndarray, more_length: np.ndarray) -> pa.Array:
+    """Strings of two pieces each, from two buffers."""
+    out = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(length + more_length, out=out[1:])
+    starts, lengths = np.empty(2 * len(start), np.int64), np.empty(2 * len(start), np.int64)
+    starts[0::2], starts[1::2], lengths[0::2], lengths[1::2] = start, more_start + len(data), length, more_length
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+    return pa.LargeStringArray.from_buffers(
+        len(start), pa.py_buffer(out), pa.py_buffer(np.concatenate([data, more])[at])).cast(pa.string())
+
+
+def _joined(data: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray, ends: list[str]) -> tuple:
+    """(bytes, starts, lengths) of strings of `data`, each followed by one of `ends`."""
+    raw = [e.encode() for e in ends]
+    sizes = np.array([len(e) for e in raw], np.int64)
+    made = _pasted(data, start, length, np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(sizes) - sizes)[which], sizes[which])
+    offsets = np.frombuffer(made.buffers()[1], np.int32)[:len(made) + 1].astype(np.int64)
+    own = np.frombuffer(made.buffers()[2], np.uint8) if len(made) else np.zeros(0, np.uint8)
+    return own, offsets[:-1], np.diff(offsets)
+
+
+def _lines(words: Words, last: np.ndarray, n: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bodies of stripes that begin at `cut`: words `last`, their counts `n`."""
+    counts, which = np.unique(n, return_inverse=True)
+    data, start, length = _joined(words.bytes, words.start[last], words.end[last] - words.start[last], which,
+                                  [" " if c == 1 else f"\t{c} " for c in counts.tolist()])
+    offsets = np.append(start[cut], len(data) if not len(start) else start[-1] + length[-1])
+    return pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
 def stripes(rows: DataFrame, k: int, sieves: list[Sieve], hot: np.ndarray) -> DataFrame:
     """Stripes of phrases of k words: for each prefix of k - 1 words the next words and their counts.
 
@@ -186,14 +218,15 @@ def stripes(rows: DataFrame, k: int, sieves: list[Sieve], hot: np.ndarray) -> Da
                 order = np.lexsort((part, prefix))
                 prefix, place, last, part, n = prefix[order], place[order], last[order], part[order], n[order]
             cut = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1]))))
-            offsets = pa.array(np.append(cut, len(prefix)).astype(np.int32))
             head = place[cut]
+            size = words.end[head + k - 2] - words.start[head]
+            first = _joined(words.bytes, words.start[head], size, part[cut], [f"\t{p}" for p in range(PARTS)])
+            names = [f"{name}\t".encode("utf-8", "surrogatepass") for name in langs]
+            long = np.array([len(x) for x in names])
+            front = lang[head]
             yield pa.record_batch({
-                "lang": pa.array(langs, pa.string()).take(pa.array(lang[head])),
-                "prefix": gather(words.bytes, words.start[head], words.end[head + k - 2] - words.start[head]),
-                "part": pa.array(part[cut].astype(np.int32)),
-                "next": pa.ListArray.from_arrays(offsets, gather(words.bytes, words.start[last], words.end[last] - words.start[last])),
-                "n": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64)))})
+                "head": _pasted(np.frombuffer(b"".join(names), np.uint8), (np.cumsum(long) - long)[front], long[front], *first),
+                "body": _lines(words, last, n, cut)})
 
     return rows.mapInArrow(run, STRIPE)
 
@@ -201,14 +234,18 @@ def stripes(rows: DataFrame, k: int, sieves: list[Sieve], hot: np.ndarray) -> Da
 def merged(found: DataFrame, least: int) -> DataFrame:
     """(lang, prefix, next, phrase, n): stripes added element by element, entries of `least` or more.
 
-    Stripes travel whole to their (lang, prefix, part); there they are added entry by entry by a
-    hash aggregate, which spills, so no stripe is held in one piece.
+    Stripes travel whole to their head; there they are added entry by entry by a hash aggregate,
+    which spills, so no stripe is held in one piece.
     """
-    entries = found.repartition("lang", "prefix", "part").select(
-        "lang", "prefix", "part", F.explode(F.arrays_zip("next", "n")).alias("e"))
-    sums = entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("n"))
+    entries = found.repartition("head").select("head", F.explode(F.split("body", " ")).alias("e")).where("e <> ''")
+    many = F.instr("e", "\t") > 0
+    sums = entries.groupBy("head", F.when(many, F.substring_index("e", "\t", 1)).otherwise(F.col("e")).alias("next")).agg(
+        F.sum(F.when(many, F.substring_index("e", "\t", -1).cast("bigint")).otherwise(F.lit(1))).alias("n"))
+    tail = F.substring_index("head", "\t", -2)
+    prefix = F.substring_index(tail, "\t", 1)
     return sums.where(F.col("n") >= least).select(
-        "lang", "prefix", "next", F.concat_ws(" ", "prefix", "next").alias("phrase"), "n")
+        F.expr("left(head, length(head) - length(substring_index(head, '\t', -2)) - 1)").alias("lang"), prefix.alias("prefix"), "next",
+        F.concat_ws(" ", prefix, "next").alias("phrase"), "n")
 
 
 def _tail(phrase: str) -> Column:
@@ -267,14 +304,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                 j.alias("k"), F.array_join(F.slice(word, F.lit(1), j), " ").alias("first"),
                 F.array_join(F.slice(word, j + 1, F.lit(k) - j), " ").alias("rest")))).alias("cut"))
         found.append(cuts.select("lang", "phrase", "a", "cut.*"))
-    cuts = found[0].unionByName(found[1]).unionByName(found[2])
+    cuts = scratch.write(found[0].unionByName(found[1]).unionByName(found[2]), "cuts")
     sums = counts[0].select("lang", "phrase", "n")
     for c in counts[1:-1]:
         sums = sums.unionByName(c.select("lang", "phrase", "n"))
     for side, name in (("first", "l"), ("rest", "r")):
         uses = cuts.groupBy("lang", side).agg(F.count("*").alias("uses"))
         known = keep(uses.join(sums.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side]))
-        cuts = join_groups(cuts, known, ["lang", side], "uses").drop("uses")
+        cuts = scratch.write(join_groups(cuts, known, ["lang", side], "uses").drop("uses"), f"cuts_{side}")
     score = F.expr("(cast(a as decimal(20,0)) * 2000000) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     weakest = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut"))
