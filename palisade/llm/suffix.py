@@ -20,6 +20,8 @@ from palisade.llm.hashing import U, mix, powers, prefix_sums
 
 #: Length that counts as repeated, length of the indexed start of a suffix, windows refined as one.
 LENGTH, SEED, BLOCK = 400, 128, 16
+#: The same of passages that a corpus stage removes: a passage of 50 words has 250 bytes or more.
+PASSAGE, PASSAGE_SEED = 240, 48
 #: Bytes of a text looked at together; windows of a longer one are dealt out without overlap.
 SEGMENT = 1 << 20
 
@@ -271,12 +273,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = PASSAGE, seed: int = PASSAGE_SEED) -> DataFrame:
     """The documents with their columns; `text` without repeated passages, `n_chars` to match.
 
-    A character of which a cut leaves only some bytes goes. All rows stay, if need be with ''.
+    Every copy of a passage of `length` bytes goes, the first one too, so that no text keeps what
+    others share and the outcome does not depend on an order of documents. A character of which a cut leaves only some bytes goes. All rows stay, if need be with ''.
     """
-    spans = repeated_spans(docs)
+    spans = repeated_spans(docs, length=length, seed=seed)
 
     @F.pandas_udf("string")
     def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:

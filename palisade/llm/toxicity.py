@@ -131,7 +131,8 @@ def count_models(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) ->
     distinct n-gram.
     """
     labels = labels.select(F.col("doc_id").alias("_id"), "label")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(labels, "_id")
+    # by shuffle at every size: what Spark broadcasts of few labels it could not of many
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(labels.hint("merge"), "_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -235,7 +236,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     share = 0.97 * SAMPLE / max(1, rest.count())
     rest = keep(rest.where(lucky("doc_id", share)).withColumnRenamed("doc_id", "_id"))
     chosen = docs.where(aside(doc_id) & lucky(doc_id, share)).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    chosen = chosen.join(rest, "_id", "left_semi")
+    chosen = chosen.join(rest.hint("merge"), "_id", "left_semi")
     rows = _evident(chosen, language, "_id", "text").join(rest, F.col("doc_id") == F.col("_id")).select("x", "label").toPandas()
     if rows["label"].nunique() < 2:
         return ToxicityModel(language, np.array([1.0, 0, 0, 0, 0, 0, 0, -1.0]))

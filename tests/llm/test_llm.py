@@ -252,6 +252,21 @@ def test_suffix_across_segments_and_forms(spark, monkeypatch):
     assert got == want and 0 < sum(w[2] for w in want) < sum(w[1] for w in want)
 
 
+def test_passages_of_55_words(spark):
+    """The corpus stage takes out whole passages of 55 words, wherever they stand, and nothing else."""
+    rng = random.Random(8)
+    passages = [" ".join(words(900 + k, 55)) for k in range(6)]
+    docs = []
+    for k in range(60):
+        own = [" ".join(words(1000 + 10 * k + j, 40)) for j in range(3)]
+        docs.append((k, f" {passages[rng.randrange(6)]} ".join(own) if k % 2 else " ".join(own)))
+    got = {r.doc_id: r.text for r in suffix.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {r[0]: r[4] for r in without_repeats(docs, suffix.PASSAGE)}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in got.items()} == want
+    for i, t in docs:
+        assert not any(p in got[i] for p in passages) and (got[i] == t or i % 2)
+
+
 def test_ann(spark, sf):
     for folder in (sf, "/root/testdata/sf0.01"):
         table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
