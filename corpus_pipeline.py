@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 400-byte strings that also start elsewhere."""
+    """All documents, without the bytes of 240-byte strings (about 50 words) that also start elsewhere."""
     return suffix.drop_repeats(docs)
 
 
