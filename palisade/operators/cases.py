@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions.core import blank, uuid5
+from palisade.functions.state import checkpointed
+from palisade.operators.ordering import Fold, prefix_scan
 
 # Allowed status changes.
 TRANSITIONS = {
@@ -22,28 +24,48 @@ IDENTIFIER_MAX = 128
 ACTIVITY_NAMESPACE = "0f4a5d6c7b8e59a1b2c3d4e5f60718ab"
 
 
-def case_transitions(requests: DataFrame, initial: str = "NEW") -> DataFrame:
+def case_transitions(requests: DataFrame, initial: str = "NEW", chunk: int = 500) -> DataFrame:
     """Fold each incident's ordered status requests through the transition table.
 
     One row per request: previous status, accepted, reason when rejected, and the
-    status afterwards.
+    status afterwards. A request is a map from states to states, and maps compose: each
+    run of `chunk` requests is folded for every state it may begin in, the maps of an
+    incident's runs are chained, and runs are replayed from the state they really begin in.
+    So an incident of any length is many tasks of bounded size.
     """
+    states = list(TRANSITIONS)
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items()
                              for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-    steps = F.array_sort(F.collect_list(F.struct("seq", "status")))
     log_type = "array<struct<seq:bigint,status:string,before:string,accepted:boolean>>"
-    start = F.struct(F.lit(initial).alias("now"), F.array().cast(log_type).alias("log"))
 
-    def step(acc, r):
-        known = r["status"].isin(*TRANSITIONS)
-        ok = F.coalesce(known & F.array_contains(F.element_at(allowed, acc["now"]), r["status"]), F.lit(False))
+    def ok(now, status):
+        return F.coalesce(status.isin(*states) & F.array_contains(F.element_at(allowed, now), status), F.lit(False))
+
+    def follow(acc, r):
+        return F.transform(acc, lambda now: F.when(ok(now, r["status"]), r["status"]).otherwise(now))
+
+    def replay(acc, r):
+        good = ok(acc["now"], r["status"])
         entry = F.struct(r["seq"].cast("bigint").alias("seq"), r["status"].alias("status"),
-                         acc["now"].alias("before"), ok.alias("accepted"))
-        return F.struct(F.when(ok, r["status"]).otherwise(acc["now"]).alias("now"),
+                         acc["now"].alias("before"), good.alias("accepted"))
+        return F.struct(F.when(good, r["status"]).otherwise(acc["now"]).alias("now"),
                         F.concat(acc["log"], F.array(entry)).alias("log"))
 
-    folded = requests.groupBy("incident_id").agg(steps.alias("steps")).select(
-        "incident_id", F.explode(F.aggregate("steps", start, step)["log"]).alias("e"))
+    def enter(acc, c):
+        """States at the start of each run, and after the last."""
+        now = F.element_at(c["exits"], F.array_position(F.array(*map(F.lit, states)), acc["now"]).cast("int"))
+        return F.struct(now.alias("now"), F.concat(acc["starts"], F.array(acc["now"])).alias("starts"))
+
+    rows = prefix_scan(requests.select("incident_id", "seq", "status"), ["incident_id"], ["seq", "status"], {"rn": Fold("sum", F.lit(1))})
+    runs = checkpointed(rows.groupBy("incident_id", F.floor((F.col("rn") - 1) / chunk).alias("run")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("steps")).withColumn(
+        "exits", F.aggregate("steps", F.array(*map(F.lit, states)), follow)))
+    begin = F.struct(F.lit(initial).alias("now"), F.array().cast("array<string>").alias("starts"))
+    chained = runs.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("run", "exits"))).alias("chain")).select(
+        F.col("incident_id").alias("_i"), F.posexplode(F.aggregate("chain", begin, enter)["starts"]).alias("_run", "start"))
+    start = F.struct(F.col("start").alias("now"), F.array().cast(log_type).alias("log"))
+    folded = runs.join(chained, F.col("incident_id").eqNullSafe(F.col("_i")) & (F.col("run") == F.col("_run"))).select(
+        "incident_id", F.explode(F.aggregate("steps", start, replay)["log"]).alias("e"))
     e = F.col("e")
     choices = F.array_join(F.element_at(allowed, e["before"]), ", ")
     reason = F.when(e["accepted"], None).when(

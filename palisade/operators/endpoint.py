@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from palisade.config import HOUR, MINUTE, DetectConfig
 from palisade.functions.core import basename, blank, doublings, micros, nz
 from palisade.functions.detection import detections
-from palisade.operators.ordering import fire_with_reset, number_rows, rows_before
+from palisade.functions.state import pin
+from palisade.operators.ordering import Fold, fire_with_reset, number_rows, prefix_scan, rows_before
 
 # Outcome vocabulary of authentication telemetry.
 FAILED = ("failed", "failure")
@@ -46,28 +47,29 @@ def auth_001(events: DataFrame, cfg: DetectConfig = DetectConfig()) -> DataFrame
     auth = events.where((F.col("event_type") == "authentication") & ~blank("user")).select(
         "user", anchor.alias("anchor"), "event_id", "ts_us", "status",
         (~blank("source_ip")).alias("same_ip"),
-        F.floor(F.col("ts_us") / F.lit(window)).alias("slice"),
-    )
-    success = auth.where(F.col("status").isin(*SUCCEEDED)).drop("status")
-    # A failure can matter to successes of its own time slice and of the next.
-    fails = auth.where(F.col("status").isin(*FAILED)).select(
-        "user", "anchor", F.col("event_id").alias("f_id"), F.col("ts_us").alias("f_us"),
-        F.explode(F.array("slice", F.col("slice") + 1)).alias("slice"),
-    )
-    earlier = (F.col("f_us") < F.col("ts_us")) | (
-        (F.col("f_us") == F.col("ts_us")) & (F.col("f_id") < F.col("event_id"))
-    )
-    pairs = success.join(fails, ["user", "anchor", "slice"]).where(
-        earlier & (F.col("f_us") >= F.col("ts_us") - window)
-    )
-    fired = (
-        pairs.groupBy("user", "anchor", "slice", "event_id", "ts_us", "same_ip")
-        .agg(
-            F.collect_list("f_id").alias("fails"), F.min("f_us").alias("first_us"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .where(F.col("n") >= cfg.brute_min_fails)
     )
+    key = ["user", "anchor"]
+    fail = auth.where(F.col("status").isin(*FAILED)).withColumn("kind", F.lit("fail"))
+    success = auth.where(F.col("status").isin(*SUCCEEDED)).withColumn("kind", F.lit("success"))
+    # a success asks before the instant its window begins; a null id comes before all others
+    asks = success.withColumns({
+        "kind": F.lit("ask"), "of": F.col("event_id"), "of_us": F.col("ts_us"), "ts_us": F.col("ts_us") - window,
+        "event_id": F.lit(None).cast("string")})
+    own = {"of": F.col("event_id"), "of_us": F.col("ts_us")}
+    marked = fail.withColumns(own).unionByName(success.withColumns(own)).unionByName(asks)
+    # the number of failures up to each row: those of a window are a range of numbers
+    counted = pin(prefix_scan(marked, key, ["ts_us", "event_id", "of"], {
+        "fails": Fold("sum", F.when(F.col("kind") == "fail", 1).cast("bigint"))}))
+    fired = counted.where("kind <> 'fail'").groupBy(*key, "of", "of_us", "same_ip").agg(
+        F.max(F.when(F.col("kind") == "success", F.col("fails"))).alias("upto"),
+        F.max(F.when(F.col("kind") == "ask", F.col("fails"))).alias("before"),
+    ).withColumn("n", F.col("upto") - F.col("before")).where(F.col("n") >= cfg.brute_min_fails)
+    # failures are listed for what fires only
+    wanted = fired.withColumn("fails", F.explode(F.sequence(F.col("before") + 1, F.col("upto"))))
+    failures = counted.where("kind = 'fail'").select(*key, "fails", F.col("event_id").alias("f_id"), F.col("ts_us").alias("f_us"))
+    fired = wanted.join(failures, [*key, "fails"]).groupBy(
+        *key, F.col("of").alias("event_id"), F.col("of_us").alias("ts_us"), "same_ip", "n").agg(
+        F.collect_list("f_id").alias("fails"), F.min("f_us").alias("first_us"))
     reason = F.concat(
         F.col("n").cast("string"), F.lit(" failed authentication attempts for user '"),
         F.col("user"), F.lit("' from "), F.col("anchor"),

@@ -19,7 +19,7 @@ from palisade.functions.detection import detections
 from palisade.functions.quantiles import quantile
 from palisade.functions.skew import join_groups
 from palisade.functions.state import pin
-from palisade.operators.ordering import fire_with_reset, number_rows, rows_before
+from palisade.operators.ordering import Fold, fire_with_reset, prefix_scan, rows_before
 
 GLOBAL = "GLOBAL"
 
@@ -129,58 +129,37 @@ def probe() -> Column:
     return nz(F.col("protocol") == "TCP", False) & (nz("syn", 0.0) > nz("ack", 0.0))
 
 
-def _rows_in_window(numbered: DataFrame, fired: DataFrame, window_us: int, slice_us: int) -> DataFrame:
+def _rows_in_window(numbered: DataFrame, fired: DataFrame, window_us: int) -> DataFrame:
     """Per fired row, how many rows of its key lie in the window since the last firing.
 
-    `fired`: key, rn, ts_us, all_rn. The rows already too old are counted with a
-    running maximum inside (key, slice) groups, so no task sees a whole key.
+    `fired`: key, rn, ts_us, all_rn. Each asks at the instant its window begins for the last row
+    that is too old; scans carry that row's number and the last firing's along the key.
     """
-    slice_of = lambda c: F.floor(c / F.lit(slice_us))
-    marks = numbered.select("key", "ts_us", "all_rn", F.lit(None).cast("bigint").alias("rn"))
     asks = fired.select(
-        "key", (F.col("ts_us") - window_us).alias("ts_us"), F.lit(None).cast("bigint").alias("all_rn"), "rn"
-    )
-    both = marks.unionByName(asks).withColumn("slice", slice_of(F.col("ts_us")))
-    asked = F.col("rn").isNotNull()
-    group = W.partitionBy("key", "slice")
-    upward = group.orderBy("ts_us", asked).rowsBetween(W.unboundedPreceding, 0)
-    downward = group.orderBy(F.desc("ts_us"), F.desc(asked)).rowsBetween(W.unboundedPreceding, 0)
-    first_in = marks.groupBy("key", slice_of(F.col("ts_us")).alias("slice")).agg(
-        F.min("all_rn").alias("next_first"))
-    expired = (
-        both.withColumn("old", F.max("all_rn").over(upward))
-        .withColumn("young", F.min("all_rn").over(downward))
-        .where(F.col("rn").isNotNull())
-        .join(first_in.withColumn("slice", F.col("slice") - 1), ["key", "slice"], "left")
-        .select("key", "rn", F.coalesce(
-            "old", F.col("young") - 1, F.col("next_first") - 1).alias("expired"))
-    )
-    # The previous firing matters only while it is inside the window, so it is
-    # looked up among the firings of this slice and the one before.
-    spread = fired.withColumn("own", slice_of(F.col("ts_us"))).withColumn(
-        "slice", F.explode(F.array("own", F.col("own") + 1)))
-    lag = F.lag("all_rn").over(W.partitionBy("key", "slice").orderBy("rn"))
-    last = spread.withColumn("reset", lag).where(F.col("slice") == F.col("own"))
-    return last.join(expired, ["key", "rn"]).select(
-        "key", "rn",
-        (F.col("all_rn") - F.greatest(nz("reset"), F.col("expired"))).alias("window_count"),
-    )
+        "key", (F.col("ts_us") - window_us).alias("ts_us"), F.lit(None).cast("bigint").alias("all_rn"), "rn")
+    both = numbered.select("key", "ts_us", "all_rn", F.lit(None).cast("bigint").alias("rn")).unionByName(asks)
+    both = both.withColumn("asks", F.col("rn").isNotNull())
+    expired = prefix_scan(both, ["key"], ["ts_us", "asks", "all_rn", "rn"], {"expired": Fold("max", F.col("all_rn"))})
+    last = prefix_scan(fired, ["key"], ["rn"], {"reset": Fold("last", F.col("all_rn"), own=False)})
+    return last.join(expired.where("asks").select("key", "rn", "expired"), ["key", "rn"]).select(
+        "key", "rn", (F.col("all_rn") - F.greatest(nz("reset"), nz("expired"))).alias("window_count"))
 
 
 def flow_002(flows: DataFrame, cfg: FlowConfig = FlowConfig()) -> RuleOutput:
     """Many short SYN-heavy flows to one service, restarting after each firing."""
     need, window = cfg.brute_min_flows, cfg.brute_window_minutes * MINUTE
-    slice_us = max(cfg.slice_minutes * MINUTE, window)
     port = F.coalesce(F.col("destination_port").cast("string"), F.lit("?"))
     keyed = flows.select(
         "event_id", "ts_us", F.concat_ws("|", _target(), port).alias("key"),
         short_syn(cfg.brute_max_bytes).alias("short"),
     )
-    every = number_rows(keyed, ["key"], "all_rn")
-    short = number_rows(every.where("short"), ["key"])
+    one = F.lit(1).cast("bigint")
+    every = pin(prefix_scan(keyed, ["key"], ["ts_us", "event_id"], {
+        "all_rn": Fold("sum", one), "rn": Fold("sum", F.when(F.col("short"), one))}))
+    short = every.where("short")
     at = fire_with_reset(short, ["key"], need, window, closed=False, chunk_rows=cfg.chunk_rows)
     fired = pin(short.join(at, ["key", "rn"]).select("key", "rn", "ts_us", "all_rn"))
-    counts = _rows_in_window(every, fired, window, slice_us)
+    counts = _rows_in_window(every, fired, window)
     members = rows_before(short, at, ["key"], need).select(
         "key", F.col("fired_rn").alias("rn"), "event_id", "ts_us", F.lit(need).alias("n"))
     group = ["key", "rn"]

@@ -8,35 +8,79 @@ then chained.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions.state import checkpointed, pin
 
 
-def number_rows(rows: DataFrame, keys: list[str], name: str = "rn") -> DataFrame:
-    """Add the 1-based position of each row within its key by (ts_us, event_id).
+class Fold(NamedTuple):
+    """What a scan carries along a key: the `sum` or `max` of a value, or the `last` one that is not null."""
+
+    kind: str
+    value: Column
+    down: bool = False  # from the end of the key towards its start
+    own: bool = True  # does the row itself count?
+
+
+_AGGREGATE = {"sum": F.sum, "max": F.max}
+
 
-    Rows are dealt by ranges of (keys, ts_us, event_id), so neither a key nor an instant is one task;
-    a row's position is its place in its range after the key's rows in earlier ranges. Ranges are
-    written to the checkpoint folder, as counts and places must see the same ones.
+def prefix_scan(rows: DataFrame, keys: list[str], order: list[str], folds: dict[str, Fold]) -> DataFrame:
+    """Add one column a fold: its value over the rows of the key up to each row.
+
+    Rows are dealt by ranges of (keys, order), so neither a key nor an instant is one task. Each
+    range is folded on its own; what earlier ranges of a key hand on is folded over their totals, of
+    which there are few, since at most one key reaches over each border between two ranges. Those are
+    broadcast, at most two rows a range. Ranges are written to the checkpoint folder, as totals and
+    rows must see the same ones. All kinds are associative, so the result does not depend on where
+    ranges end.
     """
-    order = [*keys, "ts_us", "event_id"]
-    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    per_range = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_range.select(
-        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_range").orderBy("ts_us", "event_id")
-    return pin(
-        dealt.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, [*keys, "_range"])
-        .withColumn(name, F.col("_before") + F.col("_pos"))
-        .drop("_range", "_pos", "_before")
-    )
+    dealt = checkpointed(rows.withColumns({f"_v_{n}": f.value for n, f in folds.items()}).repartitionByRange(
+        *keys, *order).withColumn("_range", F.spark_partition_id()))
+    at = F.struct(*order)
+
+    def total(name: str, fold: Fold) -> Column:
+        v = F.col(f"_v_{name}")
+        if fold.kind != "last":
+            return _AGGREGATE[fold.kind](v)
+        return (F.min_by if fold.down else F.max_by)(v, F.when(v.isNotNull(), at))
+
+    def over(fold: Fold, value: Column, window, ordering: list, own: bool) -> Column:
+        ordering = [F.desc(c) for c in ordering] if fold.down else [F.col(c) for c in ordering]
+        span = window.orderBy(*ordering).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+        return (F.last(value, ignorenulls=True) if fold.kind == "last" else _AGGREGATE[fold.kind](value)).over(span)
+
+    per_range = dealt.groupBy(*keys, "_range").agg(*[total(n, f).alias(f"_t_{n}") for n, f in folds.items()])
+    of_key = W.partitionBy(*keys)
+    split = per_range.withColumn("_ranges", F.count(F.lit(1)).over(of_key)).where("_ranges > 1")
+    carried = split.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"),
+        *[over(f, F.col(f"_t_{n}"), of_key, ["_range"], own=False).alias(f"_c_{n}") for n, f in folds.items()])
+    inside = W.partitionBy(*keys, "_range")
+    scanned = dealt.withColumns({f"_i_{n}": over(f, F.col(f"_v_{n}"), inside, order, f.own) for n, f in folds.items()})
+    same = (F.col("_range") == F.col("_r"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = scanned.join(F.broadcast(carried), same, "left")
+
+    def whole(name: str, fold: Fold) -> Column:
+        mine, before = F.col(f"_i_{name}"), F.col(f"_c_{name}")
+        if fold.kind == "sum":
+            return F.coalesce(mine, F.lit(0)) + F.coalesce(before, F.lit(0))
+        return F.greatest(mine, before) if fold.kind == "max" else F.coalesce(mine, before)
+
+    return joined.select(*rows.columns, *[whole(n, f).alias(n) for n, f in folds.items()])
+
+
+def number_rows(rows: DataFrame, keys: list[str], name: str = "rn") -> DataFrame:
+    """Add the 1-based position of each row within its key by (ts_us, event_id)."""
+    return pin(prefix_scan(rows, keys, ["ts_us", "event_id"], {name: Fold("sum", F.lit(1).cast("bigint"))}))
 
 
 def lagged_micros(numbered: DataFrame, keys: list[str], back: int, chunk_rows: int) -> DataFrame:

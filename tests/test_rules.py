@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palisade.config import MINUTE, SECOND, CorrelateConfig, DetectConfig, FlowConfig
 from palisade.functions.core import from_micros
 from palisade.operators import correlate as corr
-from palisade.operators import endpoint, flow, portscan
+from palisade.operators import cases, endpoint, flow, portscan
 from palisade.operators.components import connected_components
 from palisade.schema import EVENT_COLUMNS, FLOW_FIELDS, FLOW_NUMERICS, EVENT_DDL
 
@@ -237,3 +237,68 @@ def test_numbering_splits_one_key_and_one_instant(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(ranges) > 2 and max(r["count"] for r in ranges) < 0.6 * n
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """A large star, a chain and pairs, with every round by shuffle and in one task."""
+    from palisade.operators import components
+
+    hub = [(0, i) for i in range(2, 3000, 2)]
+    chain = [(i, i + 2) for i in range(10_001, 10_201, 2)]
+    pairs = [(50_000 + 2 * i, 50_001 + 2 * i) for i in range(50)] + [(7, 7)]
+    edges = spark.createDataFrame(hub + chain + pairs, "src long, dst long").repartition(5)
+    vertices = spark.createDataFrame(sorted({(x,) for e in hub + chain + pairs for x in e}) + [(99_999,)], "id long")
+    want = {x: 0 for e in hub for x in e} | {x: 10_001 for e in chain for x in e} | {x: 50_000 + (x - 50_000) // 2 * 2 for e in pairs[:-1] for x in e}
+    want |= {7: 7, 99_999: 99_999}
+    for limit in (50_000, 10):
+        monkeypatch.setattr(components, "ONE_TASK", limit)
+        assert {r.id: r.component for r in components.connected_components(vertices, edges).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_prefix_scan_over_one_key(spark, seed):
+    """Sums, greatest and last values both ways, with one key over many ranges and null keys."""
+    from palisade.operators.ordering import Fold, prefix_scan
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["k"] * 9 + ["other", None]), t, rng.choice([None, 1, 5, 9, t])) for t in range(600)]
+    df = spark.createDataFrame(rows, "key string, t long, v long").repartition(7)
+    got = prefix_scan(df, ["key"], ["t"], {
+        "n": Fold("sum", F.lit(1)), "before": Fold("sum", F.col("v"), own=False), "most": Fold("max", F.col("v"), own=False),
+        "most_down": Fold("max", F.col("v"), down=True), "last": Fold("last", F.col("v"), own=False),
+        "next": Fold("last", F.col("v"), down=True, own=False)}).collect()
+    assert len(got) == len(rows)
+    for key in ("k", "other", None):
+        own = sorted((t, v) for k, t, v in rows if k == key)
+        values = [v for _, v in own]
+        for r in (r for r in got if r.key == key):
+            i = next(i for i, (t, _) in enumerate(own) if t == r.t)
+            known = lambda x: [v for v in x if v is not None]
+            assert r.n == i + 1 and r.before == sum(known(values[:i]))
+            assert r.most == max(known(values[:i]), default=None) and r.most_down == max(known(values[i:]), default=None)
+            assert r.last == (known(values[:i]) or [None])[-1] and r.next == (known(values[i + 1:]) or [None])[0]
+
+
+def test_auth_001_one_key(spark):
+    """Many failures and successes of one user and origin: a window is a range of failure numbers."""
+    rows = [dict(auth(k, T0 + 400 * k * SECOND, "failed"), event_id=f"f{k:05d}") for k in range(3000)]
+    rows += [dict(auth(k, T0 + (400 * k + 200) * SECOND, "success"), event_id=f"s{k:05d}") for k in range(0, 3000, 3)]
+    out = endpoint.auth_001(make_events(spark, rows), DetectConfig(brute_min_fails=2)).collect()
+    # the failure 200 s before and, at the window's very edge, the one before that
+    assert len(out) == 999 and all(len(r.evidence_event_ids) == 3 and r.metadata.fail_count == 2 for r in out)
+
+
+def test_case_transitions_in_runs(spark):
+    """Runs of any size give the same states as one fold."""
+    rng = random.Random(5)
+    asked = [("i1", k, rng.choice(["INVESTIGATING", "CONTAINED", "RESOLVED" if k > 280 else "CONTAINED", "odd", None])) for k in range(300)]
+    asked += [("i2", 1, "RESOLVED"), ("i2", 2, "INVESTIGATING"), ("i2", 3, "RESOLVED"), ("i2", 4, "CONTAINED")]
+    df = spark.createDataFrame(asked, "incident_id string, seq long, status string").repartition(5)
+    one, many = (sorted(map(tuple, cases.case_transitions(df, chunk=c).collect())) for c in (1000, 7))
+    assert one == many and len(one) == len(asked)
+    now = {"i1": "NEW", "i2": "NEW"}
+    for i, seq, status in sorted(asked, key=lambda r: r[:2]):
+        good = status in cases.TRANSITIONS.get(now[i], ())
+        row = next(r for r in one if r[:2] == (i, seq))
+        assert row[3] == now[i] and row[4] == good
+        now[i] = status if good else now[i]
