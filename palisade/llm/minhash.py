@@ -23,7 +23,7 @@ LOWEST = 2.0 ** -7
 #: Members of a bucket that one unit of comparison holds, of sets of up to ELEMENTS shingles; of larger ones fewer.
 BLOCK, ELEMENTS = 512, 4096
 #: Columns of a member of a unit.
-UNIT_SCHEMA = ("bucket long, vb int, qb int, kind int, band int, doc binary, class binary, largest binary, mark binary, "
+UNIT_SCHEMA = ("bucket long, vb int, qb int, kind int, band int, doc long, class long, largest long, mark binary, "
                "earlier array<bigint>")
 UNIT = [c.split()[0] for c in UNIT_SCHEMA.split(", ")]
 
@@ -161,7 +161,7 @@ def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
             made.insert(0, "doc", batch["doc"].to_numpy())
             yield made
 
-    return docs.select("doc", "text").mapInPandas(run, "doc binary, elements binary, weights binary")
+    return docs.select("doc", "text").mapInPandas(run, "doc long, elements binary, weights binary")
 
 
 def _similarity(xe: bytes, ye: bytes, xw: bytes | None, yw: bytes | None) -> float:
@@ -186,13 +186,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = [_similarity(*v) >= least for v in zip(b["xe"], b["ye"], b["xw"], b["yw"], strict=True)]
             yield b.loc[ok, ["doc", "center"]]
 
-    return both.select("doc", "center", "xe", "ye", "xw", "yw").mapInPandas(run, "doc binary, center binary")
+    return both.select("doc", "center", "xe", "ye", "xw", "yw").mapInPandas(run, "doc long, center long")
 
 
 class Linker:
     """Classes of shingle sets that grow as members of shared buckets are compared exactly.
 
-    A set is named by its digest (`doc`), so ids of documents play no part.
+    A set has a number of its own (`doc`); ids of documents play no part.
     """
 
     def __init__(self, documents: DataFrame, marks: DataFrame, sets: DataFrame, least: float):
@@ -253,7 +253,7 @@ class Linker:
         hopeful = keep(dealt.mapInPandas(_hopeful_members(bar), UNIT_SCHEMA))
         brought = hopeful.join(self.sets, "doc").select(*UNIT, "elements", "weights")
         brought = brought.repartition("bucket", "vb", "qb").sortWithinPartitions(*order)
-        self.link(brought.mapInPandas(_unit_links(bar, self.least), "doc binary, center binary"))
+        self.link(brought.mapInPandas(_unit_links(bar, self.least), "doc long, center long"))
 
 
 def _bar(least: float) -> float:
@@ -272,7 +272,7 @@ def _hopeful(pairs: DataFrame, marks: DataFrame, bar: float) -> DataFrame:
                 yield b.loc[(x == y).sum(axis=1) >= bar, ["doc", "center"]]
 
     return pairs.join(own, "doc").join(other, "center").select("doc", "center", "x", "y").mapInPandas(
-        run, "doc binary, center binary")
+        run, "doc long, center long")
 
 
 class _Side:
@@ -366,10 +366,10 @@ class _Sets:
 def _unit_links(bar: float, least: float):
     """Exact links of a unit that join two of its classes: a spanning forest of all of them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict[bytes, bytes] = {}
+        parent: dict[int, int] = {}
         sets = None
 
-        def root(c: bytes) -> bytes:
+        def root(c: int) -> int:
             while (up := parent.get(c, c)) != c:
                 parent[c] = parent.get(up, up)
                 c = up
@@ -404,21 +404,20 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, least: float,
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = keep(signed.where("set_key is not null").groupBy("set_key").agg(
         F.min(first).alias("first"), F.count("*").alias("copies"), F.first("bulk").alias("bulk"), F.first("bands").alias("bands"),
-        F.first("mark").alias("mark")))
+        F.first("mark").alias("mark")).withColumn("doc", F.monotonically_increasing_id()))  # fixed by the checkpoint
 
     # a bucket of one set can link nothing
-    places = distinct.select(F.col("set_key").alias("doc"), "bulk", F.posexplode("bands").alias("band", "bucket"))
+    places = distinct.select("doc", "bulk", F.posexplode("bands").alias("band", "bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(join_groups(places, keep(shared), ["bucket"], "size").where("size is not null").drop("size"))
-    used = keep(members.select("doc").distinct().join(distinct.withColumnRenamed("set_key", "doc"), "doc").select(
-        "doc", "mark", "bands", F.col("first.row").alias("row")))
+    used = keep(members.select("doc").distinct().join(distinct, "doc").select("doc", "mark", "bands", F.col("first.row").alias("row")))
     texts = rows.select("row", "text").join(used.select("row", "doc"), "row").dropDuplicates(["row"])
     linker = Linker(used.select("doc"), used.select("doc", "mark", "bands"), keep(_sets(texts, width, counted)), least)
     linker.stars(members)
     linker.across(members)
 
-    named = distinct.select("set_key", "copies", "first").join(
-        linker.classes.withColumnRenamed("doc", "set_key"), "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
+    named = distinct.select("doc", "set_key", "copies", "first").join(linker.classes, "doc", "left").withColumn(
+        "class", F.coalesce("class", "doc"))
     totals = named.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("best"))
     totals = totals.select("class", "class_size", F.col("best.doc_id").alias("class_id"), F.col("best.row").alias("stays"))
     named = join_groups(named.drop("first"), keep(totals), ["class"], "class_size")
