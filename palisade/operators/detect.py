@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -39,17 +40,41 @@ def flow_rules(cfg: FlowConfig = FlowConfig()) -> dict[str, Rule]:
     return {k: (lambda v, f=f: f(v, cfg)) for k, f in named.items()}
 
 
-def run_rules(rows: DataFrame, rules: dict[str, Rule]) -> RuleOutput:
-    """All detections of the rule set, one per fingerprint, with bucket members.
+class RuleSetOutput(NamedTuple):
+    detections: DataFrame
+    members: DataFrame  # detection_id, event_id
+    failed: DataFrame  # rule_id, error
 
-    A rule that cannot be planned is logged and skipped; the others still run.
+
+FAILED_DDL = "rule_id string, error string"
+#: Failures of the cluster rather than of a rule; a run that meets one has no complete result.
+_NOT_THE_RULES = ("SparkException", "Py4JNetworkError", "Py4JJavaError", "OSError", "MemoryError")
+
+
+def _is_rules_own(error: Exception) -> bool:
+    """Was it the rule that failed, in Python or in the analysis of its plan?"""
+    if isinstance(error, (OSError, MemoryError, ConnectionError)):
+        return False
+    kind = type(error).__name__
+    return kind not in _NOT_THE_RULES and "Job aborted" not in str(error) and "ExecutorLost" not in str(error)
+
+
+def run_rules(rows: DataFrame, rules: dict[str, Rule]) -> RuleSetOutput:
+    """All detections of the rule set, one per fingerprint, with bucket members and the rules that failed.
+
+    A rule that cannot be planned is logged and told in `failed`; the others still run. What Spark
+    itself fails at (lost executors, storage, memory) rises, since skipping a rule for it would lose
+    detections.
     """
-    found, members = [], []
+    found, members, failed = [], [], []
     for rule_id, rule in rules.items():
         try:
             out = rule(rows)
-        except Exception:  # noqa: BLE001
+        except Exception as error:  # noqa: BLE001
+            if not _is_rules_own(error):
+                raise
             log.exception("rule failed: %s", rule_id)
+            failed.append((rule_id, f"{type(error).__name__}: {error}"))
             continue
         if isinstance(out, RuleOutput):
             members.append(out.members)
@@ -61,4 +86,5 @@ def run_rules(rows: DataFrame, rules: dict[str, Rule]) -> RuleOutput:
     if not members:
         members = [spark.createDataFrame([], ddl("detection_id string, event_id string"))]
     unite = lambda frames: reduce(DataFrame.unionByName, frames)
-    return RuleOutput(unite(found).dropDuplicates(["fingerprint"]), unite(members).distinct())
+    return RuleSetOutput(unite(found).dropDuplicates(["fingerprint"]), unite(members).distinct(),
+                         spark.createDataFrame(failed, FAILED_DDL))

@@ -18,6 +18,7 @@ class Outcome(NamedTuple):
     detections: DataFrame
     members: DataFrame
     incidents: DataFrame
+    failed: DataFrame  # rule_id, error
 
 
 def endpoint_incidents(
@@ -29,7 +30,7 @@ def endpoint_incidents(
     out = run_rules(prepare_events(events), endpoint_rules(iocs, detect))
     dets = checkpointed(out.detections)
     incidents = checkpointed(correlate(dets, out.members, events, link))
-    return Outcome(dets, out.members, checkpointed(enrich(incidents, dets, techniques, risk)))
+    return Outcome(dets, out.members, checkpointed(enrich(incidents, dets, techniques, risk)), out.failed)
 
 
 def flow_incidents(
@@ -42,4 +43,4 @@ def flow_incidents(
     out = run_rules(flows, chosen)
     dets, members = checkpointed(out.detections), checkpointed(out.members)
     incidents = checkpointed(correlate(dets, members, None, link))
-    return Outcome(dets, members, checkpointed(enrich(incidents, dets, techniques, risk)))
+    return Outcome(dets, members, checkpointed(enrich(incidents, dets, techniques, risk)), out.failed)

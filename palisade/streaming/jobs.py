@@ -153,6 +153,7 @@ def chunk_step(rules: dict[str, Rule], folder: str, overlap_us: int) -> Callable
         out = run_rules(batch.unionByName(fresh).dropDuplicates(["event_id"]), rules)
         out.detections.write.mode("overwrite").parquet(f"{folder}/detections/batch={batch_id}")
         out.members.write.mode("overwrite").parquet(f"{folder}/members/batch={batch_id}")
+        out.failed.write.mode("overwrite").json(f"{folder}/failed/batch={batch_id}")
         batch.unionByName(held).where(F.col("ts_us") > newest - overlap_us).dropDuplicates(
             ["event_id"]).write.mode("overwrite").parquet(f"{folder}/carry/{batch_id}")
 

@@ -302,3 +302,25 @@ def test_case_transitions_in_runs(spark):
         row = next(r for r in one if r[:2] == (i, seq))
         assert row[3] == now[i] and row[4] == good
         now[i] = status if good else now[i]
+
+
+def test_failed_rules_are_told(spark):
+    """A broken rule is named and the others run; what is not the rule's fault rises."""
+    from palisade.operators.detect import run_rules
+
+    rows = make_events(spark, [auth(i, T0, "failed") for i in range(3)] + [auth(90, T0 + SECOND, "success")])
+    rules = {"AUTH-001": lambda e: endpoint.auth_001(e), "X-1": lambda e: e.select("no_such_column"), "X-2": lambda e: 1 / 0}
+    out = run_rules(rows, rules)
+    assert out.detections.count() == 1
+    assert {r.rule_id: r.error.split(":")[0] for r in out.failed.collect()} == {"X-1": "AnalysisException", "X-2": "ZeroDivisionError"}
+
+    def lost(_):
+        raise OSError("no space left")
+
+    def aborted(e):
+        return e.withColumn("x", F.raise_error(F.lit("gone"))).checkpoint()
+
+    with pytest.raises(OSError):
+        run_rules(rows, {"X-3": lost})
+    with pytest.raises(Exception, match="gone"):
+        run_rules(rows, {"X-4": aborted})
