@@ -845,29 +845,28 @@ def _sized(v):
 # --- streaming: the tables as file streams, drained to written results
 from palisade.streaming import jobs  # noqa: E402
 
-DELAY_US = 10 * MINUTE
-
-
 def stream(s, d, name):
     schema = bridge.table(s, d, name).schema
     return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-oracle.CTE["wm"] = f"SELECT max(ts_us) // 1000 * 1000 - {DELAY_US} AS w FROM flw"
-oracle.CTE["twm"] = f"SELECT max(ts_us) // 1000 * 1000 - {DELAY_US} AS w FROM tel"
 query("stream_ingest_dedup", osql("SELECT event_id FROM flw"))(lambda s, d: jobs.drain(
     jobs.ingest_dedup(bridge.flows_of(stream(s, d, "lineitem")), "10 minutes").select("event_id")))
+def closed(s, rows, job, last=lambda out: out):
+    """What a job over a stream and its closing mark wrote, without the mark's own rows."""
+    folder = jobs.work_folder(rows)
+    return last(jobs.drain(job(jobs.closable(rows, folder)), folder, rows.schema))
+
+
 query("stream_rate_buckets", osql("""SELECT coalesce(dip, 'GLOBAL') AS key, ts_us // 60000000 * 60000000 AS window_us, count(*) AS flows, sum(packets)::DOUBLE AS packets
-   FROM flw, wm WHERE ts_us // 60000000 * 60000000 + 60000000 <= w GROUP BY 1, 2"""))(lambda s, d: jobs.drain(
-    jobs.rate_buckets(jobs.ingest_dedup(bridge.flows_of(stream(s, d, "lineitem")), "10 minutes"), "60 seconds")))
-query("stream_ueba_features", osql("""SELECT usr AS entity_key, ts_us // 3600000000 * 3600000000 AS window_us, count(*) AS event_count,
-   count(*) FILTER (event_type = 'authentication') AS auth_event_count, count(*) FILTER (status = 'failed') AS failed_auth_count, coalesce(sum(sent), 0)::BIGINT AS outbound_bytes
-   FROM tel, twm WHERE ts_us // 3600000000 * 3600000000 + 3600000000 <= w GROUP BY 1, 2"""))(lambda s, d: jobs.drain(
-    jobs.user_features(bridge.telemetry_of(stream(s, d, "events")), "10 minutes")).drop("unique_source_ip_count"))
+   FROM flw GROUP BY 1, 2"""))(lambda s, d: closed(
+    s, bridge.flows_of(stream(s, d, "lineitem")), lambda r: jobs.rate_buckets(jobs.ingest_dedup(r, "10 minutes"), "60 seconds")))
+query("stream_ueba_features", osql("SELECT * FROM uobs"))(lambda s, d: closed(
+    s, bridge.telemetry_of(stream(s, d, "events")), lambda r: jobs.user_features(r, "10 minutes", UEBA), jobs.with_new_addresses))
 query("stream_brute_force", osql("""SELECT did AS detection_id, array_to_string(ev, ',') AS evidence, CAST(conf AS DOUBLE) AS confidence, last_us
-   FROM dets, twm WHERE rule_id = 'AUTH-001' AND last_us <= w"""))(lambda s, d: jobs.drain(
-    jobs.brute_force(bridge.telemetry_of(stream(s, d, "events")), "10 minutes")).select(
-    "detection_id", joined("evidence_event_ids").alias("evidence"), "confidence", us("last_seen").alias("last_us")))
+   FROM dets WHERE rule_id = 'AUTH-001'"""))(lambda s, d: closed(
+    s, bridge.telemetry_of(stream(s, d, "events")), lambda r: jobs.brute_force(r, "10 minutes"))
+    .select("detection_id", joined("evidence_event_ids").alias("evidence"), "confidence", us("last_seen").alias("last_us")))
 query("chunked_detect", osql(f"SELECT {oracle.DET_OUT} FROM fdets WHERE rule_id IN ('FLOW-002', 'FLOW-006')"))(
     lambda s, d: detection_rows(jobs.chunked_detect(
         jobs.ingest_dedup(bridge.flows_of(stream(s, d, "lineitem")), "10 minutes"),

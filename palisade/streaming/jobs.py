@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palisade.config import MINUTE, DetectConfig
+from palisade.config import MINUTE, UEBA_FEATURES, DetectConfig, UebaConfig
 from palisade.functions.core import blank, from_micros, micros, nz
 from palisade.functions.detection import detections
 from palisade.functions.state import ensure_checkpoint_dir
@@ -25,13 +26,55 @@ def work_folder(df: DataFrame) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Run an append stream over what is available now and read what it wrote."""
+#: A closing mark: an event of its own user, later than all others.
+CLOSING, CLOSING_US = "closing-mark", 7_258_118_400 * 1_000_000
+
+
+def closable(events: DataFrame, folder: str) -> DataFrame:
+    """The stream with room for closing marks, which are read from `folder`/marks.
+
+    A mark is later than any event, so once it is read the watermark passes all windows and waiting
+    rows, and a finite stream ends with everything emitted. What comes after a mark is late.
+    """
+    spark = events.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/marks")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    # state schemas are fixed by the first batch: no column may be less nullable than with marks
+    never = {f.name: F.nullif(F.col(f.name), F.lit(CLOSING)) for f in events.schema
+             if not f.nullable and isinstance(f.dataType, T.StringType)}
+    return events.withColumns(never).unionByName(spark.readStream.schema(events.schema).parquet(f"{folder}/marks"))
+
+
+def write_mark(spark: SparkSession, schema: T.StructType, folder: str) -> None:
+    told = {"event_id": F.lit(CLOSING), "user": F.lit(CLOSING), "event_type": F.lit("authentication"), "status": F.lit("success"),
+            "ts_us": F.lit(CLOSING_US), "timestamp": from_micros(F.lit(CLOSING_US))}
+    one = spark.range(1).select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    one.coalesce(1).write.mode("append").parquet(f"{folder}/marks")
+
+
+def drain(stream: DataFrame, folder: str | None = None, closing: T.StructType | None = None) -> DataFrame:
+    """Run an append stream over what is available now and read what it wrote.
+
+    With `closing`, the schema of a `closable` stream over the same folder, a mark is written after
+    the data and the stream runs on over it, so that open windows are emitted too. The rows that
+    came too late, by Spark's own count over the last batches, are in `folder`/late.
+    """
     folder = folder or work_folder(stream)
-    query = stream.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    spark = stream.sparkSession
+    late = 0
+    for last in (False, True) if closing is not None else (False,):
+        if last:
+            write_mark(spark, closing, folder)
+        query = stream.writeStream.format("parquet").outputMode("append").option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+        query.awaitTermination()
+        late += sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    spark.range(1).select(F.lit(late).cast("bigint").alias("rows")).coalesce(1).write.mode("overwrite").json(f"{folder}/late")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def late_rows(spark: SparkSession, folder: str) -> int:
+    return spark.read.schema("rows bigint").json(f"{folder}/late").first()["rows"]
 
 
 def _timed(events: DataFrame, delay: str) -> DataFrame:
@@ -42,7 +85,11 @@ def _timed(events: DataFrame, delay: str) -> DataFrame:
 
 
 def ingest_dedup(events: DataFrame, delay: str) -> DataFrame:
-    """First arrival of every event id within the lateness horizon."""
+    """First arrival of every event id within the lateness horizon.
+
+    Other streams start with this too: here each late row counts as one in Spark's metrics, which a
+    partial aggregation would blur.
+    """
     return _timed(events, delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -55,19 +102,39 @@ def rate_buckets(flows: DataFrame, width: str) -> DataFrame:
     return counted.select("key", F.unix_micros("window.start").alias("window_us"), "flows", "packets")
 
 
-def user_features(events: DataFrame, delay: str) -> DataFrame:
-    """Hourly behaviour counts per user; distinct addresses are approximate."""
-    rows = _timed(events.where(~blank("user")), delay)
+def user_features(events: DataFrame, delay: str, cfg: UebaConfig = UebaConfig()) -> DataFrame:
+    """Hourly behaviour of each user with the addresses of the hour, emitted when closed.
+
+    All features but the count of new addresses, which `with_new_addresses` adds to the output.
+    """
+    rows = ingest_dedup(events.where(~blank("user")), delay)
     auth = F.col("event_type") == "authentication"
-    status = F.lower(nz("status", ""))
-    return rows.groupBy(F.window("event_time", "1 hour"), "user").agg(
+    status, hour = F.lower(nz("status", "")), F.hour(from_micros("ts_us"))
+    target = F.when(~blank("destination_ip"), F.col("destination_ip")).when(~blank("domain"), F.col("domain"))
+    return rows.groupBy(F.window("event_time", f"{cfg.window_hours} hour"), "user").agg(
         F.count(F.lit(1)).alias("event_count"), F.count_if(auth).alias("auth_event_count"),
         F.count_if(auth & status.isin(*FAILED)).alias("failed_auth_count"),
-        F.sum(nz("bytes_sent")).alias("outbound_bytes"),
-        F.approx_count_distinct("source_ip").alias("unique_source_ip_count"),
-    ).select(F.col("user").alias("entity_key"), F.unix_micros("window.start").alias("window_us"),
-             "event_count", "auth_event_count", "failed_auth_count", "outbound_bytes",
-             "unique_source_ip_count")
+        F.count_if(auth & status.isin(*SUCCEEDED)).alias("successful_auth_count"),
+        F.collect_set(F.when(~blank("source_ip"), F.col("source_ip"))).alias("addresses"),
+        F.size(F.collect_set(target)).alias("unique_destination_count"),
+        F.count_if(F.col("event_type") == "dns_query").alias("dns_event_count"),
+        F.log1p(F.greatest(F.sum(nz("bytes_sent")), F.lit(0))).alias("outbound_bytes_log1p"),
+        F.count_if(F.col("event_type") == "process_creation").alias("process_event_count"),
+        F.count_if((hour < cfg.day_start_hour) | (hour >= cfg.day_end_hour)).alias("unusual_hour_event_count"),
+    ).select(F.col("user").alias("entity_key"), F.unix_micros("window.start").alias("window_us"), "event_count", "auth_event_count",
+             "failed_auth_count", "successful_auth_count", "addresses", "unique_destination_count", "dns_event_count",
+             "outbound_bytes_log1p", "process_event_count", "unusual_hour_event_count")
+
+
+def with_new_addresses(windows: DataFrame) -> DataFrame:
+    """The 12 features of emitted windows: an address is new in the first of its user's windows that has it."""
+    seen = windows.select("entity_key", "window_us", F.explode("addresses").alias("address"))
+    first = seen.groupBy("entity_key", "address").agg(F.min("window_us").alias("window_us"))
+    fresh = first.groupBy("entity_key", "window_us").agg(F.count(F.lit(1)).alias("fresh"))
+    whole = windows.join(fresh, ["entity_key", "window_us"], "left").withColumns({
+        "unique_source_ip_count": F.size("addresses"), "new_source_ip_count": nz("fresh"),
+        "failed_auth_ratio": F.when(F.col("auth_event_count") > 0, F.col("failed_auth_count") / F.col("auth_event_count")).otherwise(0.0)})
+    return whole.select("entity_key", "window_us", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in UEBA_FEATURES])
 
 
 def _brute_state(window_us: int, need: int):
@@ -78,13 +145,17 @@ def _brute_state(window_us: int, need: int):
         kept.sort()
         # Rows up to the watermark are final; later ones may still gain neighbours.
         done = state.getCurrentWatermarkMs() * 1000
-        fired = []
-        for at, (us, event_id, ok) in enumerate(kept):
-            if not ok or us > done:
+        fired, fail_us, fail_ids, first = [], [], [], 0
+        for us, event_id, ok in kept:
+            if not ok:
+                fail_us.append(us)
+                fail_ids.append(event_id)
                 continue
-            fails = [(u, e) for u, e, k in kept[:at] if not k and u >= us - window_us]
-            if len(fails) >= need:
-                fired.append((key[0], key[1], [e for _, e in fails], fails[0][0], event_id, us))
+            # successes come in order, so the window's first failure only moves on
+            while first < len(fail_us) and fail_us[first] < us - window_us:
+                first += 1
+            if us <= done and len(fail_us) - first >= need:
+                fired.append((key[0], key[1], fail_ids[first:], fail_us[first], event_id, us))
         rest = [r for r in kept if r[0] > done or (not r[2] and r[0] >= done - window_us)]
         waiting = [r[0] for r in rest if r[2]]
         if rest:
@@ -103,7 +174,7 @@ def brute_force(events: DataFrame, delay: str, cfg: DetectConfig = DetectConfig(
     a success is judged once the watermark has passed it."""
     host = F.when(blank("host"), F.lit("unknown")).otherwise(F.col("host"))
     anchor = F.when(blank("source_ip"), F.concat(F.lit("host:"), host)).otherwise(F.col("source_ip"))
-    rows = _timed(events.where(
+    rows = ingest_dedup(events.where(
         (F.col("event_type") == "authentication") & ~blank("user")
         & F.col("status").isin(*FAILED, *SUCCEEDED)), delay)
     rows = rows.select("user", anchor.alias("anchor"), "event_id", "ts_us", "event_time",
