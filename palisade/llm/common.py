@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffles and checkpoints that no table needs any more.
+
+    Spark deletes their files when the driver collects garbage, which otherwise happens by chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import join_groups, keep, row_key
+from palisade.llm.common import join_groups, keep, release, row_key
 from palisade.llm.hashing import U, chunks, mix, shingles
 from palisade.operators.components import connected_components
 
@@ -211,6 +211,7 @@ class Linker:
             self.documents.select(F.col("doc").alias("id")),
             links.select(F.col("doc").alias("src"), F.col("center").alias("dst")))
         self.classes = keep(merged.select(F.col("id").alias("doc"), F.col("component").alias("class")))
+        release(self.classes.sparkSession)
 
     def stars(self, members: DataFrame) -> None:
         """Compare each bucket's members with its least; the bands of a group mostly agree on that one."""
@@ -251,6 +252,7 @@ class Linker:
         dealt = everyone.select(*UNIT).unionByName(asking.select(*UNIT)).repartition("bucket", "vb", "qb").sortWithinPartitions(*order)
         bar = _bar(self.least)
         hopeful = keep(dealt.mapInPandas(_hopeful_members(bar), UNIT_SCHEMA))
+        release(hopeful.sparkSession)
         brought = hopeful.join(self.sets, "doc").select(*UNIT, "elements", "weights")
         brought = brought.repartition("bucket", "vb", "qb").sortWithinPartitions(*order)
         self.link(brought.mapInPandas(_unit_links(bar, self.least), "doc long, center long"))
@@ -412,7 +414,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, least: float,
     members = keep(join_groups(places, keep(shared), ["bucket"], "size").where("size is not null").drop("size"))
     used = keep(members.select("doc").distinct().join(distinct, "doc").select("doc", "mark", "bands", F.col("first.row").alias("row")))
     texts = rows.select("row", "text").join(used.select("row", "doc"), "row").dropDuplicates(["row"])
-    linker = Linker(used.select("doc"), used.select("doc", "mark", "bands"), keep(_sets(texts, width, counted)), least)
+    sets = keep(_sets(texts, width, counted))
+    release(docs.sparkSession)
+    linker = Linker(used.select("doc"), used.select("doc", "mark", "bands"), sets, least)
     linker.stars(members)
     linker.across(members)
 
