@@ -110,8 +110,11 @@ def case_notes(notes: DataFrame) -> DataFrame:
                         body.alias("body"), refused.alias("refused"))
 
 
-def case_activity(transitions: DataFrame, assignments: DataFrame, notes: DataFrame) -> DataFrame:
-    """One activity row per accepted change."""
+def case_activity(transitions: DataFrame, assignments: DataFrame, notes: DataFrame, actors: DataFrame | None = None) -> DataFrame:
+    """One activity row per accepted change, with who made it.
+
+    `actors` (incident_id, seq, actor) names who asked for a change; a note's actor is its author.
+    """
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
     rows = (
@@ -122,7 +125,12 @@ def case_activity(transitions: DataFrame, assignments: DataFrame, notes: DataFra
             "incident_id", "seq", "action", text("before").alias("from_value"), text("assignee").alias("to_value")))
         .unionByName(notes.where("refused IS NULL").select(
             "incident_id", "seq", F.lit("NOTE_ADDED").alias("action"), none.alias("from_value"),
-            F.col("note_id").alias("to_value")))
+            F.col("note_id").alias("to_value"), text("author").alias("actor")), allowMissingColumns=True)
     )
+    if actors is not None:
+        asked = actors.select("incident_id", "seq", F.nullif(F.trim("actor"), F.lit("")).alias("asked_by"))
+        noted = F.col("action") == "NOTE_ADDED"
+        rows = rows.join(asked, ["incident_id", "seq"], "left").withColumn(
+            "actor", F.when(noted, F.col("actor")).otherwise(F.col("asked_by"))).drop("asked_by")
     return rows.withColumn("activity_id", uuid5(ACTIVITY_NAMESPACE, F.concat_ws(
         "|", "incident_id", F.col("seq").cast("string"), "action")))

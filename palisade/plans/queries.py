@@ -666,10 +666,14 @@ oracle.CTE["nts"] = """SELECT incident_id, seq, 'note-' || substr(md5(incident_i
    CASE WHEN trim(body) = '' THEN 'invalid note body: expected non-empty plain text'
         WHEN length(trim(body)) > 5000 THEN 'invalid note body: exceeds 5000 characters' END AS refused FROM req"""
 query("case_notes", osql("SELECT * FROM nts"))(lambda s, d: cases.case_notes(requests(s, d)).drop("body"))
-query("case_activity", osql("""SELECT incident_id, seq, 'STATUS_CHANGED' AS action, before AS from_value, after AS to_value FROM walk WHERE accepted
-   UNION ALL SELECT incident_id, seq, action, before, assignee FROM asg UNION ALL SELECT incident_id, seq, 'NOTE_ADDED', NULL, note_id FROM nts WHERE refused IS NULL"""))(
-    lambda s, d: cases.case_activity(cases.case_transitions(requests(s, d)), cases.case_assign(requests(s, d)),
-                                     cases.case_notes(requests(s, d))).drop("activity_id"))
+query("case_activity", osql("""SELECT incident_id, seq, 'STATUS_CHANGED' AS action, before AS from_value, after AS to_value,
+     'soc-' || incident_id || '-' || (seq % 2) AS actor FROM walk WHERE accepted
+   UNION ALL SELECT incident_id, seq, action, before, assignee, 'soc-' || incident_id || '-' || (seq % 2) FROM asg
+   UNION ALL SELECT incident_id, seq, 'NOTE_ADDED', NULL, note_id, author FROM nts WHERE refused IS NULL"""))(
+    lambda s, d: cases.case_activity(
+        cases.case_transitions(requests(s, d)), cases.case_assign(requests(s, d)), cases.case_notes(requests(s, d)),
+        requests(s, d).withColumn("actor", F.concat_ws("-", F.lit(" soc"), "incident_id", (F.col("seq") % 2).cast("string")))
+    ).drop("activity_id"))
 oracle.CTE["inotes"] = """SELECT i.iid, q.incident_id || '/' || q.seq AS mark, q.note_id, q.body FROM c_inc i JOIN
    (SELECT r.incident_id, r.seq, n.note_id, trim(r.body) AS body FROM req r JOIN nts n USING (incident_id, seq) WHERE n.refused IS NULL) q
    ON ('0x' || substr(i.iid, 1, 2))::BIGINT = CAST(substr(q.incident_id, 5) AS BIGINT) % 256"""
@@ -819,6 +823,10 @@ query("dataset_profile", osql("""SELECT count(*) AS rows_read, count(*) FILTER (
    FROM (SELECT *, n % 41 <> 0 AND n % 43 <> 0 AS ok FROM fn)"""))(
     lambda s, d: flowcsv.dataset_profile(flowcsv.adapt_flow_2018(_rows_2018(s, d))).withColumns(
         {"first_us": us("first_seen"), "last_us": us("last_seen")}).drop("first_seen", "last_seen"))
+query("dataset_value_counts", osql("""SELECT 'event_type' AS kind, 'network_connection' AS value, count(*) AS n FROM fn WHERE n % 41 <> 0 AND n % 43 <> 0
+   UNION ALL SELECT 'label', coalesce(nullif(trim(label), ''), '<empty>'), count(*) FROM fn WHERE n % 41 <> 0 AND n % 43 <> 0 GROUP BY 2
+   UNION ALL SELECT 'reject_code', CASE WHEN n % 41 = 0 THEN 'bad_timestamp' ELSE 'bad_port' END, count(*) FROM fn WHERE n % 41 = 0 OR n % 43 = 0 GROUP BY 2"""))(
+    lambda s, d: flowcsv.value_counts(flowcsv.adapt_flow_2018(_rows_2018(s, d)), F.col("label")).withColumnRenamed("rows", "n"))
 query("reject_reasons", osql("""SELECT reject_code, count(*) AS n FROM (SELECT CASE WHEN n % 41 = 0 THEN 'bad_timestamp' WHEN n % 43 = 0 THEN 'bad_port' END AS reject_code FROM fn)
    WHERE reject_code IS NOT NULL GROUP BY 1"""))(
     lambda s, d: flowcsv.reject_reasons(flowcsv.adapt_flow_2018(_rows_2018(s, d))).withColumnRenamed("rows", "n"))

@@ -224,6 +224,21 @@ def dataset_profile(adapted: DataFrame) -> DataFrame:
         F.count_distinct(F.when(ok, F.col("event_id"))).alias("distinct_ids"))
 
 
+def value_counts(adapted: DataFrame, label: Column | None = None) -> DataFrame:
+    """(kind, value, rows): usable rows by event type and by the label as it was read, or as `label` says,
+    rejected ones by reason.
+
+    Each row is counted under its kinds by one partial aggregation; an empty label reads `<empty>`.
+    """
+    ok = F.col("reject_code").isNull()
+    label = F.get_json_object("raw_event", "$.evaluation_only.label") if label is None else label
+    kinds = F.filter(F.array(
+        F.struct(F.lit("event_type").alias("kind"), F.when(ok, F.coalesce("event_type", F.lit("?"))).alias("value")),
+        F.struct(F.lit("label").alias("kind"), F.when(ok, F.coalesce(F.nullif(label, F.lit("")), F.lit("<empty>"))).alias("value")),
+        F.struct(F.lit("reject_code").alias("kind"), F.col("reject_code").alias("value"))), lambda k: k["value"].isNotNull())
+    return adapted.select(F.explode(kinds).alias("k")).groupBy("k.kind", "k.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def reject_reasons(adapted: DataFrame) -> DataFrame:
     return adapted.where(F.col("reject_code").isNotNull()).groupBy("reject_code").agg(
         F.count(F.lit(1)).alias("rows"))

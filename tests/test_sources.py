@@ -127,3 +127,10 @@ def test_append_events_lets_storage_errors_rise(spark, tmp_path):
     (tmp_path / "broken").write_text("no table")
     with pytest.raises(Exception):  # noqa: B017
         ingest.append_events(rows, str(tmp_path / "broken"))
+
+
+def test_values_are_counted_as_read(spark):
+    rows = [("network_connection", '{"evaluation_only": {"label": "BENIGN"}}', None), ("network_connection", '{"evaluation_only": {"label": ""}}', None),
+            ("network_connection", '{"evaluation_only": {"label": "Bot"}}', "bad_port"), ("network_connection", "{}", None)]
+    got = flowcsv.value_counts(spark.createDataFrame(rows, "event_type string, raw_event string, reject_code string")).collect()
+    assert {tuple(r) for r in got} == {("event_type", "network_connection", 3), ("label", "BENIGN", 1), ("label", "<empty>", 2), ("reject_code", "bad_port", 1)}
