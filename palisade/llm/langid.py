@@ -19,6 +19,10 @@ WIDTH, SYMBOLS, ORDER, SEED = 1024, 40, 3, 8
 UNIT = 1_000_000
 
 
+#: Texts that a task holds as Python strings at once.
+ROWS = 500
+
+
 @lru_cache(maxsize=1)
 def alphabet() -> np.ndarray:
     """Symbol of each code point: a-z have one each, other letters share the rest by a hash."""
@@ -141,8 +145,10 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [nearest(t, shared.value) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):  # so that few texts are Python strings at once
+                batch = whole.slice(at, ROWS)
+                found = [nearest(t, shared.value) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
