@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.config import RiskConfig
-from palisade.functions.core import doublings, nz
+from palisade.functions.core import doublings, exact_mean, nz
 
 PARTS = ("severity_points", "diversity_points", "confidence_points", "evidence_points",
          "sequence_points", "mitre_points", "contextual_points")
@@ -53,7 +53,7 @@ def score_risk(
     transfer = F.least(
         cfg.transfer_min + cfg.transfer_step * doublings(sent, limit), F.lit(cfg.transfer_max))
     facts = members.groupBy("incident_id").agg(
-        F.count_distinct("rule_id").alias("rules"), F.avg("confidence").alias("mean"),
+        F.count_distinct("rule_id").alias("rules"), exact_mean("confidence").alias("mean"),
         F.max(m["matched_ioc"].isNotNull()).alias("ioc"),
         F.max(F.col("rule_id").isin("PROC-001", "PROC-002")).alias("proc"),
         F.max(F.when(data, transfer)).alias("transfer"), F.max(F.when(data, sent)).alias("biggest"),

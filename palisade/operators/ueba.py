@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.config import HOUR, UEBA_FEATURES, UebaConfig
-from palisade.functions.core import blank, from_micros, nz
+from palisade.functions.core import blank, from_micros, nz, two_decimals
 from palisade.functions.quantiles import order_statistics, quantile
 from palisade.functions.state import pin
 from palisade.operators.endpoint import FAILED, SUCCEEDED
@@ -290,9 +290,9 @@ def attach(incidents: DataFrame, scored: DataFrame | None, members: DataFrame |
     reason = (
         F.when(hit, F.format_string(
             "UEBA behavioral anomaly evidence for user '%s': %d overlapping hourly observation(s), "
-            "%d flagged anomalous, peak score %.2f at %s. Behavior is %s relative to the learned "
+            "%d flagged anomalous, peak score %s at %s. Behavior is %s relative to the learned "
             "baseline; this is analyst context, not proof of compromise.",
-            user, F.col("windows"), F.col("flagged"), F.col("score"),
+            user, F.col("windows"), F.col("flagged"), two_decimals(F.col("score"), 4),
             F.date_format(from_micros("peak_us"), "yyyy-MM-dd'T'HH:mm:ss"),
             F.when(F.col("flag"), "behaviorally anomalous").otherwise("not anomalous")))
         .when(blank(user), F.lit(
