@@ -1,9 +1,20 @@
 """Results that may not depend on how many rows there are, and work that may not outgrow its use."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from palisade.functions.core import two_decimals
 from palisade.operators import risk
+from palisade.sources import bridge
+
+
+def test_repeated_lines_are_dropped_before_they_are_flows(spark, sf, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{sf}/lineitem.parquet' UNION ALL SELECT * FROM '{sf}/lineitem.parquet' WHERE l_orderkey % 3 = 0) "
+               f"TO '{tmp_path}/lineitem.parquet'")
+    once, again = bridge.flows(spark, sf), bridge.flows(spark, str(tmp_path))
+    shuffled = [x for x in again._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert shuffled and all("l_orderkey" in x and "event_id" not in x for x in shuffled)  # numbers travel, not text
+    assert once.count() == again.count() and once.exceptAll(again).isEmpty()
 
 
 def test_confidence_points_of_ties_do_not_depend_on_sums_of_fractions(spark):
