@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from palisade.config import CorrelateConfig, DetectConfig, FlowConfig, RiskConfig
 from palisade.functions.state import checkpointed
 from palisade.operators.correlate import correlate
-from palisade.operators.detect import endpoint_rules, flow_rules, run_rules
+from palisade.operators.detect import RuleSetOutput, endpoint_rules, flow_rules, run_rules
 from palisade.operators.endpoint import prepare_events
 from palisade.operators.risk import enrich
 
 
-class Outcome(NamedTuple):
-    detections: DataFrame
-    members: DataFrame
-    incidents: DataFrame
-    failed: DataFrame  # rule_id, error
+class Outcome:
+    """What a job finds. Each part is made once, when it is first asked for: who only wants detections
+    neither stores bucket members nor links."""
+
+    def __init__(self, found: RuleSetOutput, events: DataFrame | None, techniques: DataFrame,
+                 link: CorrelateConfig, risk: RiskConfig):
+        self.failed = found.failed  # rule_id, error
+        self._found, self._events, self._techniques, self._link, self._risk = found, events, techniques, link, risk
+
+    @cached_property
+    def detections(self) -> DataFrame:
+        return checkpointed(self._found.detections)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return checkpointed(self._found.members)
+
+    @cached_property
+    def incidents(self) -> DataFrame:
+        incidents = checkpointed(correlate(self.detections, self.members, self._events, self._link))
+        return checkpointed(enrich(incidents, self.detections, self._techniques, self._risk))
 
 
 def endpoint_incidents(
@@ -27,10 +43,7 @@ def endpoint_incidents(
     risk: RiskConfig = RiskConfig(),
 ) -> Outcome:
     """Endpoint telemetry -> detections -> enriched incidents."""
-    out = run_rules(prepare_events(events), endpoint_rules(iocs, detect))
-    dets = checkpointed(out.detections)
-    incidents = checkpointed(correlate(dets, out.members, events, link))
-    return Outcome(dets, out.members, checkpointed(enrich(incidents, dets, techniques, risk)), out.failed)
+    return Outcome(run_rules(prepare_events(events), endpoint_rules(iocs, detect)), events, techniques, link, risk)
 
 
 def flow_incidents(
@@ -40,7 +53,4 @@ def flow_incidents(
 ) -> Outcome:
     """Network flows -> detections -> enriched incidents."""
     chosen = {k: r for k, r in flow_rules(detect).items() if rules is None or k in rules}
-    out = run_rules(flows, chosen)
-    dets, members = checkpointed(out.detections), checkpointed(out.members)
-    incidents = checkpointed(correlate(dets, members, None, link))
-    return Outcome(dets, members, checkpointed(enrich(incidents, dets, techniques, risk)), out.failed)
+    return Outcome(run_rules(flows, chosen), None, techniques, link, risk)

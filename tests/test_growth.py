@@ -4,8 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from palisade.functions.core import two_decimals
-from palisade.operators import risk
-from palisade.sources import bridge
+from palisade.operators import flow, risk
+from palisade.plans import pipeline
+from palisade.sources import bridge, catalogs
 
 
 def test_repeated_lines_are_dropped_before_they_are_flows(spark, sf, tmp_path):
@@ -32,3 +33,23 @@ def test_two_decimals_of_scores_with_four(spark):
     values = [k / 10000 for k in range(10001)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_decimals(F.col("v"), 4).alias("t")).collect()
     assert all(r.t == f"{r.v:.2f}" for r in rows)
+
+
+def test_detections_are_found_without_members_or_incidents(spark, sf, monkeypatch):
+    def linked(*_):
+        raise AssertionError("linked")
+    monkeypatch.setattr(pipeline, "correlate", linked)
+    monkeypatch.setattr(pipeline, "enrich", linked)
+    out = pipeline.flow_incidents(bridge.flows(spark, sf), catalogs.techniques(spark), rules=("FLOW-005",))
+    assert out.detections.count() >= 0 and "members" not in vars(out) and "incidents" not in vars(out)
+
+
+def test_flows_stay_where_they_are_when_targets_are_few(spark, sf):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "20000")  # far below the table, far above its targets
+    try:
+        plan = flow.anchored_buckets(bridge.flows(spark, sf), 60)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
