@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from palisade.config import MINUTE, SECOND, FlowConfig
 from palisade.functions.core import blank
 from palisade.functions.detection import detections
-from palisade.functions.state import pin
+from palisade.functions.state import counted, pin
 from palisade.operators.flow import RuleOutput, probe
 
 KEYS = ["source_ip", "run", "part"]
@@ -49,6 +49,7 @@ def scan_slots(flows: DataFrame, width_us: int, need: int) -> DataFrame:
         .withColumn("run_rows", F.sum("size").over(W.partitionBy("source_ip", "run")))
         .select("source_ip", "slot", "run", "place", "run_rows")
     )
+    live = counted(live)
     return rows.join(live, ["source_ip", "slot"])
 
 
@@ -193,7 +194,8 @@ def flow_003(
     )
     # A trailing group that only borrowed rows has nothing of its own to fire.
     owned = rows.where("own").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    long_runs = owned.where("part > 0").select("source_ip", "run").distinct()
+    # counted: where no run is long, as is usual, no row is dealt by run for nothing
+    long_runs = counted(owned.where("part > 0").select("source_ip", "run").distinct())
     key_ddl = "source_ip string, run bigint, part bigint"
     tables = pin(
         rows.join(long_runs, ["source_ip", "run"], "left_semi")

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from palisade.config import CorrelateConfig, DetectConfig, FlowConfig, RiskConfig
-from palisade.functions.state import checkpointed
+from palisade.functions.state import checkpointed, pin
 from palisade.operators.correlate import correlate
 from palisade.operators.detect import RuleSetOutput, endpoint_rules, flow_rules, run_rules
 from palisade.operators.endpoint import prepare_events
@@ -29,7 +29,9 @@ class Outcome:
 
     @cached_property
     def members(self) -> DataFrame:
-        return checkpointed(self._found.members)
+        """(detection_id, event_id). A rule puts an event in one bucket, so rows are distinct where events are, without
+        a shuffle."""
+        return pin(self._found.members)
 
     @cached_property
     def incidents(self) -> DataFrame:

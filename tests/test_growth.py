@@ -53,3 +53,38 @@ def test_flows_stay_where_they_are_when_targets_are_few(spark, sf):
     finally:
         spark.conf.set(limit, before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_members_of_buckets_are_not_dealt_once_more(spark, sf):
+    from palisade.operators.detect import flow_rules, run_rules
+    rules = {k: r for k, r in flow_rules().items() if k == "FLOW-005"}
+    plan = run_rules(bridge.flows(spark, sf), rules).members._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(detection_id" not in plan
+
+
+def test_flow_detections_are_described_without_a_join_or_evidence_in_links(spark):
+    from palisade.operators import correlate
+    dets = spark.createDataFrame([("d", "FLOW-001")], "detection_id string, rule_id string").selectExpr(
+        "*", "array('e') AS evidence_event_ids", "TIMESTAMP_NTZ'2026-09-03 00:00:00' AS first_seen",
+        "TIMESTAMP_NTZ'2026-09-03 00:00:00' AS last_seen",
+        "named_struct('user', CAST(NULL AS string), 'host', CAST(NULL AS string), 'anchor', CAST(NULL AS string), 'key', '10.0.0.1', 'source_ip', "
+        "CAST(NULL AS string), 'mode', CAST(NULL AS string), 'protocol', CAST(NULL AS string), 'destination_port', CAST(NULL AS int)) AS metadata")
+    described = correlate.describe(dets)
+    assert "Join" not in described._jdf.queryExecution().executedPlan().toString()
+    got = described.first()
+    assert (got.user, got.host, got.net.a) == (None, None, "10.0.0.1")
+
+
+def test_window_counts_with_slots_that_hold_no_short_flow(spark):
+    """Long flows just before a slot full of short ones belong to the window, those of a quiet service to none."""
+    from palisade.config import FlowConfig
+    minute = 60_000_000
+    at = lambda n, us, port, short: (f"e{n:03d}", us, "10.0.0.1", port, 10, 0, 1.0 if short else 0.0, 0.0)
+    rows = [at(n, 4 * minute + n, 22, False) for n in range(3)] + [at(10 + n, 6 * minute + n, 22, True) for n in range(6)]
+    rows += [at(100 + n, n * 20 * minute, 80, True) for n in range(9)]
+    flows = spark.createDataFrame(rows, "event_id string, ts_us bigint, destination_ip string, destination_port int, "
+                                        "bytes_sent bigint, bytes_received bigint, syn double, ack double")
+    got = flow.flow_002(flows, FlowConfig(brute_min_flows=6)).detections.collect()
+    assert [(len(d.evidence_event_ids), d.metadata.window_count) for d in got] == [(6, 9)]
+    keyed = flows.selectExpr("event_id", "ts_us", "CAST(destination_port AS string) AS key", "syn > ack AS short")
+    assert {r.key for r in flow._live_slots(keyed, 5 * minute, 6).collect()} == {"22"}
