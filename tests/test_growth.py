@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from palisade.functions.core import two_decimals
-from palisade.operators import flow, risk
+from palisade.operators import flow, investigate, risk
 from palisade.plans import pipeline
 from palisade.sources import bridge, catalogs
 
@@ -62,8 +62,12 @@ def test_members_of_buckets_are_not_dealt_once_more(spark, sf):
     assert "hashpartitioning(detection_id" not in plan
 
 
-def test_flow_detections_are_described_without_a_join_or_evidence_in_links(spark):
+def test_flow_detections_are_described_without_a_join_or_a_copy(spark, monkeypatch):
     from palisade.operators import correlate
+
+    def copied(_):
+        raise AssertionError("copied")
+    monkeypatch.setattr(correlate, "checkpointed", copied)
     dets = spark.createDataFrame([("d", "FLOW-001")], "detection_id string, rule_id string").selectExpr(
         "*", "array('e') AS evidence_event_ids", "TIMESTAMP_NTZ'2026-09-03 00:00:00' AS first_seen",
         "TIMESTAMP_NTZ'2026-09-03 00:00:00' AS last_seen",
@@ -88,3 +92,57 @@ def test_window_counts_with_slots_that_hold_no_short_flow(spark):
     assert [(len(d.evidence_event_ids), d.metadata.window_count) for d in got] == [(6, 9)]
     keyed = flows.selectExpr("event_id", "ts_us", "CAST(destination_port AS string) AS key", "syn > ack AS short")
     assert {r.key for r in flow._live_slots(keyed, 5 * minute, 6).collect()} == {"22"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _incident(spark):
+    incidents = spark.sql("SELECT 'i' AS incident_id, array('d') AS detection_ids, array('e1', 'e2', 'e3') AS evidence_event_ids, "
+                          "named_struct('rule_ids', array('AUTH-002', 'NET-002')) AS metadata, CAST(array() AS "
+                          "array<struct<technique_id: string, source_rule_id: string>>) AS mitre_techniques")
+    dets = spark.sql("SELECT 'd' AS detection_id, 'AUTH-002' AS rule_id, 'x' AS rule_name, 'LOW' AS severity, 0.5D AS confidence, "
+                     "TIMESTAMP_NTZ'2026-09-03 00:00:00' AS first_seen, TIMESTAMP_NTZ'2026-09-03 00:00:00' AS last_seen, "
+                     "array('e1', 'e2') AS evidence_event_ids")
+    return incidents, dets
+
+
+def test_timeline_writes_the_size_of_evidence_in_its_place(spark):
+    lines = investigate.timeline(*_incident(spark), spark.createDataFrame([], "detection_id string, event_id string"))
+    assert lines.first().evidence_count == 2 and "evidence_event_ids" not in _plan(lines)
+
+
+def test_shared_notes_are_listed_once_for_all_their_incidents(spark):
+    lines = spark.createDataFrame([("a1", 1, "d1"), ("a2", 2, "d3"), ("a2", 1, "d2"), ("b1", 1, "d4")], "incident_id string, position int, detection_id string")
+    notes = spark.createDataFrame([("a", "n2", "2", "long text"), ("a", "n1", "1", "text")], "key string, note_id string, created_at string, body string")
+    out = investigate.context_bound(lines, notes, note_key=F.substring("incident_id", 1, 1))
+    got = {r.incident_id: (r.timeline_total, r.timeline, [n.note_id for n in r.notes or ()], r.note_count) for r in out.collect()}
+    assert got == {"a1": (1, ["d1"], ["n1", "n2"], 2), "a2": (2, ["d2", "d3"], ["n1", "n2"], 2), "b1": (1, ["d4"], [], 0)}
+
+
+def test_stages_of_a_story_are_told_after_the_events_are_met(spark):
+    events = spark.sql("SELECT * FROM VALUES ('e1', TIMESTAMP_NTZ'2026-09-03 00:00:02', 'authentication'), ('e2', "
+                       "TIMESTAMP_NTZ'2026-09-03 00:00:01', 'dns_query'), ('e3', TIMESTAMP_NTZ'2026-09-03 00:00:03', 'process_creation') "
+                       "AS t(event_id, timestamp, event_type)")
+    story = investigate.attack_story(_incident(spark)[0], events)
+    assert {(r.ord, r.stage, r.events) for r in story.collect()} == {
+        (0, "Authentication anomalies", 1), (2, "Suspicious network activity", 1)}
+    joins = _plan(story).split("Join", 1)[1]
+    assert "Authentication anomalies" not in joins
+
+
+def test_chunks_carry_where_recent_rows_landed_and_no_copy_of_them(spark, tmp_path):
+    from palisade.schema import DETECTION_DDL, ddl
+    from palisade.streaming import jobs
+    seen = []
+
+    def rule(rows):
+        seen.append(sorted(r.event_id for r in rows.collect()))
+        return spark.createDataFrame([], ddl(DETECTION_DDL))
+    step = jobs.chunk_step({"X-1": rule}, str(tmp_path), 50)
+    for n, batch in enumerate(([("e1", 0), ("e2", 100)], [("e2", 100), ("e3", 120), ("e3", 120)], [("e4", 160)], [("e5", 400)])):
+        step(spark.createDataFrame(batch, "event_id string, ts_us bigint").withColumn("event_time", F.lit(None)), n)
+    assert seen == [["e1", "e2"], ["e2", "e3"], ["e3", "e4"], ["e5"]]
+    carried = [tuple(r) for r in spark.read.schema("batch bigint, newest bigint, cut bigint").json(f"{tmp_path}/carry/2").orderBy("batch").collect()]
+    assert carried == [(1, 120, 110), (2, 160, 110)]
