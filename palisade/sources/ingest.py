@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from palisade.functions.core import blank, nz
+from palisade.functions.state import pin
 from palisade.operators.intel import with_address
 from palisade.operators.text import SECRETS
 from palisade.schema import EVENT_COLUMNS
@@ -55,9 +56,12 @@ def validate_contract(submitted: DataFrame) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
+def _tidy(c: str) -> Column:
+    return F.nullif(F.trim(F.col(c)), F.lit(""))
+
+
 def normalize_event(valid: DataFrame) -> DataFrame:
     """Canonical columns of checked submissions; the raw payload stays as it came."""
-    tidy = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     shape = {"event_type": F.lower, "file_hash": F.lower, "domain": F.lower, "status": F.lower,
              "protocol": F.upper}
     out = []
@@ -67,9 +71,9 @@ def normalize_event(valid: DataFrame) -> DataFrame:
         elif name == "raw_event":
             col = F.col("raw_event")
         elif name in ("source_ip", "destination_ip"):
-            col = F.coalesce(F.col(f"_{name}"), tidy(name))
+            col = F.coalesce(F.col(f"_{name}"), _tidy(name))
         elif kind == "string":
-            col = shape.get(name, lambda x: x)(tidy(name))
+            col = shape.get(name, lambda x: x)(_tidy(name))
         else:
             col = F.col(name).cast(kind)
         out.append(col.alias(name))
@@ -95,10 +99,10 @@ def split_new(events: DataFrame, stored: DataFrame | None, arrival: str = "arriv
 
 def batch_report(submitted: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Per submitted item: created, duplicate or rejected. Needs an `arrival` column."""
-    checked = validate_contract(submitted)
-    bad = F.size("errors") > 0
-    good = split_new(normalize_event(checked.where(~bad)).select("event_id", "arrival"), stored)
-    rejected = checked.where(bad).select("event_id", "arrival", F.lit("rejected").alias("status"))
+    # kept, so that each item is checked once, and not again for either kind and within its filter
+    checked = pin(validate_contract(submitted).select("event_id", "arrival", (F.size("errors") > 0).alias("bad")))
+    good = split_new(checked.where("NOT bad").select(_tidy("event_id").alias("event_id"), "arrival"), stored)
+    rejected = checked.where("bad").select("event_id", "arrival", F.lit("rejected").alias("status"))
     return good.select("event_id", "arrival", "status").unionByName(rejected)
 
 

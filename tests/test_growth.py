@@ -146,3 +146,31 @@ def test_chunks_carry_where_recent_rows_landed_and_no_copy_of_them(spark, tmp_pa
     assert seen == [["e1", "e2"], ["e2", "e3"], ["e3", "e4"], ["e5"]]
     carried = [tuple(r) for r in spark.read.schema("batch bigint, newest bigint, cut bigint").json(f"{tmp_path}/carry/2").orderBy("batch").collect()]
     assert carried == [(1, 120, 110), (2, 160, 110)]
+
+
+def test_submissions_are_checked_once(spark):
+    from palisade.sources import ingest
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def marked(text):
+        told.add(1)
+        return text
+    rows = [(n, None if n % 5 == 0 else f" e{n // 2} ") for n in range(40)]
+    submitted = spark.createDataFrame(rows, "arrival int, event_id string").selectExpr(
+        "*", "'2026-09-03T00:00:00Z' AS timestamp", "'authentication' AS event_type", "'windows' AS source", "CAST(NULL AS string) AS host",
+        "CAST(NULL AS string) AS user", "'10.0.0.1' AS source_ip", "CAST(NULL AS string) AS destination_ip", "CAST(NULL AS string) AS destination_port",
+        "CAST(NULL AS string) AS protocol", "CAST(NULL AS string) AS process_name", "CAST(NULL AS string) AS parent_process",
+        "CAST(NULL AS string) AS command_line", "CAST(NULL AS string) AS file_hash", "CAST(NULL AS string) AS domain", "CAST(NULL AS string) AS url",
+        "CAST(NULL AS bigint) AS bytes_sent", "CAST(NULL AS bigint) AS bytes_received", "'{}' AS raw_event").withColumn("status", marked(F.lit("started")))
+    got = {(r.status, r.event_id): r.n for r in ingest.batch_report(submitted).groupBy("status", "event_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert told.value == 40
+    assert got[("rejected", None)] == 8 and got[("created", "e1")] == got[("duplicate", "e1")] == 1 and sum(got.values()) == 40
+
+
+def test_events_are_kept_as_numbers_and_dealt_before_rules_work_on_them(spark, sf):
+    from palisade.plans import queries
+    stored, plain = queries.telemetry(spark, sf), bridge.telemetry(spark, sf)
+    plan = _plan(stored)
+    assert "InMemoryTableScan" in plan and "hashpartitioning(number" in plan
+    assert stored.schema.names == plain.schema.names and stored.count() == plain.count() and stored.exceptAll(plain).isEmpty()
