@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ WINDOW, SHARD, TERMS = 4096, 1 << 20, 16
 K1, B = 1.2, 0.75
 #: Words a worker remembers the ids of; further ones are encoded where they are met.
 REMEMBERED = 250_000
+#: Bytes of text whose words are looked up together, and texts at most.
+TOGETHER, TEXTS = 1 << 22, 2000
 
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -31,10 +34,9 @@ class Encoder:
     lower-cases; so words are looked up without case and stops, and each is encoded once while the
     memory lasts. Words to encode are joined, and parted again at the ids that end a word. Texts
     beyond Latin-1 are parted at white space only, and all but plain words encoded one by one.
+    Columns of texts are parted and numbered by Arrow, so Python meets distinct words only.
     """
 
-    _stop = re.compile(r"(?<=[a-zà-öø-ÿ])([.,;:])(?=[ \n])")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -62,33 +64,54 @@ class Encoder:
                 out.update((w, i.tobytes()) for w, i in zip(group, self._encode_all(group), strict=True))
         return out
 
-    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if w.isalpha()]
         odd = [w for w in words if not w.isalpha()]
         found = self._spell(plain)
         found.update((w, i.tobytes()) for w, i in zip(odd, self._encode_all(odd), strict=True))
         return found
 
-    def _words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            pass
-        else:
-            # as the tokenizer would: lower case, and a stop between a letter and a blank is a piece
-            text = self._stop.sub(r" \1", text.lower())
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self._words(t) for t in texts]
-        every = set().union(*words)
-        found = self._fresh(every.difference(self.known))
+    @staticmethod
+    def _words(texts: pa.Array) -> pa.ListArray:
+        # as the tokenizer would: lower case, and a stop between a letter and a blank is a piece
+        plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"([a-zà-öø-ÿ])([.,;:])([ \n])", r"\1 \2\3")
+        beyond = pc.match_substring_regex(texts, r"[^\x00-\x{ff}]")
+        return pc.split_pattern(pc.replace_substring(pc.if_else(beyond, texts, plain), "\n", " "), " ")
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """The ids of each text and `end` as bytes; null counts as ''."""
+        words = self._words(pc.fill_null(texts.cast(pa.large_string()), ""))
+        numbered = words.flatten().dictionary_encode()
+        every = numbered.dictionary.to_pylist()
+        raw = [*map(self.known.get, every)]
+        new = [k for k, r in enumerate(raw) if r is None]
+        found = self._fresh([every[k] for k in new])
+        for k in new:
+            raw[k] = found[every[k]]
         if len(self.known) + len(found) <= REMEMBERED:
             self.known.update(found)
-            found = self.known
-        else:
-            found = {w: self.known[w] for w in every.intersection(self.known)} | found
-        return [b"".join(map(found.__getitem__, w)) for w in words]
+        # a text's last word is followed by the end, which is a word of its own here
+        pool = np.frombuffer(b"".join(raw) + np.uint16(end).tobytes(), np.uint16)
+        sizes = np.array([*map(len, raw), 2], np.int64) // 2
+        starts = np.cumsum(sizes) - sizes
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        order = np.insert(numbered.indices.to_numpy().astype(np.int64), ends, len(raw))
+        size = sizes[order]
+        upto = np.cumsum(size)
+        ids = pool[np.repeat(starts[order] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        offsets = 2 * np.concatenate(([0], upto[ends + np.arange(len(ends))])).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of up to TEXTS rows and, but for single rows, TOGETHER bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(size), 0
+    while at < len(size):
+        held = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, side="right"))
+        n = min(max(held - at, 1), TEXTS)
+        yield batch.slice(at, n)
+        at += n
 
 
 @lru_cache(maxsize=1)
@@ -98,17 +121,15 @@ def encoder(path: str) -> Encoder:
 
 def tokenize(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): 16-bit ids of each whole text, then `end`; null counts as ''."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, stop = encoder(path), np.array([end], np.uint16).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                ids = coder.encode([t or "" for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [i + stop for i in ids]})
+            for part in _together(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), coder.encode(part.column("text"), end)], ["doc_id", "ids"])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, ids binary")
+    return source.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:

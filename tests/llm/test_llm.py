@@ -524,3 +524,33 @@ def test_pipeline(spark, sf, awkward, nothing):
 
 def test_duck_views(sf):
     assert duck(sf).execute("SELECT count(*) FROM documents").fetchone()[0] > 0
+
+
+def test_words_of_texts_are_numbered_by_arrow():
+    """Ids of a column equal the tokenizer's own, whatever its signs, letters and nulls; slices cover it once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, coder = Tokenizer.from_file(path), packing.Encoder(path)
+    own.encode_special_tokens = True
+    texts = ["A. b, C;\n d: é. x", "", None, "日本 語. abc. D,", "µ. a.  b..  c., d", "x\ty. z", "KK İ. ok", "a. b. c. d. ", "\n\n a.\n", "Straße. ÀÉ; " * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(1)
+    got = [ids for part in packing._together(batch) for ids in coder.encode(part.column("text"), 2).to_pylist()]
+    assert got == [np.array(own.encode(t or "", add_special_tokens=False).ids + [2], np.uint16).tobytes() for t in texts[1:]]
+    assert coder.encode(pa.array([], pa.string()), 2).to_pylist() == []
+    long = pa.RecordBatch.from_arrays([pa.array(["x" * (packing.TOGETHER + 1), None, "y", "z" * packing.TOGETHER])], ["text"])
+    assert [len(part) for part in packing._together(long)] == [1, 2, 1]
+
+
+def test_language_vectors_do_not_outlive_a_task(spark):
+    import os
+    docs = spark.createDataFrame([(k, "the cat sat on the mat", "en") for k in range(8)], "doc_id long, text string, lang string")
+    kept = langid.keep_known(docs.coalesce(1), langid.fit_profiles(docs))
+    assert kept.count() == 8
+
+    def held(batches):
+        import pyarrow as pa
+        from palisade.llm import langid
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([langid.ngram_vectors.cache_info().currsize])], ["n"])
+    assert {r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()} == {0}
