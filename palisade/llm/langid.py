@@ -80,19 +80,22 @@ def fit_profiles(docs: DataFrame, lang: str = "lang", text: str = "text") -> tup
     Trigram weights are summed by Spark as whole numbers, so the result does not depend on the
     order of rows; the driver gets languages x 64,000 sums at most, and bundles them.
     """
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(SYMBOLS ** ORDER, np.int64))
-        for batch in batches:
-            for name, t in zip(batch["lang"], batch["text"], strict=True):
-                grams, counts = trigrams(t)
-                if len(grams):
-                    sums[name][grams] += counts * UNIT // counts.sum()
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                for name, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    grams, counts = trigrams(t)
+                    if len(grams):
+                        sums[name][grams] += counts * UNIT // counts.sum()
         for name, total in sums.items():
             seen = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": name, "gram": seen, "weight": total[seen]})
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen.astype(np.int32)),
+                                              pa.array(total[seen])], ["lang", "gram", "weight"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sums = rows.mapInPandas(count, "lang string, gram int, weight long").groupBy("lang", "gram").agg(
+    sums = rows.mapInArrow(count, "lang string, gram int, weight long").groupBy("lang", "gram").agg(
         F.sum("weight").alias("weight")).toPandas()
     names = sorted(sums["lang"].unique())
     vectors = np.zeros((len(names), WIDTH))
@@ -145,10 +148,13 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), ROWS):  # so that few texts are Python strings at once
-                batch = whole.slice(at, ROWS)
-                found = [nearest(t, shared.value) for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+        try:
+            for whole in batches:
+                for at in range(0, len(whole), ROWS):  # so that few texts are Python strings at once
+                    batch = whole.slice(at, ROWS)
+                    found = [nearest(t, shared.value) for t in batch.column("text").to_pylist()]
+                    yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
+        finally:
+            ngram_vectors.cache_clear()  # 65 MB that a worker would hold through all later stages
 
     return docs.mapInArrow(run, docs.schema)

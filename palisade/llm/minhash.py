@@ -22,6 +22,8 @@ COORDINATES, BAND = 160, 5
 LOWEST = 2.0 ** -7
 #: Members of a bucket that one unit of comparison holds, of sets of up to ELEMENTS shingles; of larger ones fewer.
 BLOCK, ELEMENTS = 512, 4096
+#: Texts that a task lower-cases, and rows that it hands on, at once.
+ROWS = 500
 #: Columns of a member of a unit.
 UNIT_SCHEMA = ("bucket long, vb int, qb int, kind int, band int, doc long, class long, largest long, mark binary, "
                "earlier array<bigint>")
@@ -109,11 +111,18 @@ def _weights(counts: np.ndarray, counted: bool) -> np.ndarray:
     return counts.astype(np.float64) if counted else np.ones(len(counts))
 
 
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of ROWS rows at most, so that few texts are held twice and few results at once."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.iloc[at:at + ROWS]
+
+
 def _sign(docs: DataFrame, width: int, counted: bool) -> DataFrame:
     """(row, doc_id, set_key, bulk, bands, mark): a digest of the shingle set and its size, the band keys, a byte of
     each coordinate; null where there are no words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = [t.lower() if t else "" for t in batch["text"]]
             digests, bulk, bands, marks = [], [], [], []
             for part in chunks(texts):
@@ -145,7 +154,7 @@ def _sets(docs: DataFrame, width: int, counted: bool) -> DataFrame:
     Half the bytes of 64-bit ones to shuffle; two of n shingles share one with a chance of n * n / 2**33.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = [t.lower() if t else "" for t in batch["text"]]
             rows = []
             for part in chunks(texts):
