@@ -20,7 +20,7 @@ WINDOW, SHARD, TERMS = 4096, 1 << 20, 16
 K1, B = 1.2, 0.75
 #: Words a worker remembers the ids of; further ones are encoded where they are met.
 REMEMBERED = 250_000
-#: Bytes of text whose words are looked up together, and texts at most.
+#: Bytes of text whose words, or of ids that, are counted together, and texts at most.
 TOGETHER, TEXTS = 1 << 22, 2000
 
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -103,9 +103,9 @@ class Encoder:
         return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
 
 
-def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of up to TEXTS rows and, but for single rows, TOGETHER bytes of text."""
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+def _together(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in slices of up to TEXTS rows and, but for single rows, TOGETHER bytes of a column."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, at = np.cumsum(size), 0
     while at < len(size):
         held = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOGETHER, side="right"))
@@ -132,19 +132,40 @@ def tokenize(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text:
     return source.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
+def _occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, its number there) of the ids of some documents, in this order."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.uint16)
+    pair = (np.repeat(np.arange(len(column), dtype=np.uint32), np.diff(at) // 2) << np.uint32(16)) | ids
+    pair.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1])))
+    return (pair[first] >> np.uint32(16)).astype(np.int64), pair[first] & np.uint32(0xFFFF), np.diff(np.append(first, len(pair)))
+
+
+def most_telling(column: pa.Array, weight: np.ndarray) -> np.ndarray:
+    """Of each document the id with the largest count x weight, ties to the least; a document has an id at least."""
+    doc, ids, tf = _occurrences(column)
+    score = tf * weight[ids]
+    best = np.maximum.reduceat(score, np.searchsorted(doc, np.arange(len(column))))
+    hit = np.flatnonzero(score == best[doc])
+    return ids[hit[np.searchsorted(doc[hit], np.arange(len(column)))]].astype(np.int32)
+
+
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents with each id, documents and tokens in all; the vocabulary bounds what the driver gets."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, docs, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, np.uint16)
-                seen[np.unique(ids)] += 1
-                docs, total = docs + 1, total + len(ids)
+            for part in _together(batch, "ids"):
+                _, ids, tf = _occurrences(part.column("ids"))
+                seen += np.bincount(ids, minlength=1 << 16)
+                docs, total = docs + len(part), total + int(tf.sum())
         own = np.flatnonzero(seen)
-        yield pd.DataFrame({"id": np.append(own, [-1, -2]), "n": np.append(seen[own], [docs, total])})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, [-1, -2]).astype(np.int32)),
+                                          pa.array(np.append(seen[own], [docs, total]))], ["id", "n"])
 
-    rows = tokens.select("ids").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     sums = dict(zip(rows["id"], rows["n"], strict=True))
     n, total = int(sums.pop(-1, 0)), int(sums.pop(-2, 0))
     out = np.zeros(1 << 16, np.int64)
@@ -262,14 +283,11 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW, shard:
     shared = spark.sparkContext.broadcast((idf, total / max(n, 1)))
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
-    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value[0]
         for batch in batches:
-            tops = []
-            for raw in batch["ids"]:
-                ids, tf = np.unique(np.frombuffer(raw, np.uint16), return_counts=True)
-                tops.append(int(ids[np.argmax(tf * weight[ids])]))
-            yield batch.assign(topic=tops)
+            for part in _together(batch, "ids"):
+                yield part.append_column("topic", pa.array(most_telling(part.column("ids"), weight)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, mean = shared.value
@@ -300,6 +318,6 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW, shard:
         if held:
             yield from flush()
 
-    keyed = tokens.mapInPandas(key, f"doc_id {kind}, ids binary, topic int")
+    keyed = tokens.mapInArrow(key, f"doc_id {kind}, ids binary, topic int")
     dealt = keyed.repartitionByRange("topic", "doc_id", F.xxhash64("ids")).sortWithinPartitions("topic", "doc_id", "ids")
     return dealt.mapInPandas(run, f"doc_id {kind}, {PIECE}")

@@ -554,3 +554,19 @@ def test_language_vectors_do_not_outlive_a_task(spark):
         for _ in batches:
             yield pa.RecordBatch.from_arrays([pa.array([langid.ngram_vectors.cache_info().currsize])], ["n"])
     assert {r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_most_telling_ids_are_found_for_many_documents_at_once():
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 60000, int(n)).astype(np.uint16) % 997 for n in rng.integers(1, 300, 200)] + [np.array([65535], np.uint16)]
+    weight = np.round(rng.random(1 << 16), 1)  # many ties
+    column = pa.array([None, *[d.tobytes() for d in docs]], pa.binary()).slice(1)
+    want = []
+    for d in docs:
+        ids, tf = np.unique(d, return_counts=True)
+        want.append(int(ids[np.argmax(tf * weight[ids])]))
+    assert packing.most_telling(column, weight).tolist() == want
+    doc, ids, tf = packing._occurrences(column)
+    assert [(ids[doc == k].tolist(), tf[doc == k].tolist()) for k in (0, 200)] == [
+        tuple(x.tolist() for x in np.unique(docs[k], return_counts=True)) for k in (0, 200)]
