@@ -143,7 +143,7 @@ def intel_trace(incidents: DataFrame, dets: DataFrame, events: DataFrame, catalo
     found = held.join(rows, "event_id")
     cited = incidents.select("incident_id", F.explode("detection_ids").alias("detection_id")).join(
         dets.select("detection_id", F.explode("evidence_event_ids").alias("event_id")), "detection_id")
-    counts = found.groupBy(*key).agg(F.count_distinct("event_id").alias("event_count"))
-    links = found.distinct().join(cited, ["incident_id", "event_id"]).groupBy(*key).agg(
-        F.array_sort(F.collect_set("detection_id")).alias("detection_ids"))
-    return intel_lookup(counts.join(links, key, "left"), catalog)
+    # one pass: both the count and the citing detections come from the same rows, so values are normalised once
+    told = found.distinct().join(cited, ["incident_id", "event_id"], "left").groupBy(*key).agg(
+        F.count_distinct("event_id").alias("event_count"), F.array_sort(F.collect_set("detection_id")).alias("ids"))
+    return intel_lookup(told.withColumn("detection_ids", F.when(F.size("ids") > 0, F.col("ids"))).drop("ids"), catalog)

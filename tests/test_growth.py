@@ -174,3 +174,20 @@ def test_events_are_kept_as_numbers_and_dealt_before_rules_work_on_them(spark, s
     plan = _plan(stored)
     assert "InMemoryTableScan" in plan and "hashpartitioning(number" in plan
     assert stored.schema.names == plain.schema.names and stored.count() == plain.count() and stored.exceptAll(plain).isEmpty()
+
+
+def test_observables_of_a_trace_are_normalised_once(spark, sf):
+    from palisade.operators import intel
+    events = bridge.telemetry(spark, sf)
+    ids = [r.event_id for r in events.where("destination_ip IS NOT NULL").orderBy("event_id").limit(3).collect()]
+    incidents = spark.createDataFrame([("i", ["d1", "d2"], ids)], "incident_id string, detection_ids array<string>, evidence_event_ids array<string>")
+    dets = spark.createDataFrame([("d1", ids[:2]), ("d2", ids[:1])], "detection_id string, evidence_event_ids array<string>")
+    trace = intel.intel_trace(incidents, dets, events, catalogs.intel(spark))
+    assert _plan(trace).count("ArrowEvalPython") == _plan(intel.observed(events)).count("ArrowEvalPython") > 0
+    seen = {(r.normalized_value, r.source): set() for r in trace.collect()}
+    for r in intel.observed(events.where(F.col("event_id").isin(ids))).collect():
+        seen[r.normalized_value, r.source].add(r.event_id)
+    by = {ids[0]: {"d1", "d2"}, ids[1]: {"d1"}, ids[2]: set()}
+    for r in trace.collect():
+        own = seen[r.normalized_value, r.source]
+        assert r.event_count == len(own) and (r.detection_ids or []) == sorted(set().union(*[by[e] for e in own]))
