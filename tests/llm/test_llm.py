@@ -252,6 +252,16 @@ def test_suffix_across_segments_and_forms(spark, monkeypatch):
     assert got == want and 0 < sum(w[2] for w in want) < sum(w[1] for w in want)
 
 
+def test_suffix_levels_merge_when_a_batch_meets_them(spark, monkeypatch):
+    """Four batches make one array each and merge two; merges that no batch meets took twice the disk."""
+    stored, store = [], suffix.SuffixFamily._store
+    monkeypatch.setattr(suffix.SuffixFamily, "_store", lambda self, entries: stored.append(1) or store(self, entries))
+    passage = " ".join(words(7, 150))
+    docs = [(k, " ".join(words(500 + k, 40)) + passage[k:] + " ".join(words(600 + k, 40))) for k in range(12)]
+    assert digested(suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == without_repeats(docs)
+    assert len(stored) == 5
+
+
 def test_passages_of_55_words(spark):
     """The corpus stage takes out whole passages of 55 words, wherever they stand, and nothing else."""
     rng = random.Random(8)
