@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.common import let_go
+
 #: Width of a hypervector, symbols of the alphabet (0 is whatever is no letter), order of the n-grams.
 WIDTH, SYMBOLS, ORDER, SEED = 1024, 40, 3, 8
 #: A training document adds this much in all, shared among its trigrams, so that sums are whole numbers.
@@ -156,5 +158,6 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: floa
                     yield batch.filter(pa.array([name != "und" and score >= least for name, score in found], pa.bool_()))
         finally:
             ngram_vectors.cache_clear()  # 65 MB that a worker would hold through all later stages
+            let_go()
 
     return docs.mapInArrow(run, docs.schema)

@@ -226,7 +226,8 @@ class Linker:
         """Compare each bucket's members with its least; the bands of a group mostly agree on that one."""
         centers = keep(members.groupBy("bucket").agg(F.min("doc").alias("center"), F.count("*").alias("n")))
         pairs = join_groups(members.select("bucket", "doc"), centers, ["bucket"], "n").where("doc <> center")
-        near = _hopeful(pairs.select("doc", "center").distinct(), self.marks, _bar(self.least))
+        # kept, so that no task runs both comparisons at once, each in a Python worker of its own
+        near = keep(_hopeful(pairs.select("doc", "center").distinct(), self.marks, _bar(self.least)))
         self.link(_verify(near, self.sets, self.least))
 
     def across(self, members: DataFrame) -> None:

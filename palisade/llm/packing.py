@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import keep
+from palisade.llm.common import keep, let_go
 
 #: Window, tokens of a shard of the inverted index, terms of a seed's query.
 WINDOW, SHARD, TERMS = 4096, 1 << 20, 16
@@ -123,9 +123,12 @@ def tokenize(docs: DataFrame, path: str, end: int, doc_id: str = "doc_id", text:
     """(doc_id, ids): 16-bit ids of each whole text, then `end`; null counts as ''."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
-            for part in _together(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), coder.encode(part.column("text"), end)], ["doc_id", "ids"])
+        try:
+            for batch in batches:
+                for part in _together(batch):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), coder.encode(part.column("text"), end)], ["doc_id", "ids"])
+        finally:
+            let_go()
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -290,6 +293,7 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW, shard:
                 yield part.append_column("topic", pa.array(most_telling(part.column("ids"), weight)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder.cache_clear()  # words are encoded by now, and a worker would hold them through later work
         weight, mean = shared.value
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[object, np.ndarray]] = []

@@ -262,6 +262,37 @@ def test_suffix_levels_merge_when_a_batch_meets_them(spark, monkeypatch):
     assert len(stored) == 5
 
 
+def test_near_comparisons_do_not_share_a_task(spark, monkeypatch):
+    """What is compared exactly is read from disk, so that a task needs one Python worker and not two."""
+    plans, verify = [], minhash._verify
+    monkeypatch.setattr(minhash, "_verify", lambda pairs, *rest: plans.append(
+        pairs._jdf.queryExecution().executedPlan().toString()) or verify(pairs, *rest))
+    text = words(8, 60)
+    docs = [(k, " ".join(text[:-1] + [f"end{k}"])) for k in range(4)]
+    found = minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.class_id for r in found} == {0} and plans and not any("MapInPandas" in p for p in plans)
+
+
+@pytest.mark.parametrize("module", [packing, langid])
+def test_workers_give_back_what_arrow_held(spark, monkeypatch, module):
+    """After a task's last batch, or when it is stopped before that."""
+    import pyarrow as pa
+    docs, caught, given = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append(run) or self)
+    monkeypatch.setattr(module, "let_go", lambda: given.append(1), raising=False)
+    if module is packing:
+        packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+    else:
+        langid.keep_known(docs, ([], np.zeros((0, langid.WIDTH), np.float32)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b"]})
+    list(caught[0](iter([batch])))
+    assert len(given) == 1
+    parts = caught[0](iter([batch]))
+    next(parts)
+    parts.close()
+    assert len(given) == 2
+
+
 def test_passages_of_55_words(spark):
     """The corpus stage takes out whole passages of 55 words, wherever they stand, and nothing else."""
     rng = random.Random(8)
