@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from palisade.config import CorrelateConfig, DetectConfig, FlowConfig, RiskConfig
-from palisade.functions.state import checkpointed, pin
+from palisade.functions.state import checkpointed, finished
 from palisade.operators.correlate import correlate
-from palisade.operators.detect import RuleSetOutput, endpoint_rules, flow_rules, run_rules
+from palisade.operators.detect import RuleSetOutput, endpoint_rules, flow_rules, run_rules, store_rules
 from palisade.operators.endpoint import prepare_events
 from palisade.operators.risk import enrich
 
 
 class Outcome:
     """What a job finds. Each part is made once, when it is first asked for: who only wants detections
-    neither stores bucket members nor links."""
+    neither stores bucket members nor links. `run` gives the rules' stored results, with members if told so."""
 
-    def __init__(self, found: RuleSetOutput, events: DataFrame | None, techniques: DataFrame,
+    def __init__(self, run: Callable[[bool], RuleSetOutput], events: DataFrame | None, techniques: DataFrame,
                  link: CorrelateConfig, risk: RiskConfig):
-        self.failed = found.failed  # rule_id, error
-        self._found, self._events, self._techniques, self._link, self._risk = found, events, techniques, link, risk
+        self._run, self._events, self._techniques, self._link, self._risk = run, events, techniques, link, risk
 
     @cached_property
+    def _found(self) -> RuleSetOutput:
+        return self._whole if "_whole" in vars(self) else self._run(False)
+
+    @cached_property
+    def _whole(self) -> RuleSetOutput:
+        return self._run(True)
+
+    @property
+    def failed(self) -> DataFrame:
+        """rule_id, error"""
+        return self._found.failed
+
+    @property
     def detections(self) -> DataFrame:
-        return checkpointed(self._found.detections)
+        return self._found.detections
 
     @cached_property
     def members(self) -> DataFrame:
         """(detection_id, event_id). A rule puts an event in one bucket, so rows are distinct where events are, without
-        a shuffle."""
-        return pin(self._found.members)
+        a shuffle. The rules run once for these and detections, if these are asked for first."""
+        return self._whole.members
 
     @cached_property
     def incidents(self) -> DataFrame:
-        incidents = checkpointed(correlate(self.detections, self.members, self._events, self._link))
-        return checkpointed(enrich(incidents, self.detections, self._techniques, self._risk))
+        members, dets = self.members, self.detections
+        linked = lambda: (correlate(dets, members, self._events, self._link, unique=True),)
+        return finished(lambda: (enrich(*finished(linked), dets, self._techniques, self._risk),))[0]
 
 
 def endpoint_incidents(
@@ -45,7 +59,9 @@ def endpoint_incidents(
     risk: RiskConfig = RiskConfig(),
 ) -> Outcome:
     """Endpoint telemetry -> detections -> enriched incidents."""
-    return Outcome(run_rules(prepare_events(events), endpoint_rules(iocs, detect)), events, techniques, link, risk)
+    out = run_rules(prepare_events(events), endpoint_rules(iocs, detect))
+    kept = out._replace(detections=checkpointed(out.detections))
+    return Outcome(lambda _: kept, events, techniques, link, risk)
 
 
 def flow_incidents(
@@ -55,4 +71,4 @@ def flow_incidents(
 ) -> Outcome:
     """Network flows -> detections -> enriched incidents."""
     chosen = {k: r for k, r in flow_rules(detect).items() if rules is None or k in rules}
-    return Outcome(run_rules(flows, chosen), None, techniques, link, risk)
+    return Outcome(lambda members: store_rules(flows, chosen, members), None, techniques, link, risk)

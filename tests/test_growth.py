@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from palisade.config import FlowConfig
 from palisade.functions.core import two_decimals
 from palisade.operators import flow, investigate, risk
 from palisade.plans import pipeline
@@ -191,3 +192,57 @@ def test_observables_of_a_trace_are_normalised_once(spark, sf):
     for r in trace.collect():
         own = seen[r.normalized_value, r.source]
         assert r.event_count == len(own) and (r.detection_ids or []) == sorted(set().union(*[by[e] for e in own]))
+
+
+def _kept(spark):
+    """Pinned tables and files in the checkpoint folder that the session holds now."""
+    import os
+
+    from palisade.functions.state import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    return len(spark.sparkContext._jsc.getPersistentRDDs()), {x for x in os.listdir(folder) if x.startswith(("rdd-", "table-"))}
+
+
+def test_finished_steps_keep_their_results_only(spark):
+    from palisade.functions.state import checkpointed, finished, pin
+    pins, files = _kept(spark)
+
+    def inner():
+        rows = pin(spark.range(10))
+        rows.count()
+        return (checkpointed(rows.where("id > 2")),)
+
+    def outer():
+        return (finished(inner)[0].where("id > 3"), pin(spark.range(3)))
+    more, few = finished(outer)
+    assert sorted(r.id for r in more.collect()) == list(range(4, 10)) and few.count() == 3
+    after, held = _kept(spark)
+    assert after <= pins and len(held - files) == 2
+
+
+def test_flow_rules_let_go_of_their_work_before_the_next(spark, sf):
+    pins, files = _kept(spark)
+    rules = ("FLOW-001", "FLOW-002", "FLOW-006")
+    out = pipeline.flow_incidents(bridge.flows(spark, sf), catalogs.techniques(spark), rules=rules)
+    told = out.detections.count()
+    after, held = _kept(spark)
+    assert after <= pins and len(held - files) == len(rules)  # one table of detections each
+    cited = out.members.select("detection_id").distinct()
+    assert cited.join(out.detections, "detection_id").count() == cited.count() <= told
+    out.incidents.count()
+    after, held = _kept(spark)
+    assert after <= pins and len(held - files) <= 3 * len(rules) + 1  # detections, those with members, incidents
+
+
+def test_rules_that_speak_under_one_name_do_not_repeat_each_other(spark):
+    from palisade.operators import detect
+    flows = spark.createDataFrame([(f"e{n}", n, "TCP", p) for n, p in enumerate([22] * 5 + [80] * 5)],
+                                  "event_id string, ts_us bigint, protocol string, destination_port int")
+    rule = detect.flow_rules(FlowConfig(novelty_min_peak=3, novelty_min_flows=3))["FLOW-005"]
+
+    def broken(_):
+        raise KeyError("column")
+    out = detect.store_rules(flows, {"A": rule, "B": rule, "C": broken})
+    assert out.detections.count() == 1 and out.members.distinct().count() == 5
+    assert [r.rule_id for r in out.failed.collect()] == ["C"]
