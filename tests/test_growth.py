@@ -246,3 +246,17 @@ def test_rules_that_speak_under_one_name_do_not_repeat_each_other(spark):
     out = detect.store_rules(flows, {"A": rule, "B": rule, "C": broken})
     assert out.detections.count() == 1 and out.members.distinct().count() == 5
     assert [r.rule_id for r in out.failed.collect()] == ["C"]
+
+
+def test_incidents_are_judged_by_attack_labels_and_composed_without_any(spark):
+    from palisade.operators import evaluate
+    incidents = spark.sql("SELECT * FROM VALUES ('i', array('d1', 'd2')), ('j', array('d3')), ('k', array('gone')) AS t(incident_id, detection_ids)").selectExpr(
+        "*", "array('e1') AS evidence_event_ids", "named_struct('network_entities', array('n')) AS metadata")
+    dets = spark.sql("SELECT * FROM VALUES ('d1', 'FLOW-006', array('e3')), ('d2', 'FLOW-001', array('e3')), ('d3', 'FLOW-005', array('e3', 'e4')) "
+                     "AS t(detection_id, rule_id, evidence_event_ids)")
+    members = spark.createDataFrame([("d1", "e1"), ("d1", "e2"), ("d2", "e2")], "detection_id string, event_id string")
+    labels = spark.createDataFrame([("e1", "DoS"), ("e2", "Benign"), ("e3", "PortScan"), ("e4", "")], "event_id string, label string")
+    hits = {r.incident_id: (r.hit_labels, r.has_bucket) for r in evaluate.incident_hits(incidents, dets, members, labels).collect()}
+    assert hits == {"i": (["DoS"], 1), "j": (["PortScan"], None), "k": ([], None)}
+    composed = evaluate.rule_composition(incidents, dets)
+    assert {r.composition: r.incidents for r in composed.collect()} == {"FLOW-001+FLOW-006": 1, "FLOW-005": 1, "<unknown>": 1}
