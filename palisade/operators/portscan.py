@@ -24,6 +24,7 @@ from palisade.functions.state import counted, pin
 from palisade.operators.flow import RuleOutput, probe
 
 KEYS = ["source_ip", "run", "part"]
+ROWS = ["event_id", "ts_us", "destination_port", "probe", "own"]
 
 
 def scan_slots(flows: DataFrame, width_us: int, need: int) -> DataFrame:
@@ -56,13 +57,11 @@ def scan_slots(flows: DataFrame, width_us: int, need: int) -> DataFrame:
 class _Part:
     """One part of a run in arrays: rows before `own` belong to the part before."""
 
-    def __init__(self, g: pd.DataFrame, span_us: int, need: int, fraction: float):
-        g = g.sort_values(["ts_us", "event_id"], kind="stable")
-        self.ids = g["event_id"].to_numpy()
-        self.us = g["ts_us"].to_numpy()
-        self.ports = [None if pd.isna(p) else int(p) for p in g["destination_port"]]
-        self.probe = g["probe"].to_numpy()
-        self.own = int((~g["own"].to_numpy()).sum())
+    def __init__(self, rows: dict[str, np.ndarray], span_us: int, need: int, fraction: float):
+        """`rows`: columns in the order of time and id."""
+        self.ids, self.us, self.probe = rows["event_id"], rows["ts_us"], rows["probe"]
+        self.ports = [None if p is None or p != p else int(p) for p in rows["destination_port"].tolist()]
+        self.own = int((~rows["own"].astype(bool)).sum())
         self.need, self.fraction = need, fraction
         self.low = np.searchsorted(self.us, self.us - span_us, side="right")
         self.pure = self._unreset()
@@ -132,7 +131,8 @@ class _Part:
 
 def _tables(span_us: int, need: int, fraction: float):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        part, known, out = _Part(g, span_us, need, fraction), {}, []
+        g = g.sort_values(["ts_us", "event_id"], kind="stable")
+        part, known, out = _Part({c: g[c].to_numpy() for c in ROWS}, span_us, need, fraction), {}, []
         for entry in [None, *part.ids[: part.own]]:
             last = None
             for last, _ in part.firings(entry, known):
@@ -159,19 +159,47 @@ def _walk(g: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(source_ip=g["source_ip"].iloc[0], run=g["run"].iloc[0])[[*KEYS, "entry"]]
 
 
+def _groups(batches, columns: list[str]):
+    """Per batch, the groups of equal KEYS that end in it, as columns; rows of a group follow each other.
+
+    A task meets tens of thousands of small groups, so columns are cut, not frames.
+    """
+    open_: list[dict[str, np.ndarray]] = []
+    whole = lambda: {c: np.concatenate([p[c] for p in open_]) for c in columns}
+    for batch in batches:
+        if not len(batch):
+            continue
+        told, ended = {c: batch[c].to_numpy() for c in columns}, []
+        fresh = np.zeros(len(batch), dtype=bool)
+        for k in KEYS:
+            fresh[1:] |= told[k][1:] != told[k][:-1]
+            fresh[0] |= bool(open_) and told[k][0] != open_[-1][k][-1]
+        at = 0
+        for end in np.flatnonzero(fresh):
+            if end > at:
+                open_.append({c: v[at:end] for c, v in told.items()})
+            ended.append(open_[0] if len(open_) == 1 else whole())
+            open_, at = [], end
+        open_.append({c: v[at:] for c, v in told.items()})
+        yield ended
+    yield [whole()] if open_ else []
+
+
 def _replay(span_us: int, need: int, fraction: float):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        part, out = _Part(g, span_us, need, fraction), []
-        entry = g["entry"].iloc[0]
+    def firings(g: dict[str, np.ndarray]):
+        part, entry = _Part(g, span_us, need, fraction), g["entry"][0]
         for at, start in part.firings(entry if isinstance(entry, str) else None, {}):
             first: dict[int, int] = {}
             for i in range(start, at + 1):
                 if part.ports[i] is not None:
                     first.setdefault(part.ports[i], i)
             rows = [first[p] for p in sorted(first)]
-            out.append((g["source_ip"].iloc[0], [part.ids[i] for i in rows],
-                        [int(part.us[i]) for i in rows]))
-        return pd.DataFrame(out, columns=["source_ip", "ids", "us"])
+            yield g["source_ip"][0], [part.ids[i] for i in rows], [int(part.us[i]) for i in rows]
+
+    def run(batches):
+        for groups in _groups(batches, [*KEYS, *ROWS, "entry"]):
+            out = [f for g in groups for f in firings(g)]
+            yield pd.DataFrame(out, columns=["source_ip", "ids", "us"])
 
     return run
 
@@ -190,16 +218,16 @@ def flow_003(
         slots.withColumn("home", part)
         .withColumn("part", F.explode(F.when(edge, F.array(part, part + 1)).otherwise(F.array(part))))
         .withColumn("own", F.col("part") == F.col("home"))
-        .select(*KEYS, "event_id", "ts_us", "destination_port", "probe", "own")
+        .select(*KEYS, *ROWS)
     )
-    # A trailing group that only borrowed rows has nothing of its own to fire.
-    owned = rows.where("own").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     # counted: where no run is long, as is usual, no row is dealt by run for nothing
-    long_runs = counted(owned.where("part > 0").select("source_ip", "run").distinct())
+    long_runs = counted(rows.where("own AND part > 0").select("source_ip", "run").distinct())
     key_ddl = "source_ip string, run bigint, part bigint"
+    cuts = rows.join(long_runs, ["source_ip", "run"], "left_semi")
+    # A trailing group that only borrowed rows has nothing of its own to fire.
+    owned = cuts.where("own").select(*KEYS).distinct()
     tables = pin(
-        rows.join(long_runs, ["source_ip", "run"], "left_semi")
-        .join(owned, KEYS, "left_semi")
+        cuts.join(owned, KEYS, "left_semi")
         .groupBy(*KEYS).applyInPandas(_tables(*args), f"{key_ddl}, entry string, exit string")
     )
     reachable = tables.where("exit is not null").select(
@@ -208,11 +236,10 @@ def flow_003(
     small = tables.where("entry is null").unionByName(
         tables.join(reachable, [*KEYS, "entry"], "left_semi"))
     entries = small.groupBy("source_ip", "run").applyInPandas(_walk, f"{key_ddl}, entry string")
-    fired = (
-        rows.join(owned, KEYS, "left_semi").join(entries, KEYS, "left")
-        .groupBy(*KEYS).applyInPandas(
-            _replay(*args), "source_ip string, ids array<string>, us array<bigint>")
-    )
+    led = (rows.withColumn("entry", F.lit(None).cast("string")) if long_runs.isEmpty()
+           else rows.join(counted(entries), KEYS, "left"))
+    fired = led.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts_us", "event_id").mapInPandas(
+        _replay(*args), "source_ip string, ids array<string>, us array<bigint>")
     n = F.size("ids").cast("bigint")
     used = F.slice("us", 1, 20)
     reason = F.concat(

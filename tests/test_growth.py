@@ -260,3 +260,17 @@ def test_incidents_are_judged_by_attack_labels_and_composed_without_any(spark):
     assert hits == {"i": (["DoS"], 1), "j": (["PortScan"], None), "k": ([], None)}
     composed = evaluate.rule_composition(incidents, dets)
     assert {r.composition: r.incidents for r in composed.collect()} == {"FLOW-001+FLOW-006": 1, "FLOW-005": 1, "<unknown>": 1}
+
+
+def test_port_scans_are_replayed_from_groups_that_end_in_any_batch():
+    import pandas as pd
+
+    from palisade.operators import portscan
+    keys = [("a", 0, 0)] * 3 + [("a", 1, 0)] + [("b", 1, 0)] * 4 + [("b", 1, 1)] * 2
+    rows = pd.DataFrame(keys, columns=portscan.KEYS).assign(ts_us=range(len(keys)))
+    want = [list(g["ts_us"]) for _, g in rows.groupby(portscan.KEYS)]
+    for size in (1, 2, 3, 4, 10):
+        batches = [rows[at:at + size].reset_index(drop=True) for at in range(0, len(rows), size)]
+        batches.insert(1, rows[:0])
+        assert [g["ts_us"].tolist() for ended in portscan._groups(batches, [*portscan.KEYS, "ts_us"]) for g in ended] == want
+    assert list(portscan._groups([], portscan.KEYS)) == [[]]
